@@ -113,7 +113,11 @@ def unique_fuzzy_match(
     """
     block = [block] if isinstance(block, str) else block
     at = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
-    windows = [F.transform(at, lambda i, n=n: F.substr(F.col(name), i, F.lit(n))) for n in range(1, prefix_len + 1)]
+
+    def cut(n: int) -> Column:
+        return F.transform(at, lambda i: F.substr(F.col(name), i, F.lit(n)))
+
+    windows = [cut(n) for n in range(1, prefix_len + 1)]
     pieces = F.array_distinct(F.concat(F.array(F.lit("")), *windows))
     index = (
         dim.filter(F.col(name).isNotNull())
