@@ -6,6 +6,9 @@ enter any result. Counts per bucket give the offset of each bucket, and a runnin
 inside (group, bucket) gives the exact cumulative count of each value. A group, or one
 value, holding most of the rows is therefore spread over all tasks. The counts are written once
 as a stage table, because the sample, the offsets and the running sums all read them.
+
+The written table has a known row count. Up to ``SMALL`` rows in all, one running sum per
+group does the same work with fewer stages; beyond it the bucketed way is taken.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelweave.session import stage
 
-BUCKETS = 64
-SAMPLE = 2048
+BUCKETS = 256
+SAMPLE = 4096
+SMALL = 200_000
 
 
 def _bounds(counts: DataFrame, key: str, buckets: int) -> Column:
@@ -27,7 +31,9 @@ def _bounds(counts: DataFrame, key: str, buckets: int) -> Column:
     return ordered.withColumn("s", step).select(every.alias("b")).scalar()
 
 
-def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def value_ranks(
+    df: DataFrame, value: str, by: list[str] | None = None, buckets: int = BUCKETS, small: int | None = None
+) -> DataFrame:
     """(by, value, n, cum, total, mean): rows at the value, rows up to it, rows in the group.
 
     NULL values are left out. ``mean`` is the group mean, NULL for non-numeric values.
@@ -36,15 +42,20 @@ def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, buckets:
     numeric = dict(df.dtypes)[value] in ("double", "float", "int", "bigint", "smallint", "tinyint")
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     counts = stage(counts, "counts")
+    group = W.partitionBy(*by)
+    weighted = F.sum(F.col(value) * F.col("n")) if numeric else F.lit(None).cast("double")
+    if counts.count() <= (SMALL if small is None else small):
+        upto = group.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        total = F.sum("n").over(group)
+        mean = F.sum(F.col(value) * F.col("n")).over(group) / total if numeric else weighted
+        return counts.select(*by, value, "n", F.sum("n").over(upto).alias("cum"), total.alias("total"), mean.alias("mean"))
     bucket = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))
     counts = (
         counts.withColumn("_bounds", _bounds(counts, value, buckets))
         .withColumn("_bucket", bucket)
         .drop("_bounds")
     )
-    weighted = F.sum(F.col(value) * F.col("n")) if numeric else F.lit(None).cast("double")
     parts = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_m"), weighted.alias("_w"))
-    group = W.partitionBy(*by)
     before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select(
         *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],

@@ -150,8 +150,8 @@ def zib_regression(
 ) -> ZibFit:
     """Fit on the complete rows; every response must lie in [0, 1)."""
     columns = {"mu": list(mu), "sigma": list(sigma or []), "nu": list(nu or [])}
-    factors = list(factors or [])
     used = list(dict.fromkeys(c for part in columns.values() for c in part))
+    factors = [f for f in factors or [] if f in used]
     frame = df.select(F.col(y).cast("double").alias("_y"), *[
         F.col(c).cast("string").alias(c) if c in factors else F.col(c).cast("double").alias(c) for c in used
     ]).dropna()

@@ -84,17 +84,18 @@ def agg_quantiles(spark, sf):
 
 
 @query("agg_median_sd", f"""
-SELECT province, {rd('median(coverage)')} AS median, {rd('stddev_samp(coverage)')} AS sd
-FROM v_unitcov JOIN v_valid USING (unit, period) WHERE scenario = 'pop' AND period = 1998 GROUP BY 1 ORDER BY sd""")
+SELECT province, period, {rd('median(coverage)')} AS median, {rd('stddev_samp(coverage)')} AS sd
+FROM v_unitcov JOIN v_valid USING (unit, period) WHERE scenario = 'pop' GROUP BY 1, 2 ORDER BY sd""")
 def agg_median_sd(spark, sf):
-    kept = unit_levels(V.coverage_valid(spark, sf).filter("scenario = 'pop' AND period = 1998"), "unit", {"province": 3})
-    return rounded(Q.distribution(kept, "coverage", ["province"]).select("province", "median", "sd")).orderBy("sd")
+    kept = unit_levels(V.coverage_valid(spark, sf).filter("scenario = 'pop'"), "unit", {"province": 3})
+    out = Q.distribution(kept, "coverage", ["province", "period"])
+    return rounded(out.select("province", "period", "median", "sd")).orderBy("sd")
 
 
 @query("agg_partial_year_annualise", f"""
-SELECT unit, {rd('sum(events) * 12 / count(*)')} AS events, count(*) AS n_month FROM v_event_month WHERE period = 1998 GROUP BY 1""")
+SELECT unit, period, {rd('sum(events) * 12 / count(*)')} AS events, count(*) AS n_month FROM v_event_month GROUP BY 1, 2""")
 def agg_partial_year_annualise(spark, sf):
-    return rounded(annualise(V.event_month(spark, sf).filter("period = 1998"), ["unit"], "mon", "events"))
+    return rounded(annualise(V.event_month(spark, sf), ["unit", "period"], "mon", "events"))
 
 
 @query("agg_distinct_rows", "SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus, l_linenumber FROM lineitem")
@@ -270,10 +271,10 @@ def win_group_size(spark, sf):
 
 
 @query("min_observations", """
-SELECT unit, period, mon, events, count(events) OVER (PARTITION BY unit) AS n_obs FROM v_event_month
-WHERE period = 1998 QUALIFY count(events) OVER (PARTITION BY unit) > 3""")
+SELECT unit, period, mon, events, count(events) OVER (PARTITION BY unit, period) AS n_obs FROM v_event_month
+QUALIFY count(events) OVER (PARTITION BY unit, period) > 3""")
 def min_observations_(spark, sf):
-    return min_observations(V.event_month(spark, sf).filter("period = 1998"), ["unit"], "events", 3)
+    return min_observations(V.event_month(spark, sf), ["unit", "period"], "events", 3)
 
 
 @query("win_ntile", """
