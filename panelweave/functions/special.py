@@ -88,7 +88,7 @@ def chi2_tail(x: float, df: float) -> float:
             k += 1.0
             term *= z / k
             total += term
-        return 1.0 - total * front
+        return float(1.0 - total * front)
     b = z + 1.0 - a
     c = 1e300
     d = 1.0 / b
@@ -101,7 +101,7 @@ def chi2_tail(x: float, df: float) -> float:
         h *= d * c
         if abs(d * c - 1.0) < 1e-16:
             break
-    return front * h
+    return float(front * h)
 
 
 def t_tail(t: float, df: float) -> float:

@@ -310,18 +310,17 @@ def quantile_residuals(df: DataFrame, fit: ZibFit, key: str) -> DataFrame:
     return frame.mapInPandas(run, f"{key} {key_type}, probability double, residual double")
 
 
-@F.pandas_udf("double")
-def _normal_quantile(p: pd.Series) -> pd.Series:
-    from statistics import NormalDist
-
-    return p.map(NormalDist().inv_cdf)
-
-
 def normal_qq(residuals: DataFrame, key: str, value: str = "residual") -> DataFrame:
     """Residuals in order against normal quantiles at the usual plotting positions."""
     from panelweave.operators.ranks import row_positions
 
+    @F.pandas_udf("double")
+    def normal_quantile(p: pd.Series) -> pd.Series:
+        from statistics import NormalDist
+
+        return p.map(NormalDist().inv_cdf)
+
     placed = row_positions(residuals.select(key, value), [value, key])
     a = F.when(F.col("total") <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
     point = (F.col("position") - a) / (F.col("total") + 1 - 2 * a)
-    return placed.select(key, value, "position", _normal_quantile(point).alias("theoretical"))
+    return placed.select(key, value, "position", normal_quantile(point).alias("theoretical"))
