@@ -19,7 +19,7 @@ from panelweave.session import stage
 
 BUCKETS = 256
 SAMPLE = 4096
-SMALL = 200_000
+SMALL = 2_000_000
 
 
 def _bounds(counts: DataFrame, key: str, buckets: int) -> Column:
@@ -31,6 +31,17 @@ def _bounds(counts: DataFrame, key: str, buckets: int) -> Column:
     return ordered.withColumn("s", step).select(every.alias("b")).scalar()
 
 
+def _bucket_of(value: Column, bounds: Column, buckets: int) -> Column:
+    """Number of bounds below the value, found by halving steps; a missing bound ends the step."""
+    steps = [F.lit(1 << k) for k in reversed(range((2 * buckets).bit_length()))]
+    found = F.aggregate(
+        F.array(*steps),
+        F.lit(0),
+        lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at),
+    )
+    return F.coalesce(found, F.lit(0))
+
+
 def value_ranks(
     df: DataFrame, value: str, by: list[str] | None = None, buckets: int = BUCKETS, small: int | None = None
 ) -> DataFrame:
@@ -49,11 +60,8 @@ def value_ranks(
         total = F.sum("n").over(group)
         mean = F.sum(F.col(value) * F.col("n")).over(group) / total if numeric else weighted
         return counts.select(*by, value, "n", F.sum("n").over(upto).alias("cum"), total.alias("total"), mean.alias("mean"))
-    bucket = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))
-    counts = (
-        counts.withColumn("_bounds", _bounds(counts, value, buckets))
-        .withColumn("_bucket", bucket)
-        .drop("_bounds")
+    counts = counts.withColumn("_bounds", _bounds(counts, value, buckets)).select(
+        *by, value, "n", _bucket_of(F.col(value), F.col("_bounds"), buckets).alias("_bucket")
     )
     parts = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_m"), weighted.alias("_w"))
     before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

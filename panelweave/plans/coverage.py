@@ -107,16 +107,15 @@ def cohort_coverage(
         value, "factor", F.col("_s.weight").alias("weight"), (F.col(event) * F.col("_s.weight")).alias("doses"),
     )
     key = [unit, "scenario", "cohort"]
-    rows = rows.withColumn("doses_cum", running_sum("doses", key, period)).withColumn("ratio", lag_ratio(value, key, period))
-    rows = rows.withColumn("doses_adj", F.col("ratio") * F.col("doses_cum"))
-    rows = rows.withColumn("age_coverage", F.try_divide("doses_adj", value))
+    rows = rows.withColumns({"doses_cum": running_sum("doses", key, period), "ratio": lag_ratio(value, key, period)})
+    adjusted = F.col("ratio") * F.col("doses_cum")
+    rows = rows.withColumns({"doses_adj": adjusted, "age_coverage": F.try_divide(adjusted, F.col(value))})
     rows = eligible_cohorts(rows, period, max(ages))
     cell = W.partitionBy(unit, "scenario", period)
     covered = F.when(F.count("doses_cum").over(cell) == F.count(F.lit(1)).over(cell), F.sum("doses_cum").over(cell))
     people = F.sum(F.col("factor") * F.col(value)).over(cell)
-    return (
-        rows.withColumn("covered", covered).withColumn("eligible_pop", people)
-        .withColumn("coverage", F.try_divide("covered", "eligible_pop"))
+    return rows.withColumns({"covered": covered, "eligible_pop": people}).withColumn(
+        "coverage", F.try_divide("covered", "eligible_pop")
     )
 
 

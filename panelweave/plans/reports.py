@@ -8,7 +8,7 @@ from panelweave.functions.nulls import complete_cases, strict_sum
 from panelweave.functions.text import unit_levels
 from panelweave.operators.cohorts import attach, zscores
 from panelweave.operators.ranks import distribution, ecdf_rank, quantiles
-from panelweave.operators.shape import grid
+from panelweave.operators.shape import grid, to_long, to_wide
 from panelweave.session import stage
 
 
@@ -62,9 +62,12 @@ def dispersion_levels(
     for name in (small, large):
         rows = rows.join(units.groupBy(period, name).agg(F.var_samp(value).alias(f"var_{name}")), [period, name])
     rows = stage(rows, "dispersion")
-    for c in (f"spread_{small}", f"var_{small}"):
-        rows = rows.join(quantiles(rows, c, {f"{c}_median": 0.5}, [region, period]), [region, period], "left")
-    return rows
+    long = to_long(rows, [region, period], [f"spread_{small}", f"var_{small}"])
+    medians = quantiles(long, "value", {"median": 0.5}, [region, period, "name"]).withColumn(
+        "name", F.concat("name", F.lit("_median"))
+    )
+    names = [f"spread_{small}_median", f"var_{small}_median"]
+    return rows.join(to_wide(medians, [region, period], "name", "median", names), [region, period], "left")
 
 
 def region_table(

@@ -203,8 +203,7 @@ def win_group_total_share(spark, sf):
 
 
 def _cohort_panel(spark, sf):
-    alloc = C.cohort_coverage(V.event(spark, sf), V.pop(spark, sf), FACTOR, PERIODS, V.weights(spark, sf))
-    return alloc
+    return V.coverage(spark, sf)
 
 
 @query("win_cumsum_cohort", f"""

@@ -74,8 +74,8 @@ yb AS (SELECT unit, period, sum(CASE WHEN age = 5 THEN pop END) / sum(pop) AS sh
 shares AS (SELECT 'ST' AS source, * FROM st WHERE share IS NOT NULL UNION ALL SELECT 'YB', * FROM yb WHERE share IS NOT NULL)"""
 
 
-def _shares(spark, sf):
-    pop = V.pop(spark, sf)
+def _shares(spark, sf, pop=None):
+    pop = V.pop_table(spark, sf) if pop is None else pop
     survey = V.survey(spark).filter("scenario = 'he'")
     return S.union_named(
         SC.ageing_out_share(pop, survey, 5), SC.last_age_share(pop, 5), source="source", labels=["ST", "YB"]
@@ -97,8 +97,8 @@ bounds AS (
   UNION ALL SELECT source, unit, period, 'UL', CASE WHEN i = 1 THEN c ELSE c0 * (1 - a0) + (c - c0) END FROM l)"""
 
 
-def _bounds(spark, sf):
-    return SC.ageing_out_bounds(V.event(spark, sf).filter("period BETWEEN 1996 AND 1998"), _shares(spark, sf))
+def _bounds(spark, sf, pop=None):
+    return SC.ageing_out_bounds(V.event(spark, sf).filter("period BETWEEN 1996 AND 1998"), _shares(spark, sf, pop))
 
 
 @query("ageing_out_bounds", f"WITH {BOUND_SQL} SELECT source, unit, period, bound, {rd('value')} AS value FROM bounds")
@@ -115,12 +115,12 @@ pops AS (SELECT pop_source, 'ob' AS process, unit, period, pop FROM base WHERE p
          UNION ALL SELECT pop_source, 'lm', unit, 1998, fitted FROM line UNION ALL SELECT pop_source, 'con', unit, 1998, carried FROM line)"""
 
 
-def _pops(spark, sf):
+def _pops(pop):
     """Observed population of two sources for 1996-97, and two projections for 1998."""
-    pop = V.pop(spark, sf).filter("period < 1998 AND period >= 1996")
+    pop = pop.filter("period < 1998 AND period >= 1996")
     elig = P.eligible_population(pop, FACTOR).select("unit", "period", F.col("eligible").alias("pop"))
     sur = P.risk_population(pop, 5).select("unit", "period", F.col("at_risk").alias("pop"))
-    base = S.union_named(elig, sur, source="pop_source", labels=["YB", "sur"])
+    base = stage(S.union_named(elig, sur, source="pop_source", labels=["YB", "sur"]), "base")
     keyed = base.withColumn("_k", F.struct("pop_source", "unit"))
     line = SC.extrapolate_linear(keyed, 1998, "_k", "period", "pop").select("_k.*", "period", "fitted", "carried")
     return S.union_named(
@@ -136,7 +136,8 @@ grid AS (SELECT * FROM raw WHERE unit NOT IN (SELECT unit FROM raw WHERE cov < 0
 
 
 def _grid(spark, sf):
-    return SC.scenario_grid(_bounds(spark, sf), _pops(spark, sf), hi=0.45)
+    pop = V.pop_table(spark, sf)
+    return SC.scenario_grid(stage(_bounds(spark, sf, pop), "bounds"), _pops(pop), hi=0.45)
 
 
 @query("scenario_grid", f"WITH {GRID_SQL} SELECT pop_source, process, source, bound, unit, period, {rd('cov')} AS cov FROM grid")

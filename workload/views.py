@@ -73,6 +73,11 @@ def pop(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("unit", "age", "period", "pop")
 
 
+def pop_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The population panel as a stage table: the raw lines are read once for all that use it."""
+    return stage(pop(spark, sf), "pop")
+
+
 def event_lines(spark: SparkSession, sf: str) -> DataFrame:
     return scan(
         spark, sf, "lineitem", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag", "l_discount"
@@ -123,13 +128,13 @@ def survey_with_reference(spark: SparkSession, sf: str) -> DataFrame:
     return survey(spark).withColumn("ref_unit", ref).withColumn("ref_period", F.lit(1997))
 
 
-def weights(spark: SparkSession, sf: str) -> DataFrame:
-    return alloc_weights_survey(pop(spark, sf), survey_with_reference(spark, sf))
+def weights(spark: SparkSession, sf: str, panel: DataFrame | None = None) -> DataFrame:
+    return alloc_weights_survey(pop(spark, sf) if panel is None else panel, survey_with_reference(spark, sf))
 
 
-def coverage(spark: SparkSession, sf: str, scenarios: bool = True) -> DataFrame:
-    w = weights(spark, sf) if scenarios else None
-    return cohort_coverage(event(spark, sf), pop(spark, sf), FACTOR, PERIODS, w)
+def coverage(spark: SparkSession, sf: str) -> DataFrame:
+    panel = pop_table(spark, sf)
+    return cohort_coverage(event(spark, sf), panel, FACTOR, PERIODS, weights(spark, sf, panel))
 
 
 def coverage_by_unit(spark: SparkSession, sf: str) -> DataFrame:
