@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelweave.operators.ranks import distribution, value_ranks
+from panelweave.operators.ranks import distribution, row_positions, value_ranks
 from panelweave.operators.shape import grid
 
 
@@ -169,3 +169,10 @@ def category_frequency(df: DataFrame, category: str, stack: str) -> DataFrame:
     cells = df.groupBy(category, stack).agg(F.count(F.lit(1)).alias("n"))
     totals = cells.groupBy(category).agg(F.sum("n").alias("category_n"))
     return _on(cells, totals, [category])
+
+
+def category_order(df: DataFrame, category: str) -> DataFrame:
+    """(category, n, sort_key): categories by falling count, then by name."""
+    counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("n")).withColumn("_down", -F.col("n"))
+    placed = row_positions(counts, ["_down", category])
+    return placed.select(category, "n", F.col("position").cast("int").alias("sort_key"))

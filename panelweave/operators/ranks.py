@@ -1,8 +1,8 @@
 """Exact ranks, quantiles and n-tiles that never put one group into one task.
 
-Rows are first counted per (group, value). The values are cut into buckets by bounds
-taken from a small hash-ordered sample; the sample only balances the work, it does not
-enter any result. Counts per bucket give the offset of each bucket, and a running sum
+Rows are first counted per (group, value). The values are cut into buckets, one per
+``PER_BUCKET`` rows of the count table, by bounds taken from a hash sample of it; the sample
+only balances the work, it does not enter any result. Counts per bucket give the offset of each bucket, and a running sum
 inside (group, bucket) gives the exact cumulative count of each value. A group, or one
 value, holding most of the rows is therefore spread over all tasks. The counts are written once
 as a stage table, because the sample, the offsets and the running sums all read them.
@@ -17,15 +17,20 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelweave.session import stage
 
-BUCKETS = 256
-SAMPLE = 4096
 SMALL = 2_000_000
+PER_BUCKET = 1_000_000
+MIN_BUCKETS, MAX_BUCKETS = 64, 16_384
+PER_BOUND = 16
 
 
-def _bounds(counts: DataFrame, key: str, buckets: int) -> Column:
-    """Bucket bounds as one array value. Ordered by hash, then key: the same on every run."""
-    sample = counts.select(key).orderBy(F.xxhash64(key), key).limit(SAMPLE)
-    ordered = sample.agg(F.sort_array(F.collect_list(key)).alias("a"))
+def _bounds(counts: DataFrame, keys: list[str], value: str, rows: int, buckets: int) -> Column:
+    """Bucket bounds as one array value, from about ``PER_BOUND`` sampled rows per bucket.
+
+    Rows enter the sample by a hash of their key, so it is the same on every run.
+    """
+    one_in = max(1, rows // (PER_BOUND * buckets))
+    sample = counts.filter(F.pmod(F.xxhash64(*keys), F.lit(one_in)) == 0).select(value)
+    ordered = sample.agg(F.sort_array(F.collect_list(value)).alias("a"))
     step = F.greatest(F.lit(1), F.ceil(F.size("a") / F.lit(buckets)).cast("int"))
     every = F.expr("filter(a, (v, i) -> i > 0 AND i % s = 0)")
     return ordered.withColumn("s", step).select(every.alias("b")).scalar()
@@ -43,7 +48,7 @@ def _bucket_of(value: Column, bounds: Column, buckets: int) -> Column:
 
 
 def value_ranks(
-    df: DataFrame, value: str, by: list[str] | None = None, buckets: int = BUCKETS, small: int | None = None
+    df: DataFrame, value: str, by: list[str] | None = None, small: int | None = None
 ) -> DataFrame:
     """(by, value, n, cum, total, mean): rows at the value, rows up to it, rows in the group.
 
@@ -55,12 +60,14 @@ def value_ranks(
     counts = stage(counts, "counts")
     group = W.partitionBy(*by)
     weighted = F.sum(F.col(value) * F.col("n")) if numeric else F.lit(None).cast("double")
-    if counts.count() <= (SMALL if small is None else small):
+    rows = counts.count()
+    if rows <= (SMALL if small is None else small):
         upto = group.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
         total = F.sum("n").over(group)
         mean = F.sum(F.col(value) * F.col("n")).over(group) / total if numeric else weighted
         return counts.select(*by, value, "n", F.sum("n").over(upto).alias("cum"), total.alias("total"), mean.alias("mean"))
-    counts = counts.withColumn("_bounds", _bounds(counts, value, buckets)).select(
+    buckets = min(max(MIN_BUCKETS, rows // PER_BUCKET), MAX_BUCKETS)
+    counts = counts.withColumn("_bounds", _bounds(counts, [*by, value], value, rows, buckets)).select(
         *by, value, "n", _bucket_of(F.col(value), F.col("_bounds"), buckets).alias("_bucket")
     )
     parts = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_m"), weighted.alias("_w"))

@@ -8,6 +8,7 @@ from panelweave.operators.keys import (
     located_share, name_backfill, non_members, recode_apply, unique_fuzzy_match, unmatched_keys,
 )
 from panelweave.operators.shape import union_named
+from panelweave.session import stage
 
 
 def event_reconcile(
@@ -31,7 +32,10 @@ def code_repair(
     ``dim``: code, name, block. ``names``: sources with code, row, name and optionally
     place and area. ``block_of``: (place, block). ``overrides``: (field, match, block),
     tried on place or area; a NULL or absent override leaves the block as found.
+    Facts (summed per code and period) and the map are written once, since the repaired
+    facts, the audit and the share all read them.
     """
+    facts = stage(facts.groupBy(code, period).agg(F.sum(value).alias(value)), "facts")
     lost = unmatched_keys(facts, dim, code)
     named = name_backfill(lost, code, names, "row", ["place", "area", "name"])
     named = named.join(block_of, "place", "left")
@@ -41,8 +45,8 @@ def code_repair(
             named.join(rule.withColumnRenamed("match", column), column, "left")
             .withColumn("block", F.coalesce("_override", "block")).drop("_override")
         )
-    mapping = unique_fuzzy_match(
-        named.filter("block IS NOT NULL"), dim, code, "name", "block", prefix_len, blacklist
+    mapping = stage(
+        unique_fuzzy_match(named.filter("block IS NOT NULL"), dim, code, "name", "block", prefix_len, blacklist), "map"
     )
     repaired = recode_apply(facts, code, mapping, [code, period], value)
     left_over = non_members(lost.select(F.col(code).alias("from")), mapping, ["from"])

@@ -9,6 +9,7 @@ from panelweave.functions.text import unit_levels
 from panelweave.operators.keys import members, non_members, recode_column, recode_pairs
 from panelweave.operators.ranks import quantiles
 from panelweave.operators.shape import union_named
+from panelweave.session import stage
 
 
 def pop_harmonise(
@@ -124,6 +125,7 @@ def risk_population(
 def covered_panel(events: DataFrame, eligible: DataFrame, unit: str = "unit", period: str = "period") -> DataFrame:
     """Events with their population; the national share covers only units with events."""
     joined = events.join(eligible.drop("p_risk_national"), [unit, period]).filter("eligible IS NOT NULL")
+    joined = stage(joined, "covered")
     national = joined.groupBy(period).agg(F.try_divide(F.sum("eligible"), F.sum("tot")).alias("p_risk_national"))
     return joined.withColumn("p_risk", F.try_divide("eligible", "tot")).join(national, period)
 

@@ -52,11 +52,13 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
-    """Stage table. With a partition column, rows are shuffled by it first so that each
-    value is written by few tasks; the extra hash keeps one large value from one task."""
+    """Stage table, optionally partitioned by column.
+
+    The rebalance hint groups rows by the partition columns and lets AQE cut large values
+    into, and merge small ones up to, files of the advisory size.
+    """
     if partition:
-        spread = F.pmod(F.xxhash64(*[c for c in df.columns if c not in partition]), F.lit(16))
-        df = df.repartition(*[F.col(c) for c in partition], spread)
+        df = df.hint("rebalance", *[F.col(c) for c in partition])
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 

@@ -55,8 +55,8 @@ d AS (SELECT DISTINCT unit, period, round(events, 6) AS events FROM u WHERE even
 SELECT unit, period, {rd('avg(events)', 5)} AS events, count(*) AS n_values FROM d GROUP BY 1, 2""")
 def event_reconcile(spark, sf):
     """Annual table, wide annual table, annualised part year and imputed year, reconciled."""
-    months = V.event_month(spark, sf)
-    annual = V.event(spark, sf)
+    months = stage(V.event_month(spark, sf), "months")
+    annual = months.groupBy("unit", "period").agg(F.sum("events").alias("events"))
     wide = S.to_wide(annual, ["unit"], "period", "events", [1996, 1997], "events_")
     long = S.to_long(wide, ["unit"], ["events_1996", "events_1997"], "period", "events", prefix="events_").withColumn(
         "period", F.col("period").cast("int")

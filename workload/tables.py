@@ -8,6 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from panelweave.functions import nulls as N, text as T
 from panelweave.operators import keys as K, shape as S
+from panelweave.operators.describe import category_order as category_order_of
 from panelweave.operators.ranks import row_positions
 from panelweave.plans.coverage import eligible_cohorts
 from panelweave.session import stage_dir
@@ -395,9 +396,7 @@ def first_row(spark, sf):
 SELECT o_orderpriority, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS INTEGER) AS sort_key
 FROM orders GROUP BY 1""")
 def category_order(spark, sf):
-    """Sort keys for category labels; the window runs over the handful of categories."""
-    per = V.scan(spark, sf, "orders", "o_orderpriority").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    return per.withColumn("sort_key", F.row_number().over(W.orderBy(F.desc("n"), "o_orderpriority")))
+    return category_order_of(V.scan(spark, sf, "orders", "o_orderpriority"), "o_orderpriority")
 
 
 # ---- scalar functions
