@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelweave.functions.special import betainc, chi2_tail, digamma, gammaln, trigamma
 from panelweave.operators.models import COEF_SCHEMA, INTERCEPT
+from panelweave.session import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -155,7 +156,8 @@ def zib_regression(
     frame = df.select(F.col(y).cast("double").alias("_y"), *[
         F.col(c).cast("string").alias(c) if c in factors else F.col(c).cast("double").alias(c) for c in used
     ]).dropna()
-    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    # written once so that every pass reads evenly packed files, then kept in memory where it fits
+    frame = stage(frame, "model").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         levels = {}
         for f in factors:
