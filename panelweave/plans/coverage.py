@@ -43,16 +43,16 @@ def alloc_weights_population(
 def _age_cells(pop, events, factor, unit, age, period, value, event) -> DataFrame:
     """One row per (unit, period): population by age, eligible sum and events.
 
-    Both inputs are stacked and hashed by unit once. Everything after that (this aggregate,
-    the cohort windows, the coverage sums) partitions by a key that contains the unit and
-    needs no further shuffle of rows.
+    Both inputs are stacked and combined on the map side per (unit, period), so repeated rows
+    of one unit never meet in one task. The cells, at most one per period of a unit, are then
+    hashed by unit; the cohort windows and coverage sums partition by keys that contain the
+    unit and need no further shuffle.
     """
     stacked = pop.filter(F.col(age).isin(list(factor))).select(
         unit, period, F.col(age).cast("int").alias(age), F.col(value).alias(value)
     )
     if events is not None:
         stacked = stacked.unionByName(events.select(unit, period, F.col(event).alias(event)), allowMissingColumns=True)
-    stacked = stacked.repartition(F.col(unit))
     by_age = []
     for a in sorted(factor):
         hit = F.col(age) == a
@@ -63,7 +63,7 @@ def _age_cells(pop, events, factor, unit, age, period, value, event) -> DataFram
         aggs.append(F.sum(event).alias(event))
     cells = stacked.groupBy(unit, period).agg(*aggs)
     eligible = sum((F.col(f"_p{a}") * float(f) for a, f in sorted(factor.items())), F.lit(0.0))
-    return cells.withColumn("eligible", eligible).filter("eligible IS NOT NULL")
+    return cells.withColumn("eligible", eligible).filter("eligible IS NOT NULL").repartition(F.col(unit))
 
 
 def _age_rows(cells: DataFrame, factor: dict[int, float], age: str, value: str) -> DataFrame:

@@ -41,8 +41,8 @@ def test_no_cartesian_join(spark, sf, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_coverage_shuffles_the_panel_once(spark, sf):
-    """After stacking by unit, aggregate, cohort windows and coverage sums need no further shuffle."""
+def test_coverage_shuffles_cells_once(spark, sf):
+    """One exchange combines the inputs, one places the cells; windows and coverage sums add none."""
     from panelweave.plans.coverage import cohort_coverage
     from workload import views as V
     from workload.registry import FACTOR, PERIODS
@@ -50,6 +50,8 @@ def test_coverage_shuffles_the_panel_once(spark, sf):
     pop = spark.createDataFrame([], "unit string, age int, period int, pop double").repartition(3)
     ev = spark.createDataFrame([], "unit string, period int, events double").repartition(3)
     text = plan(cohort_coverage(ev, pop, FACTOR, PERIODS))
-    assert text.count("hashpartitioning(unit") == 1
+    assert text.count("hashpartitioning(") == 2
+    assert text.index("hashpartitioning(unit") > text.rindex("Generate explode")
+    assert "partial_sum" in text
     lines = plan(V.event(spark, sf))
     assert "PushedFilters: [IsNotNull(l_returnflag), IsNotNull(l_discount), EqualTo(l_returnflag,R)" in lines

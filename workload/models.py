@@ -93,15 +93,15 @@ def vif(spark, sf):
 
 
 @query("ols_simple", f"""
-WITH w AS (SELECT unit, period, max(coverage) FILTER (scenario = 'pop') AS p, max(coverage) FILTER (scenario = 'he') AS he,
-                  max(coverage) FILTER (scenario = 'wu') AS wu FROM v_unitcov GROUP BY 1, 2),
-l AS (SELECT 'he' AS name, p, he AS value FROM w UNION ALL SELECT 'wu', p, wu FROM w)
+WITH w AS (SELECT unit, period, max(coverage) FILTER (scenario = 'pop') AS p, max(coverage) FILTER (scenario = 'a') AS a,
+                  max(coverage) FILTER (scenario = 'b') AS b FROM v_unitcov GROUP BY 1, 2),
+l AS (SELECT 'a' AS name, p, a AS value FROM w UNION ALL SELECT 'b', p, b FROM w)
 SELECT name, count(*) AS n, {rd('regr_slope(value, p)')} AS slope, {rd('regr_intercept(value, p)')} AS intercept, {rd('regr_r2(value, p)')} AS r2,
        {rd('sqrt((regr_syy(value, p) - pow(regr_sxy(value, p), 2) / regr_sxx(value, p)) / (count(*) - 2) / regr_sxx(value, p))')} AS slope_se
 FROM l GROUP BY 1""")
 def ols_simple(spark, sf):
-    wide = V.coverage_wide(spark, sf).withColumnsRenamed({"coverage_he": "he", "coverage_wu": "wu"})
-    long = to_long(wide, ["unit", "period", "coverage_pop"], ["he", "wu"])
+    wide = V.coverage_wide(spark, sf).withColumnsRenamed({"coverage_a": "a", "coverage_b": "b"})
+    long = to_long(wide, ["unit", "period", "coverage_pop"], ["a", "b"])
     return rounded(M.ols_simple(long, "value", "coverage_pop", ["name"]))
 
 

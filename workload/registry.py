@@ -44,11 +44,11 @@ v_elig AS (
               THEN sum(CASE WHEN age = 0 THEN 0.5 * pop WHEN age <= 5 THEN pop END) END AS eligible
   FROM v_pop GROUP BY 1, 2),
 v_survey(scenario, age, num, den) AS (VALUES
-  ('he', 0, 64.5, 420), ('he', 1, 129, 420), ('he', 2, 78, 420), ('he', 3, 33, 420), ('he', 4, 33, 420), ('he', 5, 33, 420),
-  ('wu', 0, 8, 80), ('wu', 1, 21, 85), ('wu', 2, 21, 85), ('wu', 3, 20, 77), ('wu', 4, 20, 77), ('wu', 5, 20, 77)),
+  ('a', 0, 64.5, 420), ('a', 1, 129, 420), ('a', 2, 78, 420), ('a', 3, 33, 420), ('a', 4, 33, 420), ('a', 5, 33, 420),
+  ('b', 0, 8, 80), ('b', 1, 21, 85), ('b', 2, 21, 85), ('b', 3, 20, 77), ('b', 4, 20, 77), ('b', 5, 20, 77)),
 v_ref AS (
-  SELECT 'he' AS scenario, min(unit) AS ref_unit, 1997 AS ref_period FROM v_unit
-  UNION ALL SELECT 'wu', max(unit), 1997 FROM v_unit),
+  SELECT 'a' AS scenario, min(unit) AS ref_unit, 1997 AS ref_period FROM v_unit
+  UNION ALL SELECT 'b', max(unit), 1997 FROM v_unit),
 v_weight_raw AS (
   SELECT scenario, p.age, sum(pop * num / den) AS c
   FROM v_pop p JOIN v_survey s USING (age) JOIN v_ref r USING (scenario)
@@ -62,7 +62,7 @@ v_alloc AS (
               ELSE w.weight END AS weight,
          v.events
   FROM v_pop p JOIN v_elig e USING (unit, period) JOIN v_event v USING (unit, period)
-  CROSS JOIN (VALUES ('pop'), ('he'), ('wu')) s(scenario)
+  CROSS JOIN (VALUES ('pop'), ('a'), ('b')) s(scenario)
   LEFT JOIN v_weight w ON w.scenario = s.scenario AND w.age = p.age
   WHERE p.age <= 5 AND p.period BETWEEN 1996 AND 1999 AND e.eligible IS NOT NULL),
 v_cum AS (

@@ -69,14 +69,14 @@ def event_reconcile(spark, sf):
 
 SHARE_SQL = """
 st AS (SELECT unit, period, sum(CASE WHEN age = 5 THEN pop * num / den END) / sum(pop * num / den) AS share
-       FROM v_pop JOIN v_survey USING (age) WHERE scenario = 'he' GROUP BY 1, 2),
+       FROM v_pop JOIN v_survey USING (age) WHERE scenario = 'a' GROUP BY 1, 2),
 yb AS (SELECT unit, period, sum(CASE WHEN age = 5 THEN pop END) / sum(pop) AS share FROM v_pop WHERE age <= 5 GROUP BY 1, 2),
 shares AS (SELECT 'ST' AS source, * FROM st WHERE share IS NOT NULL UNION ALL SELECT 'YB', * FROM yb WHERE share IS NOT NULL)"""
 
 
 def _shares(spark, sf, pop=None):
     pop = V.pop_table(spark, sf) if pop is None else pop
-    survey = V.survey(spark).filter("scenario = 'he'")
+    survey = V.survey(spark).filter("scenario = 'a'")
     return S.union_named(
         SC.ageing_out_share(pop, survey, 5), SC.last_age_share(pop, 5), source="source", labels=["ST", "YB"]
     )
@@ -198,13 +198,13 @@ r AS (SELECT *, (p_risk - avg(p_risk) OVER ()) / stddev_samp(p_risk) OVER () AS
              (tot - avg(tot) OVER ()) / stddev_samp(tot) OVER () AS tot_s FROM r0),
 x AS (SELECT *, (wealth - avg(wealth) OVER ()) / stddev_samp(wealth) OVER () AS wealth_s,
              (tax - avg(tax) OVER ()) / stddev_samp(tax) OVER () AS tax_s FROM v_cov_x),
-cw AS (SELECT unit, period, max(coverage) FILTER (scenario = 'pop') AS coverage_pop, max(coverage) FILTER (scenario = 'he') AS coverage_he,
-              max(coverage) FILTER (scenario = 'wu') AS coverage_wu FROM v_unitcov GROUP BY 1, 2),
-frame AS (SELECT cw.unit, period, substr(cw.unit, 1, 3) AS province, coverage_pop, coverage_he, coverage_wu, wealth, tax, wealth_s, tax_s,
+cw AS (SELECT unit, period, max(coverage) FILTER (scenario = 'pop') AS coverage_pop, max(coverage) FILTER (scenario = 'a') AS coverage_a,
+              max(coverage) FILTER (scenario = 'b') AS coverage_b FROM v_unitcov GROUP BY 1, 2),
+frame AS (SELECT cw.unit, period, substr(cw.unit, 1, 3) AS province, coverage_pop, coverage_a, coverage_b, wealth, tax, wealth_s, tax_s,
                  burden, burden_s, tot, p_risk, p_risk_s, tot_s
           FROM cw JOIN x USING (unit) JOIN burden USING (unit) JOIN r USING (unit, period)
-          WHERE period = 1998 AND coverage_pop <= 1 AND coverage_he <= 1 AND coverage_wu <= 1 AND substr(cw.unit, 1, 3) <> '003')"""
-FRAME_COLUMNS = ["coverage_pop", "coverage_he", "coverage_wu", "wealth", "tax", "wealth_s", "tax_s", "burden", "burden_s",
+          WHERE period = 1998 AND coverage_pop <= 1 AND coverage_a <= 1 AND coverage_b <= 1 AND substr(cw.unit, 1, 3) <> '003')"""
+FRAME_COLUMNS = ["coverage_pop", "coverage_a", "coverage_b", "wealth", "tax", "wealth_s", "tax_s", "burden", "burden_s",
                  "p_risk", "p_risk_s", "tot_s"]
 
 

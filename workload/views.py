@@ -13,10 +13,10 @@ from workload.registry import FACTOR, PERIODS
 
 # Surveyed coverage by age (doses given over children asked), two surveys.
 SURVEY_ROWS = [
-    ("he", 0, 64.5, 420.0), ("he", 1, 129.0, 420.0), ("he", 2, 78.0, 420.0),
-    ("he", 3, 33.0, 420.0), ("he", 4, 33.0, 420.0), ("he", 5, 33.0, 420.0),
-    ("wu", 0, 8.0, 80.0), ("wu", 1, 21.0, 85.0), ("wu", 2, 21.0, 85.0),
-    ("wu", 3, 20.0, 77.0), ("wu", 4, 20.0, 77.0), ("wu", 5, 20.0, 77.0),
+    ("a", 0, 64.5, 420.0), ("a", 1, 129.0, 420.0), ("a", 2, 78.0, 420.0),
+    ("a", 3, 33.0, 420.0), ("a", 4, 33.0, 420.0), ("a", 5, 33.0, 420.0),
+    ("b", 0, 8.0, 80.0), ("b", 1, 21.0, 85.0), ("b", 2, 21.0, 85.0),
+    ("b", 3, 20.0, 77.0), ("b", 4, 20.0, 77.0), ("b", 5, 20.0, 77.0),
 ]
 
 # Declared schemas spare one footer-reading job per scan.
@@ -124,7 +124,7 @@ def survey(spark: SparkSession) -> DataFrame:
 def survey_with_reference(spark: SparkSession, sf: str) -> DataFrame:
     """Survey rows with the reference unit: the first unit for one survey, the last for the other."""
     u = units(spark, sf)
-    ref = F.when(F.col("scenario") == "he", u.agg(F.min("unit")).scalar()).otherwise(u.agg(F.max("unit")).scalar())
+    ref = F.when(F.col("scenario") == "a", u.agg(F.min("unit")).scalar()).otherwise(u.agg(F.max("unit")).scalar())
     return survey(spark).withColumn("ref_unit", ref).withColumn("ref_period", F.lit(1997))
 
 
@@ -147,5 +147,5 @@ def coverage_valid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coverage_wide(spark: SparkSession, sf: str) -> DataFrame:
-    """(unit, period, coverage_pop, coverage_he, coverage_wu)."""
-    return to_wide(coverage_by_unit(spark, sf), ["unit", "period"], "scenario", "coverage", ["pop", "he", "wu"], "coverage_")
+    """(unit, period, coverage_pop, coverage_a, coverage_b)."""
+    return to_wide(coverage_by_unit(spark, sf), ["unit", "period"], "scenario", "coverage", ["pop", "a", "b"], "coverage_")
