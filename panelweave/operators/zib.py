@@ -86,12 +86,20 @@ def _summed(df: DataFrame, batch_sums, size: int) -> tuple[float, np.ndarray, np
     return flat[0], flat[1 : 1 + size], flat[1 + size :].reshape(size, size)
 
 
+def _invert(info: np.ndarray) -> np.ndarray:
+    """Inverse; the generalised one where a flat direction (say, a level without zeros) leaves none."""
+    try:
+        return np.linalg.inv(info)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(info)
+
+
 def _maximise(df: DataFrame, make_sums, start: np.ndarray, max_iter: int, tol: float):
     """Fisher scoring with step halving on the log-likelihood."""
     theta = start
     loglik, score, info = _summed(df, make_sums(theta), len(theta))
     for _ in range(max_iter):
-        step = np.linalg.solve(info, score)
+        step = _invert(info) @ score
         scale, accepted = 1.0, None
         while scale > 1e-8:
             trial = theta + scale * step
@@ -106,7 +114,7 @@ def _maximise(df: DataFrame, make_sums, start: np.ndarray, max_iter: int, tol: f
         theta, loglik, score, info = accepted
         if gain <= tol * (abs(loglik) + tol) and np.max(np.abs(scale * step)) < 1e-7:
             break
-    return theta, loglik, np.linalg.inv(info)
+    return theta, loglik, _invert(info)
 
 
 @dataclass

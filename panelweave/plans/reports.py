@@ -71,10 +71,11 @@ def dispersion_levels(
 
 
 def region_table(
-    units: DataFrame, names: DataFrame, region: str = "region", value: str = "coverage", scale: float = 100.0
+    units: DataFrame, names: DataFrame, by: list[str], region: str = "region", value: str = "coverage", scale: float = 100.0
 ) -> DataFrame:
-    """Distribution of the unit values per region in percent, with sample size and region name."""
-    return distribution(units, value, [region], scale).join(names, region)
+    """Distribution of the unit values per region (and what else ``by`` names) in percent, with
+    sample size and region name."""
+    return distribution(units, value, by, scale).join(names, region)
 
 
 def burden_rate(

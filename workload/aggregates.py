@@ -9,9 +9,8 @@ from panelweave.functions.text import unit_levels
 from panelweave.operators import cohorts as H, describe as D, keys as K, ranks as Q, shape as S
 from panelweave.operators.impute import annualise, min_observations
 from panelweave.plans import coverage as C, population as P, scenarios as SC
-from panelweave.session import stage
 from workload import views as V
-from workload.pipelines import DISPERSION_SQL, _dispersion
+from workload.pipelines import DISPERSION_SQL
 from workload.registry import FACTOR, LEVELS, PERIODS, query, rd, rounded
 
 NULLED = """

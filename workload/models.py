@@ -8,10 +8,10 @@ from panelweave.functions.text import unit_levels
 from panelweave.operators import models as M, zib as Z
 from panelweave.operators.cohorts import running_sum
 from panelweave.operators.ranks import distribution, ntile_rank
-from panelweave.operators.shape import sum_columns, to_long, to_wide
-from panelweave.plans import population as P, scenarios as SC
+from panelweave.operators.shape import sum_columns, to_long
+from panelweave.plans import population as P
 from workload import views as V
-from workload.registry import FACTOR, PERIODS, query, rd, rounded
+from workload.registry import FACTOR, query, rd, rounded
 from workload.scenarios import FRAME_SQL, frame
 
 RATE_SQL = """
@@ -219,6 +219,31 @@ def lr_test(spark, sf):
     return rounded(Z.lr_test(_full(spark, sf, "no segment", ["balance"]), _full(spark, sf), spark), 4)
 
 
+@query("lr_test_zero_part", f"""
+WITH {SHARE_SQL},
+g AS (SELECT segment, CAST(count(*) FILTER (share = 0) AS DOUBLE) AS z, CAST(count(*) FILTER (share > 0) AS DOUBLE) AS p FROM v GROUP BY 1),
+l AS (SELECT sum(z * ln(z / (z + p)) + p * ln(p / (z + p))) - sum(z) * ln(sum(z) / sum(z + p)) - sum(p) * ln(sum(p) / sum(z + p)) AS gain,
+             CAST(count(*) - 1 AS INTEGER) AS df FROM g)
+SELECT 'same zeros' AS reduced, 'zeros by segment' AS "full", {rd('2 * gain', 4)} AS statistic, df, {rd('exp(-gain) * (1 + gain)', 4)} AS p_value FROM l""")
+def lr_test_zero_part(spark, sf):
+    """Nested models that differ in the zero part only: closed form, four degrees of freedom."""
+    reduced = _full(spark, sf, "same zeros", ["balance"])
+    full = _full(spark, sf, "zeros by segment", ["balance"], nu=["segment"])
+    return rounded(Z.lr_test(reduced, full, spark), 4)
+
+
+@query("effect_table_zero_part", f"""
+WITH {SHARE_SQL},
+g AS (SELECT segment, CAST(count(*) FILTER (share = 0) AS DOUBLE) AS z, CAST(count(*) FILTER (share > 0) AS DOUBLE) AS p FROM v GROUP BY 1),
+r AS (SELECT z AS z0, p AS p0, segment AS s0 FROM g ORDER BY segment LIMIT 1),
+e AS (SELECT segment, segment = s0 AS first, ln(z / p) - ln(z0 / p0) AS b, sqrt(1 / z + 1 / p + 1 / z0 + 1 / p0) AS se FROM g, r)
+SELECT 'zeros' AS model, 'segment' AS term, segment AS level, {rd('CASE WHEN first THEN 1 ELSE exp(b) END', 5)} AS odds_ratio,
+       {rd('CASE WHEN first THEN 1 ELSE exp(b - 1.96 * se) END', 5)} AS lo, {rd('CASE WHEN first THEN 1 ELSE exp(b + 1.96 * se) END', 5)} AS hi FROM e""")
+def effect_table_zero_part(spark, sf):
+    fit = _full(spark, sf, "zeros", [], nu=["segment"])
+    return rounded(Z.effect_table(fit.table(spark).filter("part = 'nu'"), {"segment": fit.levels["segment"][0]}), 5)
+
+
 @query("effect_table")
 def effect_table(spark, sf):
     fit = _full(spark, sf)

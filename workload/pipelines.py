@@ -5,20 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.functions.text import unit_levels
-from panelweave.operators.cohorts import attach
-from panelweave.operators.keys import drop_violating_units
-from panelweave.operators.ranks import distribution
-from panelweave.operators.shape import to_long, union_named
-from panelweave.operators.impute import annualise, impute_monthly
-from panelweave.plans import coverage as C, events as E, population as P, reports as R, scenarios as S
+from panelweave.plans import coverage as C, population as P, reports as R
 from panelweave.session import stage
-from panelweave.sources.tables import literal_table
 from workload import views as V
 from workload.registry import FACTOR, LEVELS, PERIODS, query, rd, rounded
 
-EXTRA_KEYS = "'1996', '1997', '1998', '1999'"
-
-
 @query("eligible_population", f"""
 SELECT unit, period, tot, eligible, {rd('eligible / tot')} AS p_risk,
        {rd('sum(eligible) OVER (PARTITION BY period) / sum(tot) OVER (PARTITION BY period)')} AS p_risk_national
@@ -120,6 +111,19 @@ def cohort_growth(spark, sf):
     return rounded(P.cohort_growth(panel, PERIODS, 5, "province"))
 
 
+@query("cohort_growth_summary", f"""
+WITH c AS (
+  SELECT unit, substr(unit, 1, 3) AS province, period - age AS cohort, period, pop, count(*) OVER w AS n, lag(pop) OVER w2 AS before
+  FROM v_pop WHERE age <= 5 AND period BETWEEN 1996 AND 1999
+  WINDOW w AS (PARTITION BY unit, period - age), w2 AS (PARTITION BY unit, period - age ORDER BY period)),
+k AS (SELECT province, cohort FROM c GROUP BY 1, 2 HAVING min(n) = 4)
+SELECT province, cohort, period, {rd('quantile_cont(pop / before - 1, 0.25)')} AS q1, {rd('median(pop / before - 1)')} AS q2,
+       {rd('quantile_cont(pop / before - 1, 0.75)')} AS q3 FROM c JOIN k USING (province, cohort) WHERE period > 1996 GROUP BY 1, 2, 3""")
+def cohort_growth_summary(spark, sf):
+    panel = unit_levels(V.pop(spark, sf), "unit", {"province": 3})
+    return rounded(P.cohort_growth_summary(P.cohort_growth(panel, PERIODS, 5, "province"), "province"))
+
+
 @query("availability_coverage", f"""
 WITH spine AS (SELECT unit, substr(unit, 1, 1) AS region, CAST(period AS INTEGER) AS period
                FROM v_unit, (VALUES (1996), (1997), (1998), (1999)) p(period)),
@@ -211,7 +215,7 @@ def ref_table1(spark, sf):
     names = V.scan(spark, sf, "region").select(
         F.col("r_regionkey").cast("string").alias("region"), F.col("r_name").alias("region_name")
     )
-    return rounded(distribution(kept, "coverage", ["region", "period"], 100.0).join(names, "region"), 4)
+    return rounded(R.region_table(kept, names, by=["region", "period"]), 4)
 
 
 BURDEN_SQL = """

@@ -88,6 +88,8 @@ v_valid AS (
 def with_views(sql: str) -> str:
     """Put the shared views in front of an oracle."""
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {VIEWS.strip()},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {VIEWS.strip()},\n{body[5:]}"
     return f"WITH {VIEWS.strip()}\n{body}"

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from panelweave.operators import shape as S
 from panelweave.operators.impute import annualise, impute_monthly
-from panelweave.plans import coverage as C, events as E, population as P, reports as R, scenarios as SC
+from panelweave.plans import events as E, population as P, reports as R, scenarios as SC
 from panelweave.session import stage
 from workload import views as V
 from workload.pipelines import BURDEN_SQL, burden
-from workload.registry import FACTOR, PERIODS, query, rd, rounded
+from workload.registry import FACTOR, query, rd, rounded
 
 IMPUTE_SQL = """
 k AS (SELECT DISTINCT unit, period FROM v_event_month),
@@ -39,10 +39,45 @@ def impute_annual_linear(spark, sf):
     return rounded(impute_monthly(V.event_month(spark, sf), ["unit"], "period", "mon", "events")[0])
 
 
-@query("impute_monthly_spline")
+# The tridiagonal system of each unit is swept forward and back by recursion over its knots.
+SPLINE_SQL = """
+k AS (SELECT DISTINCT unit, period FROM v_event_month),
+g AS (SELECT k.unit, k.period, CAST(m.mon AS INTEGER) AS mon, k.period * 12 + m.mon AS t, e.events AS x FROM k CROSS JOIN range(1, 13) m(mon)
+      LEFT JOIN v_event_month e ON e.unit = k.unit AND e.period = k.period AND e.mon = m.mon),
+n AS (SELECT unit, t, x, row_number() OVER w AS i, count(*) OVER (PARTITION BY unit) AS n, lag(t) OVER w AS ta, lag(x) OVER w AS xa,
+             lead(t) OVER w AS tb, lead(x) OVER w AS xb, lead(t, 2) OVER w AS tc, lead(x, 2) OVER w AS xc, lead(t, 3) OVER w AS td,
+             lead(x, 3) OVER w AS xd, lag(t, 2) OVER w AS tp, lag(x, 2) OVER w AS xp, lag(t, 3) OVER w AS tq, lag(x, 3) OVER w AS xq
+      FROM g WHERE x IS NOT NULL WINDOW w AS (PARTITION BY unit ORDER BY t)),
+e AS (SELECT unit, i, n, t, x,
+        CAST(CASE WHEN i = 1 THEN 0 WHEN i = n THEN -1 ELSE t - ta END AS DOUBLE) AS a,
+        CAST(CASE WHEN i = 1 THEN -1 WHEN i = n THEN 1 ELSE 2 * (tb - ta) END AS DOUBLE) AS b,
+        CAST(CASE WHEN i = 1 THEN 1 WHEN i = n THEN 0 ELSE tb - t END AS DOUBLE) AS c,
+        CASE WHEN i = 1 THEN 6 * (tb - t) * (((xd - xc) / (td - tc) - (xc - xb) / (tc - tb)) / (td - tb)
+                                          - ((xc - xb) / (tc - tb) - (xb - x) / (tb - t)) / (tc - t)) / (td - t)
+             WHEN i = n THEN 6 * (t - ta) * (((x - xa) / (t - ta) - (xa - xp) / (ta - tp)) / (t - tp)
+                                          - ((xa - xp) / (ta - tp) - (xp - xq) / (tp - tq)) / (ta - tq)) / (t - tq)
+             ELSE 6 * ((xb - x) / (tb - t) - (x - xa) / (t - ta)) END AS d
+      FROM n WHERE n > 3),
+down AS (
+  SELECT unit, i, c / b AS cc, d / b AS dd FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.unit, e.i, e.c / (e.b - e.a * p.cc), (e.d - e.a * p.dd) / (e.b - e.a * p.cc) FROM down p JOIN e ON e.unit = p.unit AND e.i = p.i + 1),
+up AS (
+  SELECT d.unit, d.i, d.dd AS m FROM down d JOIN e ON e.unit = d.unit AND e.i = d.i WHERE e.i = e.n
+  UNION ALL
+  SELECT d.unit, d.i, d.dd - d.cc * u.m FROM up u JOIN down d ON d.unit = u.unit AND d.i = u.i - 1),
+piece AS (SELECT e.unit, e.n, e.i, e.t AS t0, lead(e.t) OVER w AS t1, e.x AS x0, lead(e.x) OVER w AS x1, m AS m0, lead(m) OVER w AS m1,
+                 lead(e.t) OVER w - e.t AS h FROM e JOIN up USING (unit, i) WINDOW w AS (PARTITION BY unit ORDER BY e.i)),
+filled AS (SELECT g.unit, g.period, g.mon, p.n AS n_obs, g.x AS events, CASE WHEN g.x IS NOT NULL THEN g.x ELSE
+        (m0 * pow(t1 - t, 3) + m1 * pow(t - t0, 3)) / (6 * h) + (x0 / h - m0 * h / 6) * (t1 - t) + (x1 / h - m1 * h / 6) * (t - t0) END AS filled
+      FROM g JOIN piece p ON p.unit = g.unit AND p.i < p.n AND (t >= t0 OR p.i = 1) AND (t < t1 OR p.i = p.n - 1))"""
+
+
+@query("impute_monthly_spline", f"""
+WITH RECURSIVE {SPLINE_SQL} SELECT unit, period, mon, n_obs, events, {rd('filled', 5)} AS filled FROM filled""")
 def impute_monthly_spline(spark, sf):
     monthly = impute_monthly(V.event_month(spark, sf), ["unit"], "period", "mon", "events", method="spline")[1]
-    return rounded(monthly.select("unit", "period", "mon", "n_obs", "events", "filled"))
+    return rounded(monthly.select("unit", "period", "mon", F.col("n_obs").cast("long").alias("n_obs"), "events", "filled"), 5)
 
 
 @query("event_reconcile", f"""
