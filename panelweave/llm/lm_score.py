@@ -197,12 +197,13 @@ def score_documents(docs: DataFrame, doc_id: str, text: str, train: Column, orde
     end = lexicon.filter(F.col("word") == END_WORD).first()
     end_lp, end_known = (end["lp"], end["known"]) if end else (0.0, 0)
 
-    top_grams = frequent(model, "n_all", GRAM_LIMIT).select("gram", "lp").toPandas().sort_values("gram")
-    top_words = frequent(lexicon, "n", WORD_LIMIT).select("word", "lp", "known").toPandas()
+    top_grams = frequent(model, "n_all", GRAM_LIMIT).select("gram", "lp").toArrow().sort_by("gram")
+    top_words = frequent(lexicon, "n", WORD_LIMIT).select("word", "lp", "known").toArrow()
     shared = spark.sparkContext.broadcast((
-        top_grams["gram"].to_numpy(np.int64), top_grams["lp"].to_numpy(np.float64),
-        top_words["word"].tolist(), top_words["lp"].to_numpy(np.float64), top_words["known"].to_numpy(np.int64),
+        top_grams["gram"].to_numpy(), top_grams["lp"].to_numpy(),
+        top_words["word"].to_pylist(), top_words["lp"].to_numpy(), top_words["known"].to_numpy(),
     ))
+    del top_grams, top_words
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = rows.schema["id"].dataType

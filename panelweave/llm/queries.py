@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from panelweave.llm.decontaminate import OP3_SQL, op3_decontaminate
+from panelweave.llm.lang_id import op4_language_id
 from panelweave.llm.lm_score import op1_lm_score
 from panelweave.llm.simhash import op10_simhash
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op10_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op3_decontaminate, op4_language_id, op10_simhash)}
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL}
