@@ -31,6 +31,15 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, also where the body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), SPACE), lambda w: w != "")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

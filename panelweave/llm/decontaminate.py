@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelweave.llm.base import SPACE, ascii_lower, free_name, shingle_hashes, slices, table
+from panelweave.llm.base import ascii_lower, free_name, let, shingle_hashes, slices, table, words_of
 from panelweave.llm.keyfilter import as_array, key_filter, np_has, rows_with_keys, split_by_keys
 from panelweave.session import stage
 
@@ -41,11 +41,13 @@ def _hashes(width: int, bits=None):
 
 def shingle_texts(text: Column, width: int) -> Column:
     """The distinct word shingles of a text, lower-cased; the whole sequence if it is shorter, none if it has no word."""
-    words = F.filter(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), SPACE), lambda w: w != "")
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (width - 1))), lambda i: F.concat_ws(" ", F.slice(words, i, width))
-    )
-    return F.array_distinct(F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(runs))
+    def runs(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (width - 1)))
+        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(
+            F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, width))))
+        )
+
+    return let(words_of(ascii_lower(text.cast("string"))), runs)
 
 
 def item_sketches(items: DataFrame, width: int, share: float) -> DataFrame:

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelweave.llm.base import table
+from panelweave.llm.base import free_name, mixed, shingle_hashes, slices, table
 from panelweave.llm.components import components
+from panelweave.llm.keyfilter import key_filter, rows_with_keys, split_by_keys
 from panelweave.session import stage
 
 CHUNK = 1 << 16
@@ -85,5 +88,114 @@ def simhash_groups(docs: DataFrame, doc_id: str, text: str, width: int = 3) -> D
     )
 
 
+# Near copies of text at a similarity of word sets, for filtering. Texts of Jaccard similarity 0.8 differ in about 10 of
+# 64 SimHash bits, too many for a ball of radius 2, so the fingerprints here are bits of minimum hashes, of which similar
+# texts share more: 8 independent ones of 32 bits, each in a ball of radius 2. Candidates are verified on the shingles.
+TABLES = 8
+
+
+def _signatures(width: int):
+    """Map (id, digest, rowhash, text) to the same with 8 fingerprints of 32 bits in place of the text; NULL without a word."""
+    bins = 32 * TABLES
+
+    def run(batches):
+        for batch in batches:
+            signs, sizes = [], []
+            for _, part in slices(batch.column("text")):
+                row, h = shingle_hashes(part, width)
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                spot = row * bins + (h >> np.uint64(56)).astype(np.int64)
+                first = np.ones(len(spot), dtype=bool)
+                first[1:] = spot[1:] != spot[:-1]
+                least = np.zeros(len(part) * bins, dtype=np.uint64)
+                have = np.zeros(len(part) * bins, dtype=bool)
+                least[spot[first]], have[spot[first]] = h[first], True
+                # an empty bin borrows from the next one that is not empty, round the row
+                have = np.tile(have.reshape(-1, bins), 2)
+                at = np.where(have, np.arange(2 * bins), 4 * bins)
+                at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
+                rows = np.arange(len(part))[:, None]
+                value = least.reshape(-1, bins)[rows, at % bins]
+                bit = mixed(value ^ (np.arange(bins, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))) >> np.uint64(40) & np.uint64(1)
+                signs.append(np.packbits(bit.astype(np.uint8), axis=1, bitorder="little").view("<u4").astype(np.int64))
+                sizes.append(np.bincount(row, minlength=len(part)))
+            sign = np.concatenate(signs) if signs else np.zeros((0, TABLES), np.int64)
+            empty = np.concatenate(sizes) == 0 if sizes else np.zeros(0, bool)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sign) + 1) * TABLES, pa.int32()), pa.array(sign.ravel()))
+            lists = pc.if_else(pa.array(empty), pa.nulls(len(sign), lists.type), lists)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "digest", "rowhash")], lists], names=["id", "digest", "rowhash", "sign"])
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches):
+        for batch in batches:
+            for at, part in slices(batch.column("text")):
+                row, h = shingle_hashes(part, width)
+                key = np.unique(row << 32 | (h >> np.uint64(32)).astype(np.int64))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(key >> 32, minlength=len(part)))])
+                sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((key & 0xFFFFFFFF).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(part)), sets], names=["node", "s"])
+
+    return run
+
+
+def near_copy_links(classes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(u, v): nodes of ``classes`` (node, digest, sign) that meet in a ball and whose shingle sets have Jaccard ``least`` or more."""
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
+    balls = F.flatten(F.transform("sign", lambda s, t: F.transform(masks, lambda m: s.bitwiseXOR(m) + F.shiftleft(t.cast("long"), 32))))
+    variants = classes.filter("sign IS NOT NULL").select("node", F.explode(balls).alias("variant"))
+    meetings = variants.groupBy("variant").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    meetings = stage(meetings, "meetings")
+    spread = F.xxhash64("variant")
+    members = rows_with_keys(variants, key_filter(meetings, {"v": spread}), spread, "v").join(meetings, "variant")
+    ends = F.explode(F.array(F.struct("low", "node"), F.struct(F.col("node").alias("low"), F.col("high").alias("node")))).alias("e")
+    pairs = stage(members.select(ends).select(F.col("e.low").alias("u"), F.col("e.node").alias("v")).filter("u < v").distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = stage(classes.join(nodes, "node").select("node", "digest"), "wanted")
+    place = F.xxhash64("digest")
+    found = rows_with_keys(texts, key_filter(wanted, {"d": place}), place, "d").join(wanted, "digest")
+    sets = stage(found.dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets(width), "node long, s array<int>"), "sets")
+    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
+    both = left.join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.select("u", "v", shared.alias("n"), (F.size("a") + F.size("b")).alias("m")).filter(F.col("n") >= least * (F.col("m") - F.col("n")) - 1e-9).select("u", "v")
+
+
+def drop_near_copies(docs: DataFrame, doc_id: str, text: str, width: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of equal or similar texts; columns as given.
+
+    Similar: Jaccard of the sets of ``width``-word shingles is ``least`` or more; groups are connected by such links. The row with the least
+    id stays (NULL last), among equal ids any fixed one; of rows equal in all columns one. Texts without a word are
+    equal only if they are the same; NULL is an empty text. A pair of similarity 0.8 meets in a ball with probability 0.97, 0.85: 0.999. An empty
+    table gives no rows. Rows must come the same on a second reading.
+    """
+    digest, rowhash = free_name(docs, "_digest"), free_name(docs, "_rowhash")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    keyed = docs.withColumns({digest: F.unhex(F.md5(body)), rowhash: F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
+    texts = keyed.select(F.col(f"`{doc_id}`").alias("id"), F.col(digest).alias("digest"), F.col(rowhash).alias("rowhash"), body.alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+    signed = texts.mapInArrow(_signatures(width), f"id {kind}, digest binary, rowhash long, sign array<long>")
+    equal = signed.groupBy("digest", "id", "rowhash").agg(F.count(F.lit(1)).alias("c"), F.first("sign").alias("sign"))
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "rowhash", "digest", "c")
+    classes = equal.groupBy("digest").agg(F.first("sign").alias("sign"), F.sum("c").alias("n"), F.min(best).alias("best"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    linked = components(near_copy_links(classes, texts.select("digest", "text"), width, least))
+    grouped = classes.drop("sign").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = grouped.groupBy("root").agg(F.sum("n").alias("n"), F.min("best").alias("best")).filter("n > 1")
+    copies = stage(grouped.select("root", "digest").join(groups, "root").select(F.col("digest").alias("d"), "best"), "copies")
+    place = F.xxhash64(F.col(digest))
+    maybe, alone = split_by_keys(keyed, key_filter(copies, {"d": F.xxhash64("d")}), place, "d")
+    judged = maybe.join(copies, F.col(digest) == F.col("d"), "left")
+    stays = F.col("d").isNull() | ((F.col("best.digest") == F.col(digest)) & (F.col("best.rowhash") == F.col(rowhash)))
+    many = F.coalesce(F.col("best.c") > 1, F.lit(False))
+    kept = judged.filter(stays).withColumn("d", many)
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.filter("d").dropDuplicates([digest, rowhash]).select(*out)
+    return alone.select(*out).unionByName(kept.filter("NOT d").select(*out)).unionByName(once)
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
