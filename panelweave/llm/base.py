@@ -48,16 +48,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(texts: pa.Array, size: int = SLICE):
-    """(first row, string array without NULLs) parts of about ``size`` bytes; a longer text is a part of its own."""
+def slices(texts: pa.Array, size: int = SLICE, rows: int = 2048):
+    """(first row, string array without NULLs) parts of about ``size`` bytes and ``rows`` rows at most; a longer text is a part of its own."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + size, "right"))))
         yield at, texts.slice(at, to - at)
         at = to
+    # workers stay alive between stages; what Arrow keeps in reserve would add to the next stage's memory
+    pa.default_memory_pool().release_unused()
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +141,11 @@ def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(hashes)
 
 
+def spread(df: DataFrame, rows: int = 16_384) -> DataFrame:
+    """A written table dealt evenly in tasks of about ``rows`` rows, for steps that make many rows of each."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 class Tally:
     """Sums per key inside one task; hands its table out when it has more than ``limit`` keys."""
 

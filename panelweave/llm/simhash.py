@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelweave.llm.base import free_name, mixed, shingle_hashes, slices, table
+from panelweave.llm.base import free_name, mixed, shingle_hashes, slices, spread, table
 from panelweave.llm.components import components
 from panelweave.llm.keyfilter import key_filter, rows_with_keys, split_by_keys
 from panelweave.session import stage
@@ -60,7 +60,7 @@ def simhash(text: Column, width: int = 3) -> Column:
 def hamming_links(prints: DataFrame, bits: int = 64) -> DataFrame:
     """(u, v) between distinct fingerprints (column fp) that differ in at most 2 bits, enough to join each component."""
     masks = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(bits)])
-    variants = prints.select("fp", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("variant"))
+    variants = spread(prints).select("fp", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("variant"))
     meetings = variants.groupBy("variant").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
     # a meeting has at most bits + 1 members, so the members are the variants of the meeting that exist
     near = meetings.select("low", "variant", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("variant")))).alias("fp"))
@@ -146,7 +146,7 @@ def near_copy_links(classes: DataFrame, texts: DataFrame, width: int, least: flo
     """(u, v): nodes of ``classes`` (node, digest, sign) that meet in a ball and whose shingle sets have Jaccard ``least`` or more."""
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
     balls = F.flatten(F.transform("sign", lambda s, t: F.transform(masks, lambda m: s.bitwiseXOR(m) + F.shiftleft(t.cast("long"), 32))))
-    variants = classes.filter("sign IS NOT NULL").select("node", F.explode(balls).alias("variant"))
+    variants = spread(classes.filter("sign IS NOT NULL")).select("node", F.explode(balls).alias("variant"))
     meetings = variants.groupBy("variant").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     meetings = stage(meetings, "meetings")
     spread = F.xxhash64("variant")
