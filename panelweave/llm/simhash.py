@@ -149,8 +149,8 @@ def near_copy_links(classes: DataFrame, texts: DataFrame, width: int, least: flo
     variants = spread(classes.filter("sign IS NOT NULL")).select("node", F.explode(balls).alias("variant"))
     meetings = variants.groupBy("variant").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     meetings = stage(meetings, "meetings")
-    spread = F.xxhash64("variant")
-    members = rows_with_keys(variants, key_filter(meetings, {"v": spread}), spread, "v").join(meetings, "variant")
+    spot = F.xxhash64("variant")
+    members = rows_with_keys(variants, key_filter(meetings, {"v": spot}), spot, "v").join(meetings, "variant")
     ends = F.explode(F.array(F.struct("low", "node"), F.struct(F.col("node").alias("low"), F.col("high").alias("node")))).alias("e")
     pairs = stage(members.select(ends).select(F.col("e.low").alias("u"), F.col("e.node").alias("v")).filter("u < v").distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
