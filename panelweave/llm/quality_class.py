@@ -18,6 +18,7 @@ from panelweave.session import stage
 
 BUCKETS = 1 << 14
 LABEL_LIMIT = 1 << 17
+SMOOTH = BUCKETS / 2
 
 
 def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +96,9 @@ def importance_resample(docs: DataFrame, labels: DataFrame, doc_id: str, text: s
     sums = np.zeros((2, BUCKETS))
     for r in counts.collect():
         sums[:, r["bucket"]] = r["raw"], r["target"]
-    smooth = sums + 0.5
-    ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
-    if not sums[1].sum():
-        ratio = np.zeros(BUCKETS)
+    # the target is smoothed towards the raw model, so that few labels pull weights to 0 and not down
+    raw = (sums[0] + 0.5) / (sums[0] + 0.5).sum()
+    ratio = np.log((sums[1] + SMOOTH * raw) / (sums[1].sum() + SMOOTH)) - np.log(raw)
     shared = spark.sparkContext.broadcast(ratio)
     kind = rows.schema["id"].dataType.simpleString()
     # noise by id and text, so that it is the same on every run
