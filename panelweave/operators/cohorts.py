@@ -33,9 +33,13 @@ def attach(df: DataFrame, keys: list[str], *aggs: Column, rename: dict[str, str]
 
     A window over these keys would put a large group into one task; the aggregate
     combines on the map side and the join can be split or broadcast at run time by
-    its measured size.
+    its measured size. Rows with a NULL key form groups of their own and stay.
     """
-    return df.join(df.groupBy(*keys).agg(*aggs), keys)
+    right = df.groupBy(*[F.col(k).alias(f"_{k}_key") for k in keys]).agg(*aggs)
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_{k}_key"))
+    return df.join(right, match).drop(*[f"_{k}_key" for k in keys])
 
 
 def group_share(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

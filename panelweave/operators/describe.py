@@ -41,9 +41,11 @@ def histogram(df: DataFrame, value: str, by: list[str], bins: int = 30) -> DataF
     )
     counts = placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     cells = grid(counts.select(*by).distinct(), bin=list(range(bins)))
-    full = cells.withColumn("_key", F.concat_ws("|", *by)).join(
-        counts.withColumn("_key", F.concat_ws("|", *by)).select("_key", "bin", "n"), ["_key", "bin"], "left"
-    ) if by else cells.join(counts, "bin", "left")
+    found = counts.select(*[F.col(c).alias(f"_{c}_of") for c in by], F.col("bin").alias("_bin"), "n")
+    match = F.col("bin") == F.col("_bin")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}_of"))
+    full = cells.join(found, match, "left")
     return (
         full.withColumn("_e", ends)
         .select(

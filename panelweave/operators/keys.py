@@ -60,8 +60,8 @@ def recode_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def recode_column(df: DataFrame, code: str, mapping: DataFrame) -> DataFrame:
-    """Replace mapped codes and leave the others as they are."""
-    mapping = mapping.select(F.col("from").alias(code), F.col("to").alias("_to"))
+    """Replace mapped codes and leave the others as they are; of several targets of a code the least is taken."""
+    mapping = mapping.groupBy(F.col("from").alias(code)).agg(F.min("to").alias("_to"))
     return df.join(mapping, code, "left").withColumn(code, F.coalesce("_to", code)).drop("_to")
 
 

@@ -7,19 +7,17 @@ inside (group, bucket) gives the exact cumulative count of each value. A group,
 value, holding most of the rows is therefore spread over all tasks. The counts are written once
 as a stage table, because the sample, the offsets and the running sums all read them.
 
-The written table has a known row count. Up to ``SMALL`` rows in all, one running sum per
-group does the same work with fewer stages; beyond it the bucketed way is taken.
+The one way is taken at every size; the number of buckets follows the size of the count table, without a cap.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from panelweave.session import stage
 
-SMALL = 2_000_000
 PER_BUCKET = 1_000_000
-MIN_BUCKETS, MAX_BUCKETS = 64, 16_384
+MIN_BUCKETS = 64
 PER_BOUND = 16
 
 
@@ -47,26 +45,21 @@ def _bucket_of(value: Column, bounds: Column, buckets: int) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def value_ranks(
-    df: DataFrame, value: str, by: list[str] | None = None, small: int | None = None
-) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(by, value, n, cum, total, mean): rows at the value, rows up to it, rows in the group.
 
     NULL values are left out. ``mean`` is the group mean, NULL for non-numeric values.
     """
     by = by or []
-    numeric = dict(df.dtypes)[value] in ("double", "float", "int", "bigint", "smallint", "tinyint")
+    if isinstance(df.schema[value].dataType, T.DecimalType):
+        df = df.withColumn(value, F.col(value).cast("double"))
+    numeric = isinstance(df.schema[value].dataType, T.NumericType)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     counts = stage(counts, "counts")
     group = W.partitionBy(*by)
     weighted = F.sum(F.col(value) * F.col("n")) if numeric else F.lit(None).cast("double")
     rows = counts.count()
-    if rows <= (SMALL if small is None else small):
-        upto = group.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        total = F.sum("n").over(group)
-        mean = F.sum(F.col(value) * F.col("n")).over(group) / total if numeric else weighted
-        return counts.select(*by, value, "n", F.sum("n").over(upto).alias("cum"), total.alias("total"), mean.alias("mean"))
-    buckets = min(max(MIN_BUCKETS, rows // PER_BUCKET), MAX_BUCKETS)
+    buckets = max(MIN_BUCKETS, rows // PER_BUCKET)
     counts = counts.withColumn("_bounds", _bounds(counts, [*by, value], value, rows, buckets)).select(
         *by, value, "n", _bucket_of(F.col(value), F.col("_bounds"), buckets).alias("_bucket")
     )
@@ -148,15 +141,16 @@ def ecdf_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None)
 
 
 def row_positions(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Add ``position`` (from 1) and ``total`` in the stated order; ``order`` must be unique per group.
+    """Add ``position`` (from 1) and ``total`` in the stated order; ties follow the other columns, equal rows each get a position.
 
-    Works on a struct key, so rows that tie on the leading column still spread out.
+    Works on a struct key, so rows that tie on the leading column still spread out. Equal rows are counted once and listed again.
     """
     by = by or []
     rest = [c for c in df.columns if c not in by]
     keyed = df.select(*by, F.struct(*order, *[c for c in rest if c not in order]).alias("_key"))
-    ranks = value_ranks(keyed, "_key", by)
-    return ranks.select(*by, *[F.col(f"_key.{c}").alias(c) for c in rest], F.col("cum").alias("position"), "total")
+    ranks = value_ranks(keyed, "_key", by).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    position = (F.col("cum") - F.col("n") + F.col("_copy")).alias("position")
+    return ranks.select(*by, *[F.col(f"_key.{c}").alias(c) for c in rest], position, "total")
 
 
 def ntile_rank(df: DataFrame, order: list[str], tiles: int, out: str, by: list[str] | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def to_long(
 ) -> DataFrame:
     """Columns to rows; ``prefix`` is cut off the names."""
     out = df.unpivot(ids, columns, name, value)
-    return out.withColumn(name, F.substring(name, len(prefix) + 1, 1000)) if prefix else out
+    return out.withColumn(name, F.expr(f"substring(`{name}`, {len(prefix) + 1})")) if prefix else out
 
 
 def to_long_paired(df: DataFrame, ids: list[str], groups: dict[object, dict[str, str]], name: str) -> DataFrame:

@@ -30,7 +30,7 @@ def code_repair(
     """(repaired facts, audit of (from, to, rule), located share).
 
     ``dim``: code, name, block. ``names``: sources with code, row, name and optionally
-    place and area. ``block_of``: (place, block). ``overrides``: (field, match, block),
+    place and area. ``block_of``: (place, block), of which the least block of a place counts. ``overrides``: (field, match, block),
     tried on place or area; a NULL or absent override leaves the block as found.
     Facts (summed per code and period) and the map are written once, since the repaired
     facts, the audit and the share all read them.
@@ -38,7 +38,8 @@ def code_repair(
     facts = stage(facts.groupBy(code, period).agg(F.sum(value).alias(value)), "facts")
     lost = unmatched_keys(facts, dim, code)
     named = name_backfill(lost, code, names, "row", ["place", "area", "name"])
-    named = named.join(block_of, "place", "left")
+    one_block = block_of.filter("place IS NOT NULL").groupBy("place").agg(F.min("block").alias("block"))
+    named = named.join(one_block, "place", "left")
     for column in ("place", "area"):
         rule = overrides.filter(F.col("field") == column).groupBy("match").agg(F.max("block").alias("_override"))
         named = (

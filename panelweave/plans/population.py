@@ -47,7 +47,7 @@ def pop_harmonise(
     recovered = recoded.groupBy(unit, age).agg(*[F.sum(c).alias(c) for c in columns]).filter(full)
     total = complete.unionByName(recovered).groupBy(unit, age).agg(*[F.sum(c).alias(c) for c in columns])
     long = total.unpivot([unit, age], columns, period, pop).withColumn(
-        period, F.substring(period, 3, 20).cast("int")
+        period, F.expr(f"substring(`{period}`, 3)").cast("int")
     )
     return unit_levels(long, unit, {name: length}).select(unit, name, age, period, pop)
 

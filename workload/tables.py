@@ -498,5 +498,5 @@ SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS code, TRY_CAST(substr(c_name,
 def c_cast(spark, sf):
     return V.scan(spark, sf, "customer").select(
         "c_custkey", F.col("c_nationkey").cast("string").alias("code"),
-        F.substring("c_name", 10, 20).try_cast("int").alias("number"), F.col("c_mktsegment").try_cast("double").alias("none"),
+        F.expr("substring(c_name, 10)").try_cast("int").alias("number"), F.col("c_mktsegment").try_cast("double").alias("none"),
     )
