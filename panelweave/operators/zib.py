@@ -95,10 +95,13 @@ def _invert(info: np.ndarray) -> np.ndarray:
 
 
 def _maximise(df: DataFrame, make_sums, start: np.ndarray, max_iter: int, tol: float):
-    """Fisher scoring with step halving on the log-likelihood."""
-    theta = start
+    """(theta, log-likelihood, covariance, converged, iterations) by Fisher scoring with step halving on the log-likelihood.
+
+    Converged: the last full step would gain next to nothing, and no direction is flat (a separated part has no finite maximum).
+    """
+    theta, iterations = start, 0
     loglik, score, info = _summed(df, make_sums(theta), len(theta))
-    for _ in range(max_iter):
+    for iterations in range(1, max_iter + 1):
         step = _invert(info) @ score
         scale, accepted = 1.0, None
         while scale > 1e-8:
@@ -114,7 +117,9 @@ def _maximise(df: DataFrame, make_sums, start: np.ndarray, max_iter: int, tol: f
         theta, loglik, score, info = accepted
         if gain <= tol * (abs(loglik) + tol) and np.max(np.abs(scale * step)) < 1e-7:
             break
-    return theta, loglik, _invert(info)
+    gain = float(score @ _invert(info) @ score)
+    flat = np.linalg.matrix_rank(info, hermitian=True, tol=1e-10 * np.abs(info).max()) < len(theta)
+    return theta, loglik, _invert(info), bool(np.isfinite(gain) and gain <= 1e-8 * (1 + abs(loglik)) and not flat), iterations
 
 
 @dataclass
@@ -129,6 +134,8 @@ class ZibFit:
     loglik: float
     n: int
     n_zero: int
+    converged: bool = True
+    iterations: int = 0
 
     @property
     def n_parameters(self) -> int:
@@ -148,8 +155,8 @@ class ZibFit:
     def summary(self, spark: SparkSession) -> DataFrame:
         k = self.n_parameters
         return spark.createDataFrame(
-            [(self.model, self.n, self.n_zero, k, float(self.loglik), 2 * k - 2 * float(self.loglik))],
-            "model string, n long, n_zero long, n_parameters int, loglik double, aic double",
+            [(self.model, self.n, self.n_zero, k, float(self.loglik), 2 * k - 2 * float(self.loglik), self.converged, self.iterations)],
+            "model string, n long, n_zero long, n_parameters int, loglik double, aic double, converged boolean, iterations int",
         )
 
 
@@ -218,14 +225,14 @@ def zib_regression(
                 )
             return sums
 
-        theta, loglik, cov = _maximise(ready.filter("_y > 0"), beta_part, start, max_iter, tol)
+        theta, loglik, cov, converged, iterations = _maximise(ready.filter("_y > 0"), beta_part, start, max_iter, tol)
         share = stats["zeros"] / stats["n"]
         if 0 < share < 1:
             first = np.zeros(r)
             first[0] = np.log(share / (1 - share))
-            delta, loglik0, cov0 = _maximise(ready, zero_part, first, max_iter, tol)
+            delta, loglik0, cov0, settled, more = _maximise(ready, zero_part, first, max_iter, tol)
         else:
-            delta, loglik0, cov0 = np.zeros(r), 0.0, np.zeros((r, r))
+            delta, loglik0, cov0, settled, more = np.zeros(r), 0.0, np.zeros((r, r)), True, 0
             delta[0] = -np.inf if share == 0 else np.inf
         raw_coef = {"mu": theta[:p], "sigma": theta[p:], "nu": delta}
         raw_cov = {"mu": cov[:p, :p], "sigma": cov[p:, p:], "nu": cov0}
@@ -239,7 +246,8 @@ def zib_regression(
             coef[part] = back @ raw_coef[part] if np.all(np.isfinite(raw_coef[part])) else raw_coef[part]
             covs[part] = back @ raw_cov[part] @ back.T
         return ZibFit(
-            model, y, terms, columns, levels, coef, covs, loglik + loglik0, int(stats["n"]), int(stats["zeros"])
+            model, y, terms, columns, levels, coef, covs, loglik + loglik0, int(stats["n"]), int(stats["zeros"]),
+            converged and settled, max(iterations, more),
         )
     finally:
         frame.unpersist()
@@ -249,6 +257,8 @@ def lr_test(reduced: ZibFit, full: ZibFit, spark: SparkSession) -> DataFrame:
     """Likelihood-ratio test of nested fits on the same rows."""
     if reduced.n != full.n:
         raise ValueError("both models must be fitted on the same rows")
+    if not (reduced.converged and full.converged):
+        raise ValueError("a likelihood-ratio test needs converged fits; see converged in their summaries")
     stat = 2 * (full.loglik - reduced.loglik)
     df = full.n_parameters - reduced.n_parameters
     return spark.createDataFrame(

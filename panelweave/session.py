@@ -49,6 +49,13 @@ def stage_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the stage folder, deleted by ``drop_stages``."""
+    path = f"{stage_dir(spark)}/panelweave-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
@@ -56,9 +63,8 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     size instead of repeating the work, and a lost executor costs a re-read, not a re-run.
     """
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/panelweave-{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -154,3 +154,16 @@ def test_kde_integrates_to_one(spark, zib):
         pts = [(r.x, r.density) for r in curve if r.g == g]
         xs, ds = np.array(pts).T
         assert np.trapezoid(ds, xs) == pytest.approx(1, abs=0.01)
+
+
+def test_beta_fit_says_whether_it_converged(spark):
+    rows = [(i, ((i * 37) % 89 + 1) / 100.0 if i % 5 else 0.0, float(i % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, y double, x double")
+    whole = Z.zib_regression(df, "y", ["x"], nu=["x"])
+    assert whole.converged and whole.summary(spark).first().converged
+    short = Z.zib_regression(df, "y", ["x"], nu=["x"], max_iter=1)
+    assert not short.converged and short.iterations == 1
+    with pytest.raises(ValueError, match="converged"):
+        Z.lr_test(short, whole, spark)
+    apart = Z.zib_regression(spark.createDataFrame([(k, 0.0 if x < 3 else max(y, 0.1), x) for k, y, x in rows], df.schema), "y", [], nu=["x"], max_iter=12)
+    assert not apart.converged

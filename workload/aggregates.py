@@ -11,7 +11,7 @@ from panelweave.operators.impute import annualise, min_observations
 from panelweave.plans import coverage as C, population as P, scenarios as SC
 from workload import views as V
 from workload.pipelines import DISPERSION_SQL
-from workload.registry import FACTOR, LEVELS, PERIODS, query, rd, rounded
+from workload.registry import FACTOR, LEVELS, PERIODS, SPAN, query, rd, rounded
 
 NULLED = """
 n AS (SELECT unit, substr(unit, 1, 3) AS province, period, CASE WHEN events > 20 THEN events END AS events FROM v_event)"""
@@ -32,15 +32,12 @@ def agg_sum_keys(spark, sf):
     )
 
 
-@query("agg_sum_multi", """
-SELECT unit, sum(p6) AS p6, sum(p7) AS p7, sum(p8) AS p8, sum(p9) AS p9 FROM (
-  SELECT unit, age, sum(pop) FILTER (period = 1996) AS p6, sum(pop) FILTER (period = 1997) AS p7,
-         sum(pop) FILTER (period = 1998) AS p8, sum(pop) FILTER (period = 1999) AS p9 FROM v_pop GROUP BY 1, 2) GROUP BY 1""")
+@query("agg_sum_multi", f"""
+SELECT unit, {', '.join(f'sum(p{p}) AS p{p}' for p in PERIODS)} FROM (
+  SELECT unit, age, {', '.join(f'sum(pop) FILTER (period = {p}) AS p{p}' for p in PERIODS)} FROM v_pop GROUP BY 1, 2) GROUP BY 1""")
 def agg_sum_multi(spark, sf):
-    wide = S.to_wide(V.pop(spark, sf), ["unit", "age"], "period", "pop", PERIODS, "p").withColumnsRenamed(
-        {"p1996": "p6", "p1997": "p7", "p1998": "p8", "p1999": "p9"}
-    )
-    return S.sum_columns(wide, ["unit"], ["p6", "p7", "p8", "p9"], F.sum)
+    wide = S.to_wide(V.pop(spark, sf), ["unit", "age"], "period", "pop", PERIODS, "p")
+    return S.sum_columns(wide, ["unit"], [f"p{p}" for p in PERIODS], F.sum)
 
 
 @query("agg_mean", f"""
@@ -225,10 +222,9 @@ def win_adjusted_cumsum(spark, sf):
     return rounded(_cohort_panel(spark, sf).select("scenario", "unit", "cohort", "period", "doses_adj", "age_coverage"))
 
 
-@query("win_cumsum_unit", """
-WITH c AS (SELECT unit, period, sum(events) OVER (PARTITION BY unit ORDER BY period) AS s FROM v_event WHERE period BETWEEN 1996 AND 1999)
-SELECT unit, max(s) FILTER (period = 1996) AS c_1996, max(s) FILTER (period = 1997) AS c_1997, max(s) FILTER (period = 1998) AS c_1998,
-       max(s) FILTER (period = 1999) AS c_1999 FROM c GROUP BY 1""")
+@query("win_cumsum_unit", f"""
+WITH c AS (SELECT unit, period, sum(events) OVER (PARTITION BY unit ORDER BY period) AS s FROM v_event WHERE period {SPAN})
+SELECT unit, {', '.join(f'max(s) FILTER (period = {p}) AS c_{p}' for p in PERIODS)} FROM c GROUP BY 1""")
 def win_cumsum_unit(spark, sf):
     ev = V.event(spark, sf).filter(F.col("period").isin(PERIODS))
     run = ev.withColumn("s", H.running_sum("events", ["unit"], "period"))

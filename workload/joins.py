@@ -10,7 +10,7 @@ from panelweave.plans.events import code_repair as repair
 from panelweave.plans.population import pop_harmonise as harmonise
 from panelweave.sources.tables import literal_table
 from workload import views as V
-from workload.registry import AGES, PERIODS, query, rd, rounded
+from workload.registry import AGES, PERIODS, SPAN, query, rd, rounded
 
 
 def _totals(spark, sf):
@@ -81,9 +81,9 @@ def semi_anti(spark, sf):
     return large.unionByName(K.non_members(c, o, ["c_custkey"]).withColumn("kind", F.lit("without order")))
 
 
-@query("cross_grid", """
+@query("cross_grid", f"""
 SELECT unit, CAST(a.age AS INTEGER) AS age, CAST(p.period AS INTEGER) AS period FROM (SELECT DISTINCT unit FROM v_event)
-CROSS JOIN range(0, 6) a(age) CROSS JOIN range(1996, 2000) p(period)""")
+CROSS JOIN range(0, 6) a(age) CROSS JOIN range({PERIODS[0]}, {PERIODS[-1] + 1}) p(period)""")
 def cross_grid(spark, sf):
     return S.grid(V.event(spark, sf).select("unit").distinct(), age=AGES, period=PERIODS)
 
@@ -245,23 +245,23 @@ def code_repair_located(spark, sf):
 
 
 # Two sources with different columns; some units change their code between periods.
-HARMONISE_SQL = """
+_WHOLE = " + ".join(f"p{p}" for p in PERIODS)
+_SUMS = ", ".join(f"sum(p{p}) AS p{p}" for p in PERIODS)
+HARMONISE_SQL = f"""
 raw AS (SELECT substr(unit, 1, 13) || CASE WHEN period >= 1998 AND n_acct < 2000 THEN 'x' ELSE substr(unit, 14, 1) END AS unit, age, period, pop
         FROM (SELECT p.*, u.s_acctbal AS n_acct FROM v_pop p JOIN v_unit u USING (unit))
-        WHERE period BETWEEN 1996 AND 1999 AND NOT (n_acct > 9000 AND period = 1997 AND age = 2)),
+        WHERE period {SPAN} AND NOT (n_acct > 9000 AND period = 1997 AND age = 2)),
 pairs AS (SELECT row_number() OVER (ORDER BY unit) AS "row", substr(unit, 1, 13) || 'x' AS ver1, unit AS ver2 FROM v_unit WHERE s_acctbal < 2000),
 mapping AS (SELECT ver1 AS "from", min_by(ver2, ver2) AS "to" FROM pairs GROUP BY 1),
 allowed AS (SELECT substr(unit, 1, 3) AS province FROM v_unit GROUP BY 1 HAVING count(*) >= 2),
-w AS (SELECT unit, age, sum(pop) FILTER (period = 1996) AS a, sum(pop) FILTER (period = 1997) AS b, sum(pop) FILTER (period = 1998) AS c,
-      sum(pop) FILTER (period = 1999) AS d FROM raw WHERE substr(unit, 1, 3) IN (SELECT province FROM allowed) GROUP BY 1, 2),
-whole AS (SELECT * FROM w WHERE a + b + c + d IS NOT NULL),
-part_ AS (SELECT coalesce(m."to", unit) AS unit, age, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM w
-         LEFT JOIN mapping m ON m."from" = unit WHERE a + b + c + d IS NULL GROUP BY 1, 2),
-t AS (SELECT unit, age, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM (
-      SELECT * FROM whole UNION ALL SELECT * FROM part_ WHERE a + b + c + d IS NOT NULL) GROUP BY 1, 2)
-SELECT unit, substr(unit, 1, 3) AS province, age, 1996 AS period, a AS pop FROM t
-UNION ALL SELECT unit, substr(unit, 1, 3), age, 1997, b FROM t UNION ALL SELECT unit, substr(unit, 1, 3), age, 1998, c FROM t
-UNION ALL SELECT unit, substr(unit, 1, 3), age, 1999, d FROM t"""
+w AS (SELECT unit, age, {', '.join(f'sum(pop) FILTER (period = {p}) AS p{p}' for p in PERIODS)}
+      FROM raw WHERE substr(unit, 1, 3) IN (SELECT province FROM allowed) GROUP BY 1, 2),
+whole AS (SELECT * FROM w WHERE {_WHOLE} IS NOT NULL),
+part_ AS (SELECT coalesce(m."to", unit) AS unit, age, {_SUMS} FROM w
+         LEFT JOIN mapping m ON m."from" = unit WHERE {_WHOLE} IS NULL GROUP BY 1, 2),
+t AS (SELECT unit, age, {_SUMS} FROM (
+      SELECT * FROM whole UNION ALL SELECT * FROM part_ WHERE {_WHOLE} IS NOT NULL) GROUP BY 1, 2)
+{" UNION ALL ".join(f"SELECT unit, substr(unit, 1, 3) AS province, age, {p} AS period, p{p} AS pop FROM t" for p in PERIODS)}"""
 
 
 @query("pop_harmonise", f"WITH {HARMONISE_SQL}")

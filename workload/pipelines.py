@@ -8,7 +8,7 @@ from panelweave.functions.text import unit_levels
 from panelweave.plans import coverage as C, population as P, reports as R
 from panelweave.session import stage
 from workload import views as V
-from workload.registry import FACTOR, LEVELS, PERIODS, query, rd, rounded
+from workload.registry import FACTOR, LEVELS, PERIODS, SPAN, query, rd, rounded
 
 @query("eligible_population", f"""
 SELECT unit, period, tot, eligible, {rd('eligible / tot')} AS p_risk,
@@ -71,18 +71,18 @@ def cohort_coverage(spark, sf):
 
 
 @query("growth_qa", f"""
-WITH t AS (SELECT unit, period, sum(pop) AS total FROM v_pop WHERE period BETWEEN 1996 AND 1999 GROUP BY 1, 2),
+WITH t AS (SELECT unit, period, sum(pop) AS total FROM v_pop WHERE period {SPAN} GROUP BY 1, 2),
 r AS (SELECT *, lag(total) OVER (PARTITION BY unit ORDER BY period) AS previous FROM t),
 bad AS (SELECT DISTINCT unit FROM r WHERE total / nullif(previous, 0) > 1.25 OR total / nullif(previous, 0) < 0.75
         OR (previous = 0 AND total > 0))
-SELECT unit, age, period, pop FROM v_pop WHERE period BETWEEN 1996 AND 1999 AND unit NOT IN (SELECT unit FROM bad)""")
+SELECT unit, age, period, pop FROM v_pop WHERE period {SPAN} AND unit NOT IN (SELECT unit FROM bad)""")
 def growth_qa(spark, sf):
     panel = V.pop(spark, sf).filter(F.col("period").isin(PERIODS))
     return P.growth_qa(panel)[0]
 
 
 @query("growth_qa_flagged", f"""
-WITH t AS (SELECT unit, period, sum(pop) AS total FROM v_pop WHERE period BETWEEN 1996 AND 1999 GROUP BY 1, 2),
+WITH t AS (SELECT unit, period, sum(pop) AS total FROM v_pop WHERE period {SPAN} GROUP BY 1, 2),
 r AS (SELECT *, lag(total) OVER (PARTITION BY unit ORDER BY period) AS previous FROM t)
 SELECT unit, period, {rd('total / previous')} AS ratio, CASE WHEN total / previous > 1.25 THEN 'rise' ELSE 'fall' END AS reason
 FROM r WHERE total / previous > 1.25 OR total / previous < 0.75""")
@@ -91,6 +91,10 @@ def growth_qa_flagged(spark, sf):
     return rounded(P.growth_qa(panel)[1])
 
 
+# a cohort is complete over at most max_age + 1 periods, so its growth is followed over a window
+WINDOW = [1996, 1997, 1998, 1999]
+
+
 @query("cohort_growth", f"""
 WITH c AS (
   SELECT unit, substr(unit, 1, 3) AS province, period - age AS cohort,
@@ -108,7 +112,7 @@ UNION ALL SELECT unit, province, cohort, 1998, {rd('p8 / p7 - 1')}, {rd('s8 / s7
 UNION ALL SELECT unit, province, cohort, 1999, {rd('p9 / p8 - 1')}, {rd('s9 / s8')} FROM j""")
 def cohort_growth(spark, sf):
     panel = unit_levels(V.pop(spark, sf), "unit", {"province": 3})
-    return rounded(P.cohort_growth(panel, PERIODS, 5, "province"))
+    return rounded(P.cohort_growth(panel, WINDOW, 5, "province"))
 
 
 @query("cohort_growth_summary", f"""
@@ -121,12 +125,12 @@ SELECT province, cohort, period, {rd('quantile_cont(pop / before - 1, 0.25)')} A
        {rd('quantile_cont(pop / before - 1, 0.75)')} AS q3 FROM c JOIN k USING (province, cohort) WHERE period > 1996 GROUP BY 1, 2, 3""")
 def cohort_growth_summary(spark, sf):
     panel = unit_levels(V.pop(spark, sf), "unit", {"province": 3})
-    return rounded(P.cohort_growth_summary(P.cohort_growth(panel, PERIODS, 5, "province"), "province"))
+    return rounded(P.cohort_growth_summary(P.cohort_growth(panel, WINDOW, 5, "province"), "province"))
 
 
 @query("availability_coverage", f"""
 WITH spine AS (SELECT unit, substr(unit, 1, 1) AS region, CAST(period AS INTEGER) AS period
-               FROM v_unit, (VALUES (1996), (1997), (1998), (1999)) p(period)),
+               FROM v_unit, range({PERIODS[0]}, {PERIODS[-1] + 1}) p(period)),
 ev AS (SELECT unit, period, events FROM v_event WHERE NOT (substr(unit, 1, 1) = '2' AND period = 1999)
        AND NOT (substr(unit, 4, 1) = '1' AND period = 1997)),
 c AS (SELECT s.unit, region, s.period, p.pop, e.events IS NULL AS absent FROM spine s
@@ -156,7 +160,7 @@ def _availability(spark, sf):
 
 @query("dim_complete_zero", f"""
 WITH spine AS (SELECT unit, substr(unit, 1, 1) AS region, CAST(period AS INTEGER) AS period
-               FROM v_unit, (VALUES (1996), (1997), (1998), (1999)) p(period)),
+               FROM v_unit, range({PERIODS[0]}, {PERIODS[-1] + 1}) p(period)),
 ev AS (SELECT unit, period, events FROM v_event WHERE NOT (substr(unit, 1, 1) = '2' AND period = 1999)
        AND NOT (substr(unit, 4, 1) = '1' AND period = 1997)),
 g AS (SELECT region, period, count(*) AS units FROM spine JOIN ev USING (unit, period) GROUP BY 1, 2),
@@ -218,16 +222,16 @@ def ref_table1(spark, sf):
     return rounded(R.region_table(kept, names, by=["region", "period"]), 4)
 
 
-BURDEN_SQL = """
-b0 AS (SELECT unit, sum(cases) AS cases FROM v_cases WHERE year BETWEEN 1996 AND 1999 GROUP BY 1 HAVING count(*) = 4),
-b1 AS (SELECT unit, cases, pop, cases / 4 / pop AS burden FROM b0
-       JOIN (SELECT unit, sum(pop) AS pop FROM v_pop WHERE period = 1996 AND age <= 5 GROUP BY 1) USING (unit)),
+BURDEN_SQL = f"""
+b0 AS (SELECT unit, sum(cases) AS cases FROM v_cases WHERE year {SPAN} GROUP BY 1 HAVING count(*) = {len(PERIODS)}),
+b1 AS (SELECT unit, cases, pop, cases / {len(PERIODS)} / pop AS burden FROM b0
+       JOIN (SELECT unit, sum(pop) AS pop FROM v_pop WHERE period = {PERIODS[0]} AND age <= 5 GROUP BY 1) USING (unit)),
 burden AS (SELECT *, (burden - avg(burden) OVER ()) / stddev_samp(burden) OVER () AS burden_s FROM b1)
 """
 
 
 def burden(spark, sf):
-    base = V.pop(spark, sf).filter("period = 1996 AND age <= 5").groupBy("unit").agg(F.sum("pop").alias("pop"))
+    base = V.pop(spark, sf).filter(f"period = {PERIODS[0]} AND age <= 5").groupBy("unit").agg(F.sum("pop").alias("pop"))
     return R.burden_rate(V.cases(spark, sf), base, PERIODS)
 
 

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-PERIODS = [1996, 1997, 1998, 1999]
+# every year of the supplied tables
+PERIODS = list(range(1995, 2002))
+SPAN = f"BETWEEN {PERIODS[0]} AND {PERIODS[-1]}"
 AGES = [0, 1, 2, 3, 4, 5]
 FACTOR = {0: 0.5, 1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0, 5: 1.0}
 LEVELS = {"region": 1, "province": 3, "prefecture": 4}
 DIGITS = 6
 
-VIEWS = """
+VIEWS = f"""
 v_unit AS (
   SELECT CAST(n_regionkey AS VARCHAR) || lpad(CAST(n_nationkey AS VARCHAR), 2, '0')
          || CAST(s_suppkey % 3 AS VARCHAR) || lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS unit,
@@ -64,7 +66,7 @@ v_alloc AS (
   FROM v_pop p JOIN v_elig e USING (unit, period) JOIN v_event v USING (unit, period)
   CROSS JOIN (VALUES ('pop'), ('a'), ('b')) s(scenario)
   LEFT JOIN v_weight w ON w.scenario = s.scenario AND w.age = p.age
-  WHERE p.age <= 5 AND p.period BETWEEN 1996 AND 1999 AND e.eligible IS NOT NULL),
+  WHERE p.age <= 5 AND p.period {SPAN} AND e.eligible IS NOT NULL),
 v_cum AS (
   SELECT *, events * weight AS doses,
          sum(events * weight) OVER w AS doses_cum,

@@ -167,17 +167,16 @@ def _pops(pop):
 
 GRID_SQL = BOUND_SQL + "," + POPS_SQL + """,
 raw AS (SELECT pop_source, process, source, bound, unit, period, value / nullif(pop, 0) AS cov FROM pops JOIN bounds USING (unit, period)),
-grid AS (SELECT * FROM raw WHERE unit NOT IN (SELECT unit FROM raw WHERE cov < 0 OR cov > 0.45))"""
+grid AS (SELECT * FROM raw WHERE unit NOT IN (SELECT unit FROM raw WHERE cov < 0 OR cov > 1))"""
 
 
 def _grid(spark, sf):
     pop = V.pop_table(spark, sf)
-    return SC.scenario_grid(stage(_bounds(spark, sf, pop), "bounds"), _pops(pop), hi=0.45)
+    return SC.scenario_grid(stage(_bounds(spark, sf, pop), "bounds"), _pops(pop))
 
 
 @query("scenario_grid", f"WITH {GRID_SQL} SELECT pop_source, process, source, bound, unit, period, {rd('cov')} AS cov FROM grid")
 def scenario_grid(spark, sf):
-    """A tight upper limit stands for 1, so that the rule removes some units of these tables."""
     return rounded(_grid(spark, sf))
 
 
@@ -264,13 +263,12 @@ def regression_frame(spark, sf):
 WITH {FRAME_SQL},
 k AS (SELECT *, cume_dist() OVER (ORDER BY p_risk) AS rank_high, cume_dist() OVER (ORDER BY coverage_pop) AS rank_low FROM frame)
 SELECT s_name AS name, split_part(n_name, '_', 1) AS province_word, {rd('rank_high')} AS rank_high, {rd('rank_low')} AS rank_low,
-       CASE WHEN rank_high >= 0.7 AND rank_low <= 0.3 THEN 'inner' ELSE 'outer' END AS severity
-FROM k JOIN v_unit USING (unit) WHERE rank_high >= 0.5 AND rank_low <= 0.5""")
+       CASE WHEN rank_high >= 0.9 AND rank_low <= 0.1 THEN 'inner' ELSE 'outer' END AS severity
+FROM k JOIN v_unit USING (unit) WHERE rank_high >= 0.8 AND rank_low <= 0.2""")
 def extreme_units(spark, sf):
-    """Wider cuts than the usual 0.8 and 0.2, so that the small tables hold some units."""
     from panelweave.functions.text import first_word
 
-    ranked = R.extreme_units(frame(spark, sf).select("unit", "p_risk", "coverage_pop"), "p_risk", "coverage_pop", (0.5, 0.5), (0.7, 0.3))
+    ranked = R.extreme_units(frame(spark, sf).select("unit", "p_risk", "coverage_pop"), "p_risk", "coverage_pop")
     named = ranked.join(V.units(spark, sf).select("unit", "s_name", "n_name"), "unit")
     word = first_word(F.replace(F.col("n_name"), F.lit("_"), F.lit(" ")))
     return rounded(named.select(F.col("s_name").alias("name"), word.alias("province_word"), "rank_high", "rank_low", "severity")).orderBy("severity", "name")

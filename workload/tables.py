@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W, functions as F
 
 from panelweave.functions import nulls as N, text as T
@@ -11,14 +9,10 @@ from panelweave.operators import keys as K, shape as S
 from panelweave.operators.describe import category_order as category_order_of
 from panelweave.operators.ranks import row_positions
 from panelweave.plans.coverage import eligible_cohorts
-from panelweave.session import stage_dir
+from panelweave.session import stage_path
 from panelweave.sources import tables as IO
 from workload import views as V
-from workload.registry import PERIODS, query, rd, rounded
-
-
-def _fresh(spark, name):
-    return f"{stage_dir(spark)}/panelweave-{name}-{uuid.uuid4().hex}"
+from workload.registry import PERIODS, SPAN, query, rd, rounded
 
 
 # ---- scans and sinks
@@ -33,7 +27,7 @@ def scan_dims(spark, sf):
 
 def _raw_customers(spark, sf):
     """A delimited text file with header lines and '-' for a missing balance, read back as text."""
-    path = _fresh(spark, "raw")
+    path = stage_path(spark, "raw")
     c = V.scan(spark, sf, "customer")
     dirty = c.select(
         "c_custkey", "c_name", "c_nationkey",
@@ -61,21 +55,21 @@ def drop_first_row(spark, sf):
 
 @query("scan_snapshot", "SELECT unit, age, period, pop FROM v_pop WHERE period = 1998")
 def scan_snapshot(spark, sf):
-    path = _fresh(spark, "pop")
+    path = stage_path(spark, "pop")
     IO.write_snapshot(V.pop(spark, sf), path)
     return IO.read_snapshot(spark, path).filter("period = 1998")
 
 
 @query("sink_snapshot", "SELECT period, count(*) AS n, sum(pop) AS pop FROM v_pop GROUP BY period")
 def sink_snapshot(spark, sf):
-    path = _fresh(spark, "pop-by-period")
+    path = stage_path(spark, "pop-by-period")
     IO.write_snapshot(V.pop(spark, sf), path, ["period"])
     return IO.read_snapshot(spark, path).groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.sum("pop").alias("pop"))
 
 
 @query("sink_csv", "SELECT substr(unit, 1, 3) AS province, period, sum(pop) AS pop FROM v_pop GROUP BY 1, 2")
 def sink_csv(spark, sf):
-    path = _fresh(spark, "report")
+    path = stage_path(spark, "report")
     report = V.pop(spark, sf).groupBy(F.substring("unit", 1, 3).alias("province"), "period").agg(F.sum("pop").alias("pop"))
     IO.write_csv(report, path, order=["province", "period"], single_file=True)
     return IO.read_csv(spark, path, "province string, period int, pop double")
@@ -130,9 +124,9 @@ def filter_pred(spark, sf):
     return o.filter(keep | ~(F.col("o_orderstatus") != "P")).select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
-@query("cohort_eligibility", """
+@query("cohort_eligibility", f"""
 SELECT unit, age, period, period - age AS cohort, pop FROM v_pop
-WHERE period BETWEEN 1996 AND 1999 AND period - age BETWEEN period - 5 AND period""")
+WHERE period {SPAN} AND period - age BETWEEN period - 5 AND period""")
 def cohort_eligibility(spark, sf):
     panel = V.pop(spark, sf).filter(F.col("period").isin(PERIODS)).withColumn("cohort", F.col("period") - F.col("age"))
     return eligible_cohorts(panel, "period", 5)
@@ -274,13 +268,11 @@ def union_by_name(spark, sf):
     return S.union_named(totals, V.event(spark, sf))
 
 
-@query("union_with_source_id", """
-SELECT period, unit, events, 1 AS source FROM v_event WHERE period = 1996
-UNION ALL SELECT period, unit, events, 2 FROM v_event WHERE period = 1997
-UNION ALL SELECT period, unit, events, 3 FROM v_event WHERE period = 1998""")
+@query("union_with_source_id", " UNION ALL ".join(
+    f"SELECT period, unit, events, {i} AS source FROM v_event WHERE period = {p}" for i, p in enumerate(PERIODS, 1)))
 def union_with_source_id(spark, sf):
     ev = V.event(spark, sf)
-    return S.union_named(*[ev.filter(F.col("period") == p) for p in PERIODS[:3]], source="source")
+    return S.union_named(*[ev.filter(F.col("period") == p) for p in PERIODS], source="source")
 
 
 @query("union_distinct", """
@@ -309,44 +301,41 @@ def pivot_long(spark, sf):
     return S.to_long(V.covariates(spark, sf), ["unit"], ["wealth", "discount", "tax", "lines"])
 
 
-@query("pivot_long_paired", """
-WITH w AS (
-  SELECT unit, sum(pop) FILTER (period = 1996) AS p6, sum(pop) FILTER (period = 1997) AS p7 FROM v_pop GROUP BY 1),
-e AS (SELECT unit, sum(events) FILTER (period = 1996) AS e6, sum(events) FILTER (period = 1997) AS e7 FROM v_event GROUP BY 1)
-SELECT unit, 1996 AS period, p6 AS pop, e6 AS events FROM w JOIN e USING (unit)
-UNION ALL SELECT unit, 1997, p7, e7 FROM w JOIN e USING (unit)""")
+@query("pivot_long_paired", f"""
+WITH w AS (SELECT unit, {', '.join(f'sum(pop) FILTER (period = {p}) AS p{p}' for p in PERIODS)} FROM v_pop GROUP BY 1),
+e AS (SELECT unit, {', '.join(f'sum(events) FILTER (period = {p}) AS e{p}' for p in PERIODS)} FROM v_event GROUP BY 1)
+{' UNION ALL '.join(f'SELECT unit, {p} AS period, p{p} AS pop, e{p} AS events FROM w JOIN e USING (unit)' for p in PERIODS)}""")
 def pivot_long_paired(spark, sf):
     totals = V.pop(spark, sf).groupBy("unit", "period").agg(F.sum("pop").alias("pop"))
-    pops = S.to_wide(totals, ["unit"], "period", "pop", [1996, 1997], "pop_")
-    evs = S.to_wide(V.event(spark, sf), ["unit"], "period", "events", [1996, 1997], "events_")
-    groups = {p: {"pop": f"pop_{p}", "events": f"events_{p}"} for p in (1996, 1997)}
+    pops = S.to_wide(totals, ["unit"], "period", "pop", PERIODS, "pop_")
+    evs = S.to_wide(V.event(spark, sf), ["unit"], "period", "events", PERIODS, "events_")
+    groups = {p: {"pop": f"pop_{p}", "events": f"events_{p}"} for p in PERIODS}
     return S.to_long_paired(pops.join(evs, "unit"), ["unit"], groups, "period")
 
 
-WIDE_METRICS = """
-w AS (SELECT unit, sum(pop) FILTER (period = 1996) AS pop_1996_ob, sum(pop) FILTER (period = 1997) AS pop_1997_ob FROM v_pop GROUP BY 1)"""
+WIDE_METRICS = f"""
+w AS (SELECT unit, {', '.join(f'sum(pop) FILTER (period = {p}) AS p{p}' for p in PERIODS)} FROM v_pop GROUP BY 1)"""
 
 
 @query("name_split_long", f"""
 WITH {WIDE_METRICS}
-SELECT unit, 'pop' AS metric, '1996' AS year, 'ob' AS process, pop_1996_ob AS value FROM w
-UNION ALL SELECT unit, 'pop', '1997', 'ob', pop_1997_ob FROM w""")
+{' UNION ALL '.join(f"SELECT unit, 'pop' AS metric, '{p}' AS year, 'ob' AS process, p{p} AS value FROM w" for p in PERIODS)}""")
 def name_split_long(spark, sf):
     totals = V.pop(spark, sf).groupBy("unit", "period").agg(F.sum("pop").alias("pop"))
-    wide = S.to_wide(totals, ["unit"], "period", "pop", [1996, 1997], "pop_").withColumnsRenamed(
-        {"pop_1996": "pop_1996_ob", "pop_1997": "pop_1997_ob"}
-    )
-    long = S.to_long(wide, ["unit"], ["pop_1996_ob", "pop_1997_ob"])
+    wide = S.to_wide(totals, ["unit"], "period", "pop", PERIODS, "pop_").withColumnsRenamed({f"pop_{p}": f"pop_{p}_ob" for p in PERIODS})
+    long = S.to_long(wide, ["unit"], [f"pop_{p}_ob" for p in PERIODS])
     return T.split_parts(long, "name", ["metric", "year", "process"])
 
 
-@query("name_unite_wide", """
-SELECT unit, sum(events) FILTER (period = 1996 AND mon = 1) AS "1996_1", sum(events) FILTER (period = 1996 AND mon = 2) AS "1996_2",
-       sum(events) FILTER (period = 1997 AND mon = 1) AS "1997_1", sum(events) FILTER (period = 1997 AND mon = 2) AS "1997_2"
+_MONTHS = [(p, m) for p in PERIODS for m in range(1, 13)]
+
+
+@query("name_unite_wide", f"""
+SELECT unit, {', '.join(f'sum(events) FILTER (period = {p} AND mon = {m}) AS "{p}_{m}"' for p, m in _MONTHS)}
 FROM v_event_month GROUP BY 1""")
 def name_unite_wide(spark, sf):
     named = S.unite(V.event_month(spark, sf), "name", ["period", "mon"])
-    return S.to_wide(named, ["unit"], "name", "events", ["1996_1", "1996_2", "1997_1", "1997_2"])
+    return S.to_wide(named, ["unit"], "name", "events", [f"{p}_{m}" for p, m in _MONTHS])
 
 
 @query("grid_complete", """
