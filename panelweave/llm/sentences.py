@@ -42,16 +42,53 @@ def _runs(parts: Column, span: int, least_words: int) -> Column:
     return let(F.filter(cells, lambda c: c["n"] > 0), build)
 
 
-def drop_repeated_spans(docs: DataFrame, doc_id: str, text: str, span: int = 3, least_words: int = 12) -> DataFrame:
+def _passages(parts: Column, words: int) -> Column:
+    """(sentence number, hash) of the shortest run from each sentence on, and up to each sentence, that has ``words`` words, and of the whole text.
+
+    Together the runs cover every passage of whole sentences with ``words`` or more words. The whole text is equal to other whole texts only.
+    """
+    def plain(s: Column) -> Column:
+        return F.trim(F.regexp_replace(ascii_lower(s), SPACE, " "))
+
+    def run(w: Column, at: Column, size: Column, *kind: Column) -> Column:
+        part = F.slice(w, at + 1, size)
+        hashes = [F.xxhash64(*kind, F.transform(part, lambda c: c["h"])), F.xxhash64(F.lit(1), *kind, F.transform(part, lambda c: c["h2"]))]
+        return F.struct(F.get(w, at)["at"].alias("first"), F.get(w, at + size - 1)["at"].alias("last"), hashes[0].alias("h"), hashes[1].alias("h2"))
+
+    def reach(part: Column) -> Column:
+        """(sentences, words) up to where ``words`` words are reached; every sentence has a word, so ``words`` sentences are enough to look at."""
+        none = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"))
+        return F.aggregate(part, none, lambda a, c: F.when(a["n"] >= words, a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["n"] + c["n"]).alias("n"))))
+
+    def build(w: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(w) - 1)
+        onward = F.transform(numbers, lambda i: let(reach(F.slice(w, i + 1, words)), lambda r: F.when(r["n"] >= words, run(w, i, r["k"]))))
+        before = F.transform(numbers, lambda i: let(F.greatest(i - words + 1, F.lit(0)), lambda a: let(
+            reach(F.reverse(F.slice(w, a + 1, i - a + 1))), lambda r: F.when(r["n"] >= words, run(w, i - r["k"] + 1, r["k"])))))
+        return F.when(F.size(w) > 0, F.array_distinct(F.array_compact(F.concat(onward, before, F.array(run(w, F.lit(0), F.size(w), F.lit("whole")))))))
+
+    cells = F.transform(parts, lambda s, i: let(plain(s), lambda p: F.struct(
+        i.alias("at"), F.xxhash64(p).alias("h"), F.xxhash64(F.lit(7), p).alias("h2"),
+        F.when(p == "", F.lit(0)).otherwise(F.length(p) - F.length(F.replace(p, F.lit(" "))) + 1).alias("n"))))
+    return let(F.filter(cells, lambda c: c["n"] > 0), build)
+
+
+def drop_repeated_spans(docs: DataFrame, doc_id: str, text: str, span: int = 3, least_words: int = 12, passage_words: int | None = None) -> DataFrame:
     """(doc_id, n_sentences, n_removed, text without the removed sentences), one row per input row.
 
     The first of equal runs is the one with the least id (NULL last), then text key, then position. Runs in repeated rows of the same id and
     text are the same run at the same place, so repeated rows keep or lose the same sentences. A NULL or empty text has one empty sentence and
     stays empty. Runs of fewer than ``least_words`` words are too common to count. An empty table gives no rows.
+
+    Without ``passage_words`` only runs of exactly ``span`` sentences are found. With it, every repeated passage of whole sentences that has
+    so many words is found too, whatever the number of its sentences, and every text equal to another one as a whole.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     keyed = rows.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     runs = keyed.select("id", "key", F.explode(_runs(sentences(F.col("text")), span, least_words)).alias("r")).select("id", "key", "r.*")
+    if passage_words is not None:
+        more = keyed.select("id", "key", F.explode(_passages(sentences(F.col("text")), passage_words)).alias("r")).select("id", "key", "r.*")
+        runs = runs.drop("n").unionByName(more)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key", F.col("first").alias("at"))
     groups = runs.groupBy("h", "h2").agg(F.min(place).alias("least"), F.max(place).alias("greatest"))
     repeated = stage(groups.filter("least <> greatest").select("h", "h2", "least"), "repeated")

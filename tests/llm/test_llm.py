@@ -125,6 +125,25 @@ def test_variable_segments_become_wildcards(spark):
     assert {tuple(r.template) for r in U.template_tree(paths).collect()} == {("user", "*", "x")}
 
 
+def test_repeated_passages_of_any_number_of_sentences(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    lines = "".join(f"a{i} b{i} c{i}\n" for i in range(20))  # 60 words, three a line
+    two = " ".join(f"x{i}" for i in range(30)) + ". " + " ".join(f"y{i}" for i in range(25)) + "."
+    tail = "".join(" ".join(f"t{k}n{i}" for i in range(n)) + "\n" for k, n in enumerate((30, 5, 30, 4)))
+    blocks = [long + ".\n", lines, two + "\n", tail]
+    docs = [(10 * k + d, f"Own start {k} {d}.\n{b}own end {k} {d}.") for k, b in enumerate(blocks) for d in (1, 2)]
+    docs += [(91, "Just this one."), (92, "just  THIS one."), (93, "Just this one. And more."), (94, "a\nb\nc"), (95, "a\nb\nc"), (96, None), (97, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in N.drop_repeated_spans(df, "doc_id", "text", passage_words=50).collect()}
+    for k in range(len(blocks)):
+        assert texts[10 * k + 1] == docs[2 * k][1]
+        assert texts[10 * k + 2].split() == f"Own start {k} 2. own end {k} 2.".split()
+    assert [texts[i] for i in range(91, 98)] == ["Just this one.", "", "Just this one. And more.", "a\nb\nc", "", "", ""]
+    # one word less than asked is not a passage
+    short = [(d, f"Own {d}.\n" + " ".join(f"w{i}" for i in range(49)) + f"\nend {d}.") for d in (1, 2)]
+    assert {r.n_removed for r in N.drop_repeated_spans(spark.createDataFrame(short, "doc_id long, text string"), "doc_id", "text", passage_words=50).collect()} == {0}
+
+
 def test_importance_prefers_the_target(spark):
     docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad stuff there ") * 20) for i in range(40)] + [(99, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
