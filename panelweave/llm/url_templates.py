@@ -4,8 +4,9 @@ Paths are cut into segments. A segment of digits, hex digits or dates is variabl
 form; a segment is variable by statistics where its place in the tree (host and template so far) has many
 different children none of which is common. Variable segments become wildcards, level by level, over
 distinct (host, path) counts, so a host with a third of all pages is a table of its templates. Sibling branches
-that agree on everything but one segment are merged if the labels of the branch do not differ from those of its
-siblings by more than chance. A template is rejected if its smoothed share of blocked labels is above a threshold.
+that agree on everything but one segment are merged if both have labels and those of the branch do not differ from
+those of its siblings by more than chance. A template is rejected if its smoothed share of blocked labels is above a
+threshold; one without labels is allowed.
 """
 
 from __future__ import annotations
@@ -85,37 +86,35 @@ def template_tree(paths: DataFrame) -> DataFrame:
 def template_verdicts(tree: DataFrame, labelled: DataFrame) -> DataFrame:
     """(host, template, branch, purity): ``labelled`` has host, path, blocked, allowed counts.
 
-    branch is the template with the merged segment as ``+``, or the template itself. Purity falls back from template to branch, host and
-    all hosts, each smoothed by the next.
+    branch is the template with the merged segment as ``+``, or the template itself. A template with labels is merged with siblings if they have
+    labels too and the test finds no difference. Purity comes from the template's own labels, smoothed by the merged branch's, and those by one
+    half; hosts and the table as a whole are no evidence. A template without labels has purity 0.5, which is not above ``THRESHOLD``.
     """
     cells = tree.join(labelled, ["host", "path"], "left").groupBy("host", "template").agg(
         F.sum("n").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked"), F.coalesce(F.sum("allowed"), F.lit(0)).alias("allowed")
     )
     cells = stage(cells, "cells")
-    sums = lambda: (F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
-    everywhere = cells.agg(*sums()).select(_purity(F.col("blocked"), F.col("allowed"), F.lit(0.5)).alias("p_all"))
-    hosts = cells.groupBy("host").agg(*sums()).select("host", F.col("blocked").alias("hb"), F.col("allowed").alias("ha"))
+    seen, all_ = F.col("blocked") + F.col("allowed"), F.col("bb") + F.col("ba")
     places = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("template") - 1)), lambda i: F.struct(
         i.alias("i"), F.transform("template", lambda s, j: F.when(j == i, F.lit("+")).otherwise(s)).alias("branch"))))
-    siblings = cells.filter(F.size("template") > 0).select("host", "template", "n", "blocked", "allowed", places.alias("b")).select("host", "template", "n", "blocked", "allowed", "b.*")
-    branches = siblings.groupBy("host", "branch").agg(F.sum("blocked").alias("bb"), F.sum("allowed").alias("ba"), F.count(F.lit(1)).alias("k"))
-    seen, all_ = F.col("blocked") + F.col("allowed"), F.col("bb") + F.col("ba")
+    siblings = cells.filter((F.size("template") > 0) & (seen > 0)).select("host", "template", "blocked", "allowed", places.alias("b")).select("host", "template", "blocked", "allowed", "b.*")
+    branches = siblings.groupBy("host", "branch").agg(F.sum("blocked").alias("bb"), F.sum("allowed").alias("ba"))
     share = F.try_divide(F.col("bb"), all_)
-    spread = F.sqrt(F.try_divide((F.col("bb") + 1) * (F.col("ba") + 1), (all_ + 2) * (all_ + 2) * F.greatest(seen, F.lit(1))))
-    similar = (seen == 0) | (F.abs(F.col("blocked") / F.greatest(seen, F.lit(1)) - share) <= CHANCE * spread)
-    merged = siblings.join(branches, ["host", "branch"]).filter((F.col("k") > 1) & (all_ > 0) & similar).groupBy("host", "template").agg(
+    spread = F.sqrt(F.try_divide((F.col("bb") + 1) * (F.col("ba") + 1), (all_ + 2) * (all_ + 2) * seen))
+    similar = F.abs(F.col("blocked") / seen - share) <= CHANCE * spread
+    merged = siblings.join(branches, ["host", "branch"]).filter((all_ > seen) & similar).groupBy("host", "template").agg(
         F.min(F.struct((-all_).alias("o"), "i", "branch", "bb", "ba")).alias("m")
     )
-    whole = cells.join(hosts, "host").join(merged, ["host", "template"], "left").withColumn("p_all", everywhere.scalar())
-    p_host = _purity(F.col("hb"), F.col("ha"), F.col("p_all"))
-    p_branch = F.when(F.col("m").isNull(), p_host).otherwise(_purity(F.col("m.bb"), F.col("m.ba"), p_host))
+    whole = cells.join(merged, ["host", "template"], "left")
+    p_branch = F.when(F.col("m").isNull(), F.lit(0.5)).otherwise(_purity(F.col("m.bb"), F.col("m.ba"), F.lit(0.5)))
     return whole.select("host", "template", F.coalesce("m.branch", "template").alias("branch"), _purity(F.col("blocked"), F.col("allowed"), p_branch).alias("purity"))
 
 
 def judge_urls(pages: DataFrame, page_id: str, url: str, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity), one row per input row.
 
-    The rules' verdicts label the urls they fit; all others get the verdict of their template. NULL urls and urls without ``://`` have
+    The rules' verdicts label the urls they fit; all others get the verdict of their template, which is
+    to allow if no url of it is labelled. NULL urls and urls without ``://`` have
     empty host and path and share one template. Equal urls share everything. An empty table gives no rows.
     """
     u = F.col(f"`{url}`").cast("string")

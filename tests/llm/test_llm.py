@@ -120,6 +120,21 @@ def test_url_rules(spark, sf):
     assert sorted((r.page_id, r.host, r.path) for r in out if r.page_id < 3) == [(1, "", ""), (2, "", "")]
 
 
+def test_urls_without_evidence_are_allowed(spark):
+    urls = [f"http://a.net/p{i}/x" for i in range(30)]  # blocked labels outnumber all others
+    urls += [f"http://example.com/de/{i}" for i in range(20)]
+    free = ["http://example.com/", "http://example.com/en/a", "http://example.com/en/1", "http://plain.test/", "http://plain.test/de/1", "none"]
+    df = spark.createDataFrame(list(enumerate(urls + free)), "page_id long, url string")
+    out = {r.page_id: r for r in U.judge_urls(df, "page_id", "url").collect()}
+    assert all(out[i].verdict == "block" and out[i].rule for i in range(50))
+    assert all(out[50 + i].verdict == "allow" and out[50 + i].rule is None and out[50 + i].purity == 0.5 for i in range(len(free)))
+    # labels of its own decide a template: those of ruled urls hold for an unruled one of the same template, other branches' do not
+    rules = [("h", f"/user/name{i}/", "block") for i in range(14)] + [("h", "/shop/", "allow")]
+    urls = [f"http://h/user/name{i}/x" for i in range(40)] + ["http://h/shop/x", "http://h/other/x"]
+    out = [r.verdict for r in sorted(U.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), "page_id", "url", rules).collect(), key=lambda r: r.page_id)]
+    assert out == ["block"] * 40 + ["allow", "allow"]
+
+
 def test_variable_segments_become_wildcards(spark):
     paths = spark.createDataFrame([("h", f"/user/name{i}/x", 1) for i in range(40)], "host string, path string, n long")
     assert {tuple(r.template) for r in U.template_tree(paths).collect()} == {("user", "*", "x")}
