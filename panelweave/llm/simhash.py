@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelweave.llm.base import free_name, mixed, shingle_hashes, slices, spread, table
+from panelweave.llm.base import Tally, free_name, frequent, shingle_hashes, slices, spread, table
 from panelweave.llm.components import components
 from panelweave.llm.keyfilter import key_filter, rows_with_keys, split_by_keys
 from panelweave.session import stage
@@ -89,49 +89,69 @@ def simhash_groups(docs: DataFrame, doc_id: str, text: str, width: int = 3) -> D
 
 
 # Near copies of text at a similarity of word sets, for filtering. Texts of Jaccard similarity 0.8 differ in about 10 of
-# 64 SimHash bits, too many for a ball of radius 2, so the fingerprints here are bits of minimum hashes, of which similar
-# texts share more: 8 of 24 bits, each in a ball of radius 2. Beside its bits a fingerprint holds 37 bits of one minimum hash,
-# which must be equal: texts without a common shingle do not meet, however many there are. Candidates are verified on the shingles.
-TABLES, RING = 8, 24
-ANCHOR = RING + 3  # the table's number lies between the ring and the anchor
+# 64 SimHash bits, too many for a ball of radius 2, so near copies are found by a prefix join of their shingles: of two sets with
+# similarity t or more, each in one common order, the first n - ceil(t n) + 1 of the n shingles of either have one in common. This
+# holds in any order; the order taken puts shingles that a sample shows to be common last. Candidates are verified on the shingles.
+SAMPLE, COMMON_LIMIT = 16, 1 << 18
+GROWTH = 8  # the share of a meeting's members that are compared with all others grows by this from round to round
 
 
-def _signatures(width: int):
-    """Map (id, digest, rowhash, text) to the same with 8 fingerprints (anchor, table, ring) in place of the text; NULL without a word."""
-    bins = 256
-    table = np.arange(TABLES, dtype=np.uint64) << np.uint64(RING)
-    weight = np.uint64(1) << np.arange(RING, dtype=np.uint64)
-
+def _counts(width: int):
     def run(batches):
+        tally = Tally("h")
         for batch in batches:
-            signs, sizes = [], []
             for _, part in slices(batch.column("text")):
                 row, h = shingle_hashes(part, width)
                 order = np.lexsort((h, row))
                 row, h = row[order], h[order]
-                spot = row * bins + (h >> np.uint64(56)).astype(np.int64)
-                first = np.ones(len(spot), dtype=bool)
-                first[1:] = spot[1:] != spot[:-1]
-                least = np.zeros(len(part) * bins, dtype=np.uint64)
-                have = np.zeros(len(part) * bins, dtype=bool)
-                least[spot[first]], have[spot[first]] = h[first], True
-                # an empty bin borrows from the next one that is not empty, round the row
-                have = np.tile(have.reshape(-1, bins), 2)
-                at = np.where(have, np.arange(2 * bins), 4 * bins)
-                at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
-                rows = np.arange(len(part))[:, None]
-                value = least.reshape(-1, bins)[rows, at % bins]
-                value = mixed(value ^ (np.arange(bins, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-                value = value.reshape(-1, TABLES, bins // TABLES)
-                anchor, bits = value[:, :, 0], value[:, :, 1 : RING + 1]
-                ring = ((bits >> np.uint64(40) & np.uint64(1)) * weight).sum(axis=2, dtype=np.uint64)
-                signs.append((anchor >> np.uint64(ANCHOR) << np.uint64(ANCHOR) | table | ring).view(np.int64))
-                sizes.append(np.bincount(row, minlength=len(part)))
-            sign = np.concatenate(signs) if signs else np.zeros((0, TABLES), np.int64)
-            empty = np.concatenate(sizes) == 0 if sizes else np.zeros(0, bool)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sign) + 1) * TABLES, pa.int32()), pa.array(sign.ravel()))
-            lists = pc.if_else(pa.array(empty), pa.nulls(len(sign), lists.type), lists)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "digest", "rowhash")], lists], names=["id", "digest", "rowhash", "sign"])
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                at = h[new].view(np.int64)
+                yield from tally.add(pa.table({"h": at, "n": np.ones(len(at), np.int64)}))
+        yield from tally.take()
+
+    return run
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, class) of shingles that are common in a sample by digest, ``COMMON_LIMIT`` at most, sorted by hash; only for the order of the prefixes."""
+    part = texts.filter(F.pmod(F.xxhash64("digest", F.lit(5)), F.lit(SAMPLE)) == 0).select("text")
+    counted = stage(part.mapInArrow(_counts(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "common")
+    found = frequent(counted, "n", COMMON_LIMIT).toArrow()
+    h = found["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.log2(found["n"].to_numpy()[order]).astype(np.int8) + 1
+
+
+def _signatures(width: int, least: float, common: tuple[np.ndarray, np.ndarray]):
+    """Map (id, digest, rowhash, text) to the same with the prefix of the text's shingles and their number in place of the text."""
+    known, classes = common
+
+    def run(batches):
+        for batch in batches:
+            lists, sizes = [], []
+            for _, part in slices(batch.column("text")):
+                row, h = shingle_hashes(part, width)
+                rank = np.zeros(len(h), dtype=np.int8)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, classes[at], rank)
+                order = np.lexsort((h, rank, row))
+                row, h = row[order], h[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                row, h = row[new], h[new]
+                n = np.bincount(row, minlength=len(part))
+                first = np.cumsum(n) - n
+                size = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+                kept = np.arange(len(h)) - first[row] < size[row]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(part)))])
+                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[kept].view(np.int64))))
+                sizes.append(n)
+            kind = pa.list_(pa.int64())
+            prefix = pa.concat_arrays(lists) if lists else pa.array([], kind)
+            count = pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "digest", "rowhash")], prefix, count], names=["id", "digest", "rowhash", "sign", "size"])
 
     return run
 
@@ -149,37 +169,71 @@ def _sets(width: int):
     return run
 
 
-def near_copy_links(classes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """(u, v): nodes of ``classes`` (node, digest, sign) that meet in a ball and whose shingle sets have Jaccard ``least`` or more."""
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(RING)])
-    balls = F.flatten(F.transform("sign", lambda s: F.transform(masks, lambda m: s.bitwiseXOR(m))))
-    variants = spread(classes.filter("sign IS NOT NULL")).select("node", F.explode(balls).alias("variant"))
-    # each table puts the nodes in another order, so a node hidden between the ends of one meeting is at an end of others
-    order = F.xxhash64(F.shiftright("variant", RING).bitwiseAND(F.lit(TABLES - 1)))
-    placed = F.col("node").bitwiseXOR(order)
-    meetings = variants.groupBy("variant").agg(F.min(placed).alias("low"), F.max(placed).alias("high")).filter("low < high")
-    meetings = stage(meetings.select("variant", *[F.col(c).bitwiseXOR(order).alias(c) for c in ("low", "high")]), "meetings")
-    spot = F.xxhash64("variant")
-    members = rows_with_keys(variants, key_filter(meetings, {"v": spot}), spot, "v").join(meetings, "variant")
-    ends = members.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node <> end")
-    pairs = stage(ends.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = stage(classes.join(nodes, "node").select("node", "digest"), "wanted")
-    place = F.xxhash64("digest")
-    found = rows_with_keys(texts, key_filter(wanted, {"d": place}), place, "d").join(wanted, "digest")
-    sets = stage(found.dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets(width), "node long, s array<int>"), "sets")
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have Jaccard ``least`` or more."""
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
     both = left.join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.select("u", "v", shared.alias("n"), (F.size("a") + F.size("b")).alias("m")).filter(F.col("n") >= least * (F.col("m") - F.col("n")) - 1e-9).select("u", "v")
 
 
+def near_copy_groups(classes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(node, root): groups of the nodes of ``classes`` (node, digest, sign, size) connected by Jaccard ``least`` or more of their shingle sets.
+
+    Nodes that share a shingle of their prefixes meet. In each round the pivots of a meeting are compared with all its members of other groups,
+    then leave it: first one member, then shares that grow until all have been pivots. A meeting ends when its members are one group. So
+    a large group of copies is joined by a few comparisons for each member, and members that stay apart are all compared.
+    """
+    places = classes.filter("size > 0").select("node", "size", F.explode("sign").alias("at"))
+    kept = stage(places.groupBy("at").agg(F.count(F.lit(1)).alias("k"), F.min(F.xxhash64("node")).alias("past")).filter("k > 1"), "meetings")
+    met = rows_with_keys(places, key_filter(kept, {"a": F.col("at")}), F.col("at"), "a").join(kept.select("at"), "at")
+    members = stage(met.select("at", "node", "size", F.xxhash64("node").alias("h")), "members")
+    nodes = members.select("node").distinct()
+    wanted = stage(classes.join(nodes, "node").select("node", "digest"), "wanted")
+    place = F.xxhash64("digest")
+    found = rows_with_keys(texts, key_filter(wanted, {"d": place}), place, "d").join(wanted, "digest")
+    sets = stage(found.dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets(width), "node long, s array<int>"), "sets")
+    members = members.withColumn("root", F.col("node"))
+    links = groups = None
+    share = 0
+    while True:
+        # (at, past, upto): members with h <= past have been pivots, those up to upto are the next; the first round takes the least h
+        if share == 0:
+            limits = kept.select("at", F.lit(None).cast("long").alias("past"), F.col("past").alias("upto"))
+        else:
+            def reach(n: int) -> Column:
+                part = F.least(F.lit(1.0), F.lit(float(n)) / F.col("k"))
+                bound = F.when(part >= 1.0, F.lit((1 << 63) - 1)).otherwise((part * float(1 << 63) * 2 - float(1 << 63)).cast("long"))
+                return F.greatest(F.col("past"), bound)
+
+            past = F.col("past") if share == 1 else reach(share)
+            limits = kept.select("at", past.alias("past"), reach(share * GROWTH).alias("upto"))
+        live = members.join(limits, "at").filter("past IS NULL OR h > past")
+        left = live.filter("h <= upto").select("at", F.col("node").alias("p"), F.col("root").alias("r"), F.col("size").alias("c"))
+        near = live.select("at", "node", "root", "size").join(left, "at").filter("root <> r")
+        fits = F.least("size", "c") >= F.lit(least) * F.greatest("size", "c") - 1e-9
+        pairs = stage(near.filter(fits).select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct(), "pairs")
+        new = stage(_similar(pairs, sets, least), "links")
+        links = new if links is None else links.unionByName(new)
+        groups = stage(components(links), "groups")
+        share = GROWTH * share if share else 1
+        # meetings of one group, and of one member that has not been a pivot, are over
+        rest = members.select("at", "node", "size", "h").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        state = rest.join(limits.select("at", "upto"), "at").groupBy("at").agg(
+            F.count(F.when(F.col("h") > F.col("upto"), 1)).alias("open"), F.min("root").alias("low"), F.max("root").alias("high"))
+        going = state.filter("open > 1 AND low <> high").select("at")
+        kept = stage(kept.join(going, "at", "left_semi"), "meetings")
+        if kept.isEmpty():
+            return groups
+        members = stage(rest.join(kept.select("at"), "at", "left_semi"), "members")
+
+
 def drop_near_copies(docs: DataFrame, doc_id: str, text: str, width: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of equal or similar texts; columns as given.
 
     Similar: Jaccard of the sets of ``width``-word shingles is ``least`` or more; groups are connected by such links. The row with the least
     id stays (NULL last), among equal ids any fixed one; of rows equal in all columns one. Texts without a word are
-    equal only if they are the same; NULL is an empty text. A pair of similarity 0.8 meets in a ball with probability 0.99, 0.85: 0.9995 (by calculation). An empty
+    equal only if they are the same; NULL is an empty text. Every pair of similarity ``least`` or more is found. An empty
     table gives no rows. Rows must come the same on a second reading.
     """
     digest, rowhash = free_name(docs, "_digest"), free_name(docs, "_rowhash")
@@ -187,13 +241,14 @@ def drop_near_copies(docs: DataFrame, doc_id: str, text: str, width: int = 5, le
     keyed = docs.withColumns({digest: F.unhex(F.md5(body)), rowhash: F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
     texts = keyed.select(F.col(f"`{doc_id}`").alias("id"), F.col(digest).alias("digest"), F.col(rowhash).alias("rowhash"), body.alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    signed = texts.mapInArrow(_signatures(width), f"id {kind}, digest binary, rowhash long, sign array<long>")
-    equal = signed.groupBy("digest", "id", "rowhash").agg(F.count(F.lit(1)).alias("c"), F.first("sign").alias("sign"))
+    common = common_shingles(texts, width)
+    signed = texts.mapInArrow(_signatures(width, least, common), f"id {kind}, digest binary, rowhash long, sign array<long>, size long")
+    equal = signed.groupBy("digest", "id", "rowhash").agg(F.count(F.lit(1)).alias("c"), F.first("sign").alias("sign"), F.first("size").alias("size"))
     best = F.struct(F.col("id").isNull().alias("none"), "id", "rowhash", "digest", "c")
-    classes = equal.groupBy("digest").agg(F.first("sign").alias("sign"), F.sum("c").alias("n"), F.min(best).alias("best"))
+    classes = equal.groupBy("digest").agg(F.first("sign").alias("sign"), F.first("size").alias("size"), F.sum("c").alias("n"), F.min(best).alias("best"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    linked = components(near_copy_links(classes, texts.select("digest", "text"), width, least))
-    grouped = classes.drop("sign").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = near_copy_groups(classes, texts.select("digest", "text"), width, least)
+    grouped = classes.drop("sign", "size").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = grouped.groupBy("root").agg(F.sum("n").alias("n"), F.min("best").alias("best")).filter("n > 1")
     copies = stage(grouped.select("root", "digest").join(groups, "root").select(F.col("digest").alias("d"), "best"), "copies")
     place = F.xxhash64(F.col(digest))

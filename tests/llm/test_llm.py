@@ -1,6 +1,7 @@
 """The operators of panelweave.llm against brute force, SQL, and tables of odd rows."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -204,6 +205,28 @@ def test_near_copies_leave_one_of_each_group(spark):
     assert kept == {0, 300, *range(100, 108)}
 
 
+def test_near_copies_in_a_family_of_drifted_texts(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(800):
+        words = list(base)
+        for k in rng.sample(range(120), rng.randint(1, 6)):
+            words[k] = f"x{i}y{k}"
+        texts.append(" ".join(words))
+        if i % 10 == 0:  # a copy of 0.8 or more of a text in the middle of the family
+            words[rng.randrange(120)] = f"z{i}"
+            texts.append(" ".join(words))
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    pairs = [len(a & b) for j, a in enumerate(sets) for b in sets[:j]]
+    near = iter([n >= 0.8 * (len(a) + len(b) - n) for (a, b), n in zip(((a, b) for j, a in enumerate(sets) for b in sets[:j]), pairs)])
+    linked = {(j, i) for j in range(len(sets)) for i in range(j) if next(near)}
+    want = brute_groups(list(range(len(sets))), lambda a, b: (max(a, b), min(a, b)) in linked)
+    assert 50 < len(set(want)) < len(texts) - 50
+    kept = {r.doc_id for r in H.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()}
+    assert kept == set(want)
+
+
 def test_trigram_queries():
     assert S.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     assert S.trigram_query("[0-9a-f]+") == [] and S.trigram_query("(ab)?cd*") == []
