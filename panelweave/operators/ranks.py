@@ -1,13 +1,15 @@
 """Exact ranks, quantiles and n-tiles that never put one group into one task.
 
-Rows are first counted per (group, value). The values are cut into buckets, one per
-``PER_BUCKET`` rows of the count table, by bounds taken from a hash sample of it; the sample
-only balances the work, it does not enter any result. Counts per bucket give the offset of each bucket, and a running sum
-inside (group, bucket) gives the exact cumulative count of each value. A group, or one
-value, holding most of the rows is therefore spread over all tasks. The counts are written once
-as a stage table, because the sample, the offsets and the running sums all read them.
-
-The one way is taken at every size; the number of buckets follows the size of the count table, without a cap.
+Rows are first counted per (group, value). The values are cut into buckets by the quantiles of a mergeable sketch of
+the count table; the sketch only balances the work, it does not enter any result. Counts per bucket give the offset of
+each bucket, and a running sum inside (group, bucket) gives the exact cumulative count of each value. A group, or one
+value, holding most of the rows is therefore spread over all tasks. The counts are written once as a stage table,
+because the sketch, the offsets and the running sums all read them.
+
+Positions of rows come from a range partition on the order: rows are sorted and written once with their place in their
+partition, and the rows that earlier partitions hold of the same group are added.
+
+The one way is taken at every size; the number of buckets follows the session's shuffle partitions, which are set by the data.
 """
 
 from __future__ import annotations
@@ -16,31 +18,26 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from panelweave.session import stage
 
-PER_BUCKET = 1_000_000
 MIN_BUCKETS = 64
-PER_BOUND = 16
+PER_PARTITION = 4  # buckets for each shuffle partition of the session
 
 
-def _bounds(counts: DataFrame, keys: list[str], value: str, rows: int, buckets: int) -> Column:
-    """Bucket bounds as one array value, from about ``PER_BOUND`` sampled rows per bucket.
-
-    Rows enter the sample by a hash of their key, so it is the same on every run.
-    """
-    one_in = max(1, rows // (PER_BOUND * buckets))
-    sample = counts.filter(F.pmod(F.xxhash64(*keys), F.lit(one_in)) == 0).select(value)
-    ordered = sample.agg(F.sort_array(F.collect_list(value)).alias("a"))
-    step = F.greatest(F.lit(1), F.ceil(F.size("a") / F.lit(buckets)).cast("int"))
-    every = F.expr("filter(a, (v, i) -> i > 0 AND i % s = 0)")
-    return ordered.withColumn("s", step).select(every.alias("b")).scalar()
+def _bounds(counts: DataFrame, value: str, buckets: int) -> Column:
+    """Bucket bounds as one array value, from a sketch of the count table."""
+    k = min(65_535, 16 * buckets)  # ranks are right to about 2 / k
+    sketch = counts.agg(F.expr(f"kll_sketch_agg_double(CAST(`{value}` AS DOUBLE), {k})").alias("k"))
+    ranks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    known = F.expr("kll_sketch_get_n_double(k)") > 0
+    return sketch.select(F.when(known, F.call_function("kll_sketch_get_quantile_double", "k", ranks)).alias("b")).scalar()
 
 
 def _bucket_of(value: Column, bounds: Column, buckets: int) -> Column:
     """Number of bounds below the value, found by halving steps; a missing bound ends the step."""
-    steps = [F.lit(1 << k) for k in reversed(range((2 * buckets).bit_length()))]
+    steps = [F.lit(1 << k) for k in reversed(range(buckets.bit_length()))]
     found = F.aggregate(
         F.array(*steps),
         F.lit(0),
-        lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at),
+        lambda at, step: F.when(F.get(bounds, at + step - 1) < value.cast("double"), at + step).otherwise(at),
     )
     return F.coalesce(found, F.lit(0))
 
@@ -48,22 +45,21 @@ def _bucket_of(value: Column, bounds: Column, buckets: int) -> Column:
 def value_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(by, value, n, cum, total, mean): rows at the value, rows up to it, rows in the group.
 
-    NULL values are left out. ``mean`` is the group mean, NULL for non-numeric values.
+    ``value`` is a number; NULL values are left out. ``mean`` is the group mean.
     """
     by = by or []
     if isinstance(df.schema[value].dataType, T.DecimalType):
         df = df.withColumn(value, F.col(value).cast("double"))
-    numeric = isinstance(df.schema[value].dataType, T.NumericType)
+    if not isinstance(df.schema[value].dataType, T.NumericType):
+        raise TypeError(f"{value} is not a number; row_positions orders rows by columns of any type")
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     counts = stage(counts, "counts")
     group = W.partitionBy(*by)
-    weighted = F.sum(F.col(value) * F.col("n")) if numeric else F.lit(None).cast("double")
-    rows = counts.count()
-    buckets = max(MIN_BUCKETS, rows // PER_BUCKET)
-    counts = counts.withColumn("_bounds", _bounds(counts, [*by, value], value, rows, buckets)).select(
+    buckets = max(MIN_BUCKETS, PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = counts.withColumn("_bounds", _bounds(counts, value, buckets)).select(
         *by, value, "n", _bucket_of(F.col(value), F.col("_bounds"), buckets).alias("_bucket")
     )
-    parts = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_m"), weighted.alias("_w"))
+    parts = placed.groupBy(*by, "_bucket").agg(F.sum("n").alias("_m"), F.sum(F.col(value) * F.col("n")).alias("_w"))
     before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select(
         *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
@@ -77,7 +73,7 @@ def value_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataF
         match = match & F.col(c).eqNullSafe(F.col(f"_by{i}"))
     inside = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     return (
-        counts.join(parts, match)
+        placed.join(parts, match)
         .withColumn("cum", F.col("_offset") + F.sum("n").over(inside))
         .select(*by, value, "n", "cum", "total", "mean")
     )
@@ -140,17 +136,50 @@ def ecdf_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None)
     return df.join(ranks, match, "left").drop("_value", *[f"_by{i}" for i in range(len(by))])
 
 
+def _tie_key(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Short columns that deal out ties in the order of ``columns``: fixed-width values up to the first text, of which a prefix ends the key."""
+    key = []
+    for c in columns:
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.StringType):
+            return [*key, F.substring(F.col(f"`{c}`"), 1, 16)]
+        if not isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return key
+        key.append(F.col(f"`{c}`"))
+    return key
+
+
 def row_positions(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Add ``position`` (from 1) and ``total`` in the stated order; ties follow the other columns, equal rows each get a position.
+    """Add ``position`` (from 1) and ``total``, both long, in the stated order (NULL first); ties follow the other columns, equal rows each get a position.
 
-    Works on a struct key, so rows that tie on the leading column still spread out. Equal rows are counted once and listed again.
+    The rows are dealt in ranges of (by, order, short tie key), sorted and written once; only the counts per (by, partition) are
+    grouped. Rows that agree in the whole key lie next to each other: one task reads them as a stream. Map columns have no order
+    and are refused by Spark. An empty table gives no rows.
     """
     by = by or []
-    rest = [c for c in df.columns if c not in by]
-    keyed = df.select(*by, F.struct(*order, *[c for c in rest if c not in order]).alias("_key"))
-    ranks = value_ranks(keyed, "_key", by).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    position = (F.col("cum") - F.col("n") + F.col("_copy")).alias("position")
-    return ranks.select(*by, *[F.col(f"_key.{c}").alias(c) for c in rest], position, "total")
+    names = ["part", "at", "n", "first"]
+    while {f"_{n}" for n in names} & {c.lower() for c in df.columns}:
+        names = [f"_{n}" for n in names]
+    part, at, n, first = (f"_{c}" for c in names)
+    rest = [c for c in df.columns if c not in by and c not in order]
+    keys = [F.col(f"`{c}`") for c in [*by, *order]]
+    ranged = df.repartitionByRange(*keys, *_tie_key(df, rest)).sortWithinPartitions(*keys, *[F.col(f"`{c}`") for c in rest])
+    # taken after the sort, the id holds the number of the partition and, in its low 33 bits, the place in it
+    rows = stage(ranged.withColumn(at, F.monotonically_increasing_id()), "ranged")
+    rows = rows.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    cells = rows.groupBy(*keys[: len(by)], part).agg(F.count(F.lit(1)).alias(n), F.min(at).alias(first))
+    group = W.partitionBy(*keys[: len(by)])
+    before = F.coalesce(F.sum(n).over(group.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(
+        *[k.alias(f"{part}_by{i}") for i, k in enumerate(keys[: len(by)])], F.col(part).alias(f"{part}_of"),
+        (before - F.col(first) + 1).alias(first), F.sum(n).over(group).alias(n),
+    )
+    match = F.col(part) == F.col(f"{part}_of")
+    for i, k in enumerate(keys[: len(by)]):
+        match = match & k.eqNullSafe(F.col(f"{part}_by{i}"))
+    return rows.join(cells, match).select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col(at) + F.col(first)).alias("position"), F.col(n).alias("total")
+    )
 
 
 def ntile_rank(df: DataFrame, order: list[str], tiles: int, out: str, by: list[str] | None = None) -> DataFrame:
