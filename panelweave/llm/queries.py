@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from panelweave.llm.decontaminate import OP3_SQL, op3_decontaminate
+from panelweave.llm.exact_stream import OP11_SQL, op11_exact_stream
 from panelweave.llm.lang_id import op4_language_id
 from panelweave.llm.lm_score import op1_lm_score
 from panelweave.llm.merkle import OP13_SQL, op13_merkle_manifest
@@ -19,7 +20,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_score, op2_mix_sources, op3_decontaminate, op4_language_id, op5_sentence_spans, op6_url_templates, op7_importance,
-        op8_secret_scan, op9_quality_rules, op10_simhash, op13_merkle_manifest,
+        op8_secret_scan, op9_quality_rules, op10_simhash, op11_exact_stream, op13_merkle_manifest,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -28,5 +29,6 @@ ORACLES: dict[str, str] = {
     "op5_sentence_spans": OP5_SQL,
     "op8_secret_scan": op8_sql(),
     "op9_quality_rules": OP9_SQL,
+    "op11_exact_stream": OP11_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
