@@ -15,12 +15,13 @@ from panelweave.llm.secrets import op8_secret_scan, oracle as op8_sql
 from panelweave.llm.sentences import OP5_SQL, op5_sentence_spans
 from panelweave.llm.simhash import op10_simhash
 from panelweave.llm.url_templates import op6_url_templates
+from panelweave.llm.zfast_trie import OP12_SQL, op12_prefix_trie
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_score, op2_mix_sources, op3_decontaminate, op4_language_id, op5_sentence_spans, op6_url_templates, op7_importance,
-        op8_secret_scan, op9_quality_rules, op10_simhash, op11_exact_stream, op13_merkle_manifest,
+        op8_secret_scan, op9_quality_rules, op10_simhash, op11_exact_stream, op12_prefix_trie, op13_merkle_manifest,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -30,5 +31,6 @@ ORACLES: dict[str, str] = {
     "op8_secret_scan": op8_sql(),
     "op9_quality_rules": OP9_SQL,
     "op11_exact_stream": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
