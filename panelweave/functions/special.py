@@ -75,6 +75,43 @@ def betainc(a, b, x, terms: int = 400):
     return np.where(flip, 1.0 - value, value)
 
 
+def erfc(x):
+    """Complementary error function of an array: a Taylor series near zero, a continued fraction beyond."""
+    x = np.asarray(x, dtype=float)
+    z = np.abs(x)
+    small = z < 2.5
+    t = np.where(small, z, 0.0)
+    term = total = t.copy()
+    for k in range(1, 60):
+        term = term * (-t * t) / k
+        total = total + term / (2 * k + 1)
+    near = 1.0 - 2.0 / np.sqrt(np.pi) * total
+    far = np.where(small, 2.5, z)
+    f = np.zeros_like(far)
+    for k in range(80, 0, -1):
+        f = k / 2.0 / (far + f)
+    tail = np.exp(-far * far) / np.sqrt(np.pi) / (far + f)
+    value = np.where(small, near, tail)
+    return np.where(x < 0, 2.0 - value, value)
+
+
+def normal_quantile(p):
+    """Inverse of the standard normal distribution function over an array, 0 < p < 1.
+
+    A series in log(p) starts the search in the smaller tail; Halley steps on the complementary error function end it.
+    """
+    p = np.asarray(p, dtype=float)
+    low = np.minimum(p, 1.0 - p)
+    r = np.sqrt(-2.0 * np.log(low))
+    x = np.where(low < 0.1, r - np.log(2.0 * np.pi * np.maximum(r * r, 1.0)) / (2.0 * np.maximum(r, 1.0)), np.sqrt(2 * np.pi) * (0.5 - low))
+    x = np.maximum(x, 0.0)
+    for _ in range(6):
+        density = np.exp(-0.5 * x * x) / np.sqrt(2.0 * np.pi)
+        e = (0.5 * erfc(x / np.sqrt(2.0)) - low) / density
+        x = x + e / (1.0 - 0.5 * x * e)
+    return np.where(p < 0.5, -x, x)
+
+
 def chi2_tail(x: float, df: float) -> float:
     """P(X > x) of a chi-squared variable."""
     a, z = df / 2.0, x / 2.0

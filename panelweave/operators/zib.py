@@ -1,89 +1,207 @@
-"""Zero-inflated beta regression by Fisher scoring.
+"""Zero-inflated beta regression by Fisher scoring, many models in one pass.
 
 y = 0 with probability nu; otherwise y is beta with mean mu and precision phi, where
 logit(mu), log(phi) and logit(nu) are linear in their covariates (Ospina and Ferrari 2010).
-The likelihood splits into a logistic part for 1{y=0} and a beta part for y > 0. Each
-iteration is one pass over the data: a task turns its rows into sums of the size of the
-model, Spark adds them up, and the driver solves a terms-by-terms system.
+The likelihood splits into a logistic part for 1{y=0} and a beta part for y > 0. All parts of
+all models of a list are searched side by side: one pass over the data gives each of them the sums
+at its next point, with the log-likelihoods at shorter steps in case the full one overshoots, so the number of
+passes is that of the slowest part. Factors are integer codes; a level is an index of a sum, not a column. A task
+turns its rows into sums of the size of the models, Spark adds them up, and the driver solves a terms-by-terms system.
 """
 
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelweave.functions.special import betainc, chi2_tail, digamma, gammaln, trigamma
+from panelweave.functions.special import betainc, chi2_tail, digamma, gammaln, normal_quantile, trigamma
 from panelweave.operators.models import COEF_SCHEMA, INTERCEPT
 from panelweave.session import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LEVEL_LIMIT = 2_000
+MAX_TERMS = 4_000  # of one part: its information matrix is dense on the driver, 128 MB
+SHORTER = (0.5, 0.25, 0.125)
 
 
-def _design(pdf: pd.DataFrame, columns: list[str], levels: dict[str, list[str]]) -> np.ndarray:
-    parts = [np.ones((len(pdf), 1))]
-    for c in columns:
-        if c in levels:
-            parts.append((pdf[c].to_numpy(dtype=object)[:, None] == np.array(levels[c][1:], dtype=object)).astype(float))
-        else:
-            parts.append(pdf[[c]].to_numpy(dtype=float))
-    return np.hstack(parts)
+def _expit(x):
+    """1 / (1 + exp(-x)), right to the last bit of small results on both sides."""
+    with np.errstate(over="ignore"):
+        return np.where(x >= 0, 1.0 / (1.0 + np.exp(-x)), np.exp(np.minimum(x, 0)) / (1.0 + np.exp(np.minimum(x, 0))))
 
 
-def _expit(x):
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -700, 700)))
+class _Design:
+    """Intercept, covariates and factors of one part over a batch, without a column per level.
 
+    Terms are in order of ``columns``; the first level of a factor is its reference and has no term.
+    """
 
-def _beta_sums(y, x, z, beta, gamma):
+    def __init__(self, data: dict[str, np.ndarray], rows: np.ndarray, columns: list[str], codes: dict[str, np.ndarray]):
+        self.n, at, dense = int(rows.sum()), 1, [np.ones(int(rows.sum()))]
+        self.place, self.factors = [0], []
+        for c in columns:
+            if c in codes:
+                size = int(codes[c].max(initial=0))
+                self.factors.append((at, size, codes[c][data[c][rows].astype(np.int64)] - 1))
+                at += size
+            else:
+                dense.append(data[c][rows])
+                self.place.append(at)
+                at += 1
+        self.size, self.dense = at, np.column_stack(dense)
+
+    def times(self, theta):
+        out = self.dense @ theta[self.place]
+        for at, size, code in self.factors:
+            out = out + np.append(theta[at : at + size], 0.0)[code]
+        return out
+
+    def score(self, v):
+        out = np.zeros(self.size)
+        out[self.place] = self.dense.T @ v
+        for at, size, code in self.factors:
+            out[at : at + size] = np.bincount(code[code >= 0], v[code >= 0], size)
+        return out
+
+    def cross(self, w, other: "_Design"):
+        """self.T diag(w) other."""
+        out = np.zeros((self.size, other.size))
+        out[np.ix_(self.place, other.place)] = self.dense.T @ (w[:, None] * other.dense)
+        for at, size, code in self.factors:
+            own = code >= 0
+            for j, k in enumerate(other.place):
+                out[at : at + size, k] = np.bincount(code[own], (w * other.dense[:, j])[own], size)
+            for at2, size2, code2 in other.factors:
+                both = own & (code2 >= 0)
+                cells = np.bincount(code[both] * size2 + code2[both], w[both], size * size2)
+                out[at : at + size, at2 : at2 + size2] = cells.reshape(size, size2)
+        for at, size, code in other.factors:
+            own = code >= 0
+            for j, k in enumerate(self.place):
+                out[k, at : at + size] = np.bincount(code[own], (w * self.dense[:, j])[own], size)
+        return out
+
+
+def _beta_sums(y, x: _Design, z: _Design, theta, whole: bool = True):
     """Log-likelihood, score and information of the beta part for one batch."""
-    mu = np.clip(_expit(x @ beta), 1e-12, 1 - 1e-12)
-    phi = np.exp(np.clip(z @ gamma, -30, 30))
-    a, b = mu * phi, (1 - mu) * phi
-    log_y, log_rest = np.log(y), np.log1p(-y)
-    loglik = (gammaln(phi) - gammaln(a) - gammaln(b) + (a - 1) * log_y + (b - 1) * log_rest).sum()
-    slope = mu * (1 - mu)
-    star = log_y - log_rest - (digamma(a) - digamma(b))
-    d_phi = mu * star + log_rest - digamma(b) + digamma(phi)
-    ta, tb = trigamma(a), trigamma(b)
-    w_mu = (phi * slope) ** 2 * (ta + tb)
-    w_cross = phi * slope * (ta * mu - tb * (1 - mu)) * phi
-    w_phi = (ta * mu**2 + tb * (1 - mu) ** 2 - trigamma(phi)) * phi**2
-    score = np.concatenate([x.T @ (phi * slope * star), z.T @ (phi * d_phi)])
-    corner = x.T @ (w_cross[:, None] * z)
-    info = np.block([[x.T @ (w_mu[:, None] * x), corner], [corner.T, z.T @ (w_phi[:, None] * z)]])
-    return loglik, score, info
-
-
-def _logit_sums(zero, w, delta):
-    eta = np.clip(w @ delta, -30, 30)
-    nu = _expit(eta)
+    beta, gamma = theta[: x.size], theta[x.size :]
+    with np.errstate(all="ignore"):
+        eta = x.times(beta)
+        mu, rest = _expit(eta), _expit(-eta)
+        phi = np.exp(z.times(gamma))
+        a, b = mu * phi, rest * phi
+        log_y, log_rest = np.log(y), np.log1p(-y)
+        loglik = (gammaln(phi) - gammaln(a) - gammaln(b) + (a - 1) * log_y + (b - 1) * log_rest).sum()
+        if not whole:
+            return loglik, None, None
+        slope = mu * rest
+        star = log_y - log_rest - (digamma(a) - digamma(b))
+        d_phi = mu * star + log_rest - digamma(b) + digamma(phi)
+        ta, tb = trigamma(a), trigamma(b)
+        w_mu = (phi * slope) ** 2 * (ta + tb)
+        w_cross = phi * slope * (ta * mu - tb * rest) * phi
+        w_phi = (ta * mu**2 + tb * rest**2 - trigamma(phi)) * phi**2
+        score = np.concatenate([x.score(phi * slope * star), z.score(phi * d_phi)])
+        corner = x.cross(w_cross, z)
+        return loglik, score, np.block([[x.cross(w_mu, x), corner], [corner.T, z.cross(w_phi, z)]])
+
+
+def _logit_sums(zero, w: _Design, delta, whole: bool = True):
+    eta = w.times(delta)
     loglik = (zero * eta - np.logaddexp(0, eta)).sum()
-    return loglik, w.T @ (zero - nu), w.T @ ((nu * (1 - nu))[:, None] * w)
+    if not whole:
+        return loglik, None, None
+    nu = _expit(eta)
+    return loglik, w.score(zero - nu), w.cross(nu * _expit(-eta), w)
 
 
-def _summed(df: DataFrame, batch_sums, size: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Add (loglik, score, information) over all batches of all tasks."""
+@dataclass
+class ZibModel:
+    """A model of a list: response, covariates and factors of the mean, the precision and the share of zeros."""
 
-    def run(batches):
-        total = None
-        for pdf in batches:
-            loglik, score, info = batch_sums(pdf)
-            flat = np.concatenate([[loglik], score, info.ravel()])
-            total = flat if total is None else total + flat
-        if total is not None:
-            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+    name: str
+    y: str
+    mu: list[str]
+    sigma: list[str] = field(default_factory=list)
+    nu: list[str] = field(default_factory=list)
 
-    rows = df.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    flat = np.zeros(1 + size + size * size)
-    for r in rows:
-        flat[r["k"]] = r["v"]
-    return flat[0], flat[1 : 1 + size], flat[1 + size :].reshape(size, size)
+    @property
+    def columns(self) -> dict[str, list[str]]:
+        return {"mu": list(self.mu), "sigma": list(self.sigma), "nu": list(self.nu)}
+
+    @property
+    def used(self) -> list[str]:
+        return list(dict.fromkeys(c for part in self.columns.values() for c in part))
+
+
+@dataclass
+class _Search:
+    """Where the search for one part of one model stands."""
+
+    model: int
+    zero: bool
+    theta: np.ndarray
+    max_iter: int
+    tol: float
+    loglik: float | None = None
+    score: np.ndarray | None = None
+    info: np.ndarray | None = None
+    step: np.ndarray | None = None
+    scale: float = 1.0
+    last: tuple[float, float] = (np.inf, np.inf)  # gain and length of the last accepted step
+    iterations: int = 0
+    done: bool = False
+
+    def points(self) -> list[tuple[np.ndarray, bool]]:
+        """(parameters, whether score and information are needed) of the next pass."""
+        if self.loglik is None:
+            return [(self.theta, True)]
+        if self.score is None:  # a shorter step was taken; its sums are still to come
+            return [(self.theta, True)]
+        return [(self.theta + self.scale * self.step, True), *[(self.theta + self.scale * s * self.step, False) for s in SHORTER]]
+
+    def _newton(self) -> None:
+        gain, length = self.last
+        if self.iterations and gain <= self.tol * (abs(self.loglik) + self.tol) and length < 1e-7 or self.iterations >= self.max_iter:
+            self.done = True
+            return
+        self.step, self.scale = _invert(self.info) @ self.score, 1.0
+        self.iterations += 1
+
+    def take(self, found: list[tuple[float, np.ndarray | None, np.ndarray | None]]) -> None:
+        if self.loglik is None or self.score is None:
+            self.loglik, self.score, self.info = found[0]
+            self._newton()
+            return
+        for (loglik, score, info), share in zip(found, (1.0, *SHORTER)):
+            fine = np.isfinite(loglik) and loglik >= self.loglik - 1e-12 * abs(self.loglik)
+            if share == 1.0:
+                fine = fine and np.all(np.isfinite(score)) and np.all(np.isfinite(info))
+            if fine:
+                self.last = loglik - self.loglik, float(np.max(np.abs(self.scale * share * self.step)))
+                self.theta = self.theta + self.scale * share * self.step
+                self.loglik, self.score, self.info = loglik, score, info
+                if score is not None:
+                    self._newton()
+                return
+        self.scale *= SHORTER[-1] / 2
+        if self.scale < 1e-8:
+            self.done = True
+
+    @property
+    def converged(self) -> bool:
+        """The last full step would gain next to nothing, and no direction is flat (a separated part has no finite maximum)."""
+        if self.score is None or not np.all(np.isfinite(self.info)):
+            return False
+        gain = float(self.score @ _invert(self.info) @ self.score)
+        flat = np.linalg.matrix_rank(self.info, hermitian=True, tol=1e-10 * np.abs(self.info).max()) < len(self.theta)
+        return bool(np.isfinite(gain) and gain <= 1e-8 * (1 + abs(self.loglik)) and not flat)
 
 
 def _invert(info: np.ndarray) -> np.ndarray:
@@ -94,32 +212,57 @@ def _invert(info: np.ndarray) -> np.ndarray:
         return np.linalg.pinv(info)
 
 
-def _maximise(df: DataFrame, make_sums, start: np.ndarray, max_iter: int, tol: float):
-    """(theta, log-likelihood, covariance, converged, iterations) by Fisher scoring with step halving on the log-likelihood.
+def _pass(frame: DataFrame, models: list[ZibModel], codes: list[dict[str, np.ndarray]], searches: list[_Search]) -> None:
+    """One pass over the frame for all searches that go on."""
+    asked = [(k, s.model, s.zero, s.points()) for k, s in enumerate(searches) if not s.done]
 
-    Converged: the last full step would gain next to nothing, and no direction is flat (a separated part has no finite maximum).
-    """
-    theta, iterations = start, 0
-    loglik, score, info = _summed(df, make_sums(theta), len(theta))
-    for iterations in range(1, max_iter + 1):
-        step = _invert(info) @ score
-        scale, accepted = 1.0, None
-        while scale > 1e-8:
-            trial = theta + scale * step
-            new = _summed(df, make_sums(trial), len(trial))
-            if np.isfinite(new[0]) and new[0] >= loglik - 1e-12 * abs(loglik):
-                accepted = (trial, *new)
-                break
-            scale /= 2
-        if accepted is None:
-            break
-        gain = accepted[1] - loglik
-        theta, loglik, score, info = accepted
-        if gain <= tol * (abs(loglik) + tol) and np.max(np.abs(scale * step)) < 1e-7:
-            break
-    gain = float(score @ _invert(info) @ score)
-    flat = np.linalg.matrix_rank(info, hermitian=True, tol=1e-10 * np.abs(info).max()) < len(theta)
-    return theta, loglik, _invert(info), bool(np.isfinite(gain) and gain <= 1e-8 * (1 + abs(loglik)) and not flat), iterations
+    def run(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            data = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+            known: dict[tuple, _Design] = {}
+            for k, m, zero, points in asked:
+                model, y = models[m], data[models[m].y]
+                rows = ~np.isnan(y)
+                for c in model.used:
+                    rows &= data[c] >= 0 if c in codes[m] else ~np.isnan(data[c])
+                if not zero:
+                    rows &= y > 0
+
+                def design(part: str) -> _Design:
+                    columns = model.columns[part]
+                    key = (m, zero, tuple(columns))
+                    if key not in known:
+                        known[key] = _Design(data, rows, columns, codes[m])
+                    return known[key]
+
+                for i, (theta, whole) in enumerate(points):
+                    if zero:
+                        loglik, score, info = _logit_sums((y[rows] == 0).astype(float), design("nu"), theta, whole)
+                    else:
+                        loglik, score, info = _beta_sums(y[rows], design("mu"), design("sigma"), theta, whole)
+                    flat = np.array([loglik]) if score is None else np.concatenate([[loglik], score, info[np.triu_indices(len(score))]])
+                    total[k, i] = flat if (k, i) not in total else total[k, i] + flat
+        for (k, i), flat in total.items():
+            at = np.flatnonzero(flat != 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(flat[at])], names=["k", "i", "at", "v"])
+
+    sums = frame.mapInArrow(run, "k int, i int, at long, v double").groupBy("k", "i", "at").agg(F.sum("v").alias("v")).toArrow()
+    k, i, at, v = (sums[c].to_numpy() for c in ("k", "i", "at", "v"))
+    for number, _, _, points in asked:
+        found = []
+        for j, (theta, whole) in enumerate(points):
+            p, mine = len(theta), (k == number) & (i == j)
+            flat = np.zeros(1 + p + p * (p + 1) // 2 if whole else 1)
+            flat[at[mine]] = v[mine]
+            if not whole:
+                found.append((flat[0], None, None))
+                continue
+            info = np.zeros((p, p))
+            info[np.triu_indices(p)] = flat[1 + p :]
+            found.append((flat[0], flat[1 : 1 + p], np.triu(info) + np.triu(info, 1).T))
+        searches[number].take(found)
 
 
 @dataclass
@@ -160,97 +303,121 @@ class ZibFit:
         )
 
 
-def zib_regression(
-    df: DataFrame, y: str, mu: list[str], sigma: list[str] | None = None, nu: list[str] | None = None,
-    factors: list[str] | None = None, model: str = "zib", max_iter: int = 100, tol: float = 1e-10,
-) -> ZibFit:
-    """Fit on the complete rows; every response must lie in [0, 1)."""
-    columns = {"mu": list(mu), "sigma": list(sigma or []), "nu": list(nu or [])}
-    used = list(dict.fromkeys(c for part in columns.values() for c in part))
+def zib_models(df: DataFrame, models: list[ZibModel], factors: list[str] | None = None, max_iter: int = 100, tol: float = 1e-10) -> list[ZibFit]:
+    """Fit every model on its own complete rows; every response must lie in [0, 1).
+
+    The frame is read a fixed number of times for counts and levels and once for each step of the slowest part.
+    """
+    used = list(dict.fromkeys(c for m in models for c in m.used))
+    responses = list(dict.fromkeys(m.y for m in models))
     factors = [f for f in factors or [] if f in used]
-    frame = df.select(F.col(y).cast("double").alias("_y"), *[
-        F.col(c).cast("string").alias(c) if c in factors else F.col(c).cast("double").alias(c) for c in used
-    ]).dropna()
+    if set(responses) & set(factors):
+        raise ValueError("a response can't be a factor")
+    numbers = list(dict.fromkeys([*responses, *[c for c in used if c not in factors]]))
     # written once so that every pass reads evenly packed files, then kept in memory where it fits
-    frame = stage(frame, "model").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        levels = {}
-        for f in factors:
-            found = [r[0] for r in frame.select(f).distinct().limit(LEVEL_LIMIT + 1).collect()]
-            if len(found) > LEVEL_LIMIT:
-                raise ValueError(f"{f} has more than {LEVEL_LIMIT} levels; not usable as a model factor")
-            levels[f] = sorted(found)
-        stats = frame.agg(
-            F.count(F.lit(1)).alias("n"), F.min("_y").alias("lo"), F.max("_y").alias("hi"),
-            F.sum((F.col("_y") == 0).cast("int")).alias("zeros"),
-            F.avg(F.when(F.col("_y") > 0, F.col("_y"))).alias("m"),
-            F.var_samp(F.when(F.col("_y") > 0, F.col("_y"))).alias("v"),
-        ).first()
-        if not stats["n"] or stats["lo"] < 0 or stats["hi"] >= 1:
-            raise ValueError(f"{y} must have values in [0, 1)")
-        terms = {
-            part: [INTERCEPT, *[t for c in cols for t in ([f"{c}={v}" for v in levels[c][1:]] if c in levels else [c])]]
-            for part, cols in columns.items()
-        }
-        # standardise covariates for the search and map the coefficients back afterwards
-        numeric = [c for c in used if c not in levels]
-        row = frame.agg(
-            *[F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)],
-            *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(numeric)],
-        ).first() if numeric else None
-        center = {c: row[f"m{i}"] for i, c in enumerate(numeric)}
-        scale = {c: row[f"s{i}"] or 1.0 for i, c in enumerate(numeric)}
-        ready = frame.select("_y", *[
-            ((F.col(c) - center[c]) / scale[c]).alias(c) if c in center else F.col(c) for c in used
-        ])
-
-        p, q, r = (len(terms[k]) for k in ("mu", "sigma", "nu"))
-        start = np.zeros(p + q)
-        m, v = stats["m"], stats["v"] or 0.01
-        start[0] = np.log(m / (1 - m))
-        start[p] = np.log(max(m * (1 - m) / v - 1, 0.1))
-
-        def beta_part(theta):
-            def sums(pdf):
-                return _beta_sums(
-                    pdf["_y"].to_numpy(), _design(pdf, columns["mu"], levels), _design(pdf, columns["sigma"], levels),
-                    theta[:p], theta[p:],
-                )
-            return sums
-
-        def zero_part(theta):
-            def sums(pdf):
-                return _logit_sums(
-                    (pdf["_y"].to_numpy() == 0).astype(float), _design(pdf, columns["nu"], levels), theta
-                )
-            return sums
-
-        theta, loglik, cov, converged, iterations = _maximise(ready.filter("_y > 0"), beta_part, start, max_iter, tol)
-        share = stats["zeros"] / stats["n"]
+    frame = stage(df.select(*[F.col(c).cast("double").alias(c) for c in numbers], *[F.col(f).cast("string").alias(f) for f in factors]), "model")
+
+    def complete(m: ZibModel):
+        out = F.col(m.y).isNotNull()
+        for c in m.used:
+            out = out & F.col(c).isNotNull()
+        return out
+
+    names: dict[str, list[str]] = {}
+    own: list[dict[str, list[str]]] = [{} for _ in models]
+    for f in factors:
+        seen = frame.filter(F.col(f).isNotNull()).groupBy(f).agg(*[F.bool_or(complete(m)).alias(f"m{i}") for i, m in enumerate(models)])
+        rows = sorted(seen.limit(MAX_TERMS + 1).collect(), key=lambda r: r[f])
+        if len(rows) > MAX_TERMS:
+            raise ValueError(f"{f} has more than {MAX_TERMS} levels; the terms-by-terms matrix of a part is dense")
+        names[f] = [r[f] for r in rows]
+        for i, m in enumerate(models):
+            if f in m.used:
+                own[i][f] = [r[f] for r in rows if r[f"m{i}"]]
+    stats = frame.agg(*[a.alias(f"{n}{i}") for i, m in enumerate(models) for ok, y in [(complete(m), F.col(m.y))] for n, a in (
+        ("n", F.count_if(ok)), ("lo", F.min(F.when(ok, y))), ("hi", F.max(F.when(ok, y))), ("zeros", F.count_if(ok & (y == 0))),
+        ("m", F.avg(F.when(ok & (y > 0), y))), ("v", F.var_samp(F.when(ok & (y > 0), y))))],
+        *[a.alias(f"{n}_{i}") for i, c in enumerate(numbers) for n, a in (("c", F.avg(c)), ("s", F.stddev_pop(c)))]).first()
+    for i, m in enumerate(models):
+        if not stats[f"n{i}"] or stats[f"lo{i}"] < 0 or stats[f"hi{i}"] >= 1:
+            raise ValueError(f"{m.y} must have values in [0, 1)")
+    # standardise covariates for the search and map the coefficients back afterwards
+    scaled = [c for c in numbers if c in used]
+    if set(scaled) & set(responses):
+        raise ValueError("a response can't be a covariate")
+    center = {c: stats[f"c_{numbers.index(c)}"] for c in scaled}
+    scale = {c: stats[f"s_{numbers.index(c)}"] or 1.0 for c in scaled}
+    coded = {f: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for k, x in enumerate(names[f]) for v in (x, k)]), F.col(f)), F.lit(-1)) if names[f] else F.lit(-1) for f in factors}
+    ready = frame.select(
+        *[F.col(y) for y in responses], *[((F.col(c) - center[c]) / scale[c]).alias(c) for c in scaled], *[coded[f].cast("int").alias(f) for f in factors])
+    ready = stage(ready, "coded").persist(StorageLevel.MEMORY_AND_DISK)
+    # code in the frame -> 0 for the reference level, else the place of its term; levels without a complete row have none
+    codes = [{f: np.array([levels.index(x) if x in levels else 0 for x in names[f]], dtype=np.int64) for f, levels in own[i].items()} for i in range(len(models))]
+    terms = [{
+        part: [INTERCEPT, *[t for c in cols for t in ([f"{c}={v}" for v in own[i][c][1:]] if c in factors else [c])]]
+        for part, cols in m.columns.items()
+    } for i, m in enumerate(models)]
+    searches, beta_of, zero_of = [], {}, {}
+    for i, m in enumerate(models):
+        p, q, r = (len(terms[i][k]) for k in ("mu", "sigma", "nu"))
+        if max(p + q, r) > MAX_TERMS:
+            raise ValueError(f"{m.name} has more than {MAX_TERMS} terms in a part; its information matrix is dense")
+        start, mean, var = np.zeros(p + q), stats[f"m{i}"], stats[f"v{i}"] or 0.01
+        if mean is not None:
+            start[0] = np.log(mean / (1 - mean))
+            start[p] = np.log(max(mean * (1 - mean) / var - 1, 0.1))
+            beta_of[i] = len(searches)
+            searches.append(_Search(i, False, start, max_iter, tol))
+        share = stats[f"zeros{i}"] / stats[f"n{i}"]
         if 0 < share < 1:
             first = np.zeros(r)
             first[0] = np.log(share / (1 - share))
-            delta, loglik0, cov0, settled, more = _maximise(ready, zero_part, first, max_iter, tol)
+            zero_of[i] = len(searches)
+            searches.append(_Search(i, True, first, max_iter, tol))
+    try:
+        while not all(s.done for s in searches):
+            _pass(ready, models, codes, searches)
+    finally:
+        ready.unpersist()
+    fits = []
+    for i, m in enumerate(models):
+        p, q, r = (len(terms[i][k]) for k in ("mu", "sigma", "nu"))
+        share = stats[f"zeros{i}"] / stats[f"n{i}"]
+        parts = [searches[of[i]] for of in (beta_of, zero_of) if i in of]
+        theta, cov = np.full(p + q, np.nan), np.full((p + q, p + q), np.nan)
+        if i in beta_of:
+            s = searches[beta_of[i]]
+            theta, cov = s.theta, _invert(s.info) if s.info is not None else cov
+        delta, cov0 = np.zeros(r), np.zeros((r, r))
+        if i in zero_of:
+            s = searches[zero_of[i]]
+            delta, cov0 = s.theta, _invert(s.info) if s.info is not None else np.full((r, r), np.nan)
         else:
-            delta, loglik0, cov0, settled, more = np.zeros(r), 0.0, np.zeros((r, r)), True, 0
             delta[0] = -np.inf if share == 0 else np.inf
         raw_coef = {"mu": theta[:p], "sigma": theta[p:], "nu": delta}
         raw_cov = {"mu": cov[:p, :p], "sigma": cov[p:, p:], "nu": cov0}
         coef, covs = {}, {}
         for part in raw_coef:
-            back = np.eye(len(terms[part]))
-            for i, t in enumerate(terms[part]):
+            back = np.eye(len(terms[i][part]))
+            for k, t in enumerate(terms[i][part]):
                 if t in center:
-                    back[i, i] = 1 / scale[t]
-                    back[0, i] = -center[t] / scale[t]
+                    back[k, k] = 1 / scale[t]
+                    back[0, k] = -center[t] / scale[t]
             coef[part] = back @ raw_coef[part] if np.all(np.isfinite(raw_coef[part])) else raw_coef[part]
             covs[part] = back @ raw_cov[part] @ back.T
-        return ZibFit(
-            model, y, terms, columns, levels, coef, covs, loglik + loglik0, int(stats["n"]), int(stats["zeros"]),
-            converged and settled, max(iterations, more),
-        )
-    finally:
-        frame.unpersist()
+        fits.append(ZibFit(
+            m.name, m.y, terms[i], m.columns, own[i], coef, covs, float(sum(s.loglik for s in parts)), int(stats[f"n{i}"]), int(stats[f"zeros{i}"]),
+            all(s.converged for s in parts), max((s.iterations for s in parts), default=0),
+        ))
+    return fits
+
+
+def zib_regression(
+    df: DataFrame, y: str, mu: list[str], sigma: list[str] | None = None, nu: list[str] | None = None,
+    factors: list[str] | None = None, model: str = "zib", max_iter: int = 100, tol: float = 1e-10,
+) -> ZibFit:
+    """Fit one model on the complete rows; every response must lie in [0, 1)."""
+    return zib_models(df, [ZibModel(model, y, mu, sigma or [], nu or [])], factors, max_iter, tol)[0]
 
 
 def lr_test(reduced: ZibFit, full: ZibFit, spark: SparkSession) -> DataFrame:
@@ -267,6 +434,31 @@ def lr_test(reduced: ZibFit, full: ZibFit, spark: SparkSession) -> DataFrame:
     )
 
 
+def lr_table(spark: SparkSession, pairs: list[tuple[ZibFit, ZibFit]]) -> DataFrame:
+    """Likelihood-ratio tests of (reduced, full) pairs; NULL where the rows differ or a fit has not converged."""
+    rows = []
+    for reduced, full in pairs:
+        usable = reduced.n == full.n and reduced.converged and full.converged and full.n_parameters > reduced.n_parameters
+        stat = 2 * (full.loglik - reduced.loglik) if usable else None
+        df = full.n_parameters - reduced.n_parameters
+        rows.append((reduced.model, full.model, stat, df, chi2_tail(stat, df) if usable else None, bool(usable)))
+    return spark.createDataFrame(rows, "reduced string, full string, statistic double, df int, p_value double, usable boolean")
+
+
+def effects_side_by_side(spark: SparkSession, fits: dict[str, ZibFit], part: str = "mu") -> DataFrame:
+    """(term, level, effect, lo and hi per scenario): exp of the coefficients, each factor with its reference level as 1."""
+    names = list(fits)
+    out = None
+    for name, fit in fits.items():
+        firsts = {f: levels[0] for f, levels in fit.levels.items() if f in fit.columns[part] and levels}
+        one = effect_table(fit.table(spark).filter(F.col("part") == part), firsts).select(
+            "term", "level", F.col("odds_ratio").alias("effect"), "lo", "hi", F.lit(name).alias("scenario"))
+        out = one if out is None else out.unionByName(one)
+    at = {n: F.max(F.when(F.col("scenario") == n, F.struct("effect", "lo", "hi"))) for n in names}
+    wide = out.groupBy("term", "level").agg(*[a.alias(n) for n, a in at.items()])
+    return wide.select("term", "level", *[F.col(f"`{n}`.{c}").alias(f"{c}_{n}") for n in names for c in ("effect", "lo", "hi")])
+
+
 def effect_table(coefficients: DataFrame, factors: dict[str, str] | None = None) -> DataFrame:
     """exp(estimate) with its interval, factor terms split into factor and level.
 
@@ -303,31 +495,30 @@ def quantile_residuals(df: DataFrame, fit: ZibFit, key: str) -> DataFrame:
     """z-score residual per row: normal quantile of the fitted distribution function.
 
     At zeros the function jumps, so a uniform point of the jump is taken; it is derived
-    from a hash of the key and is the same on every run.
+    from a hash of the key and is the same on every run. Rows with a level that the fit has not seen are left out.
     """
     used = list(dict.fromkeys(c for part in fit.columns.values() for c in part))
     hashed = (F.pmod(F.xxhash64(F.col(key)), F.lit(2**40)).cast("double") + 0.5) / float(2**40)
-    frame = df.select(key, F.col(fit.response).cast("double").alias("_y"), hashed.alias("_u"), *[
-        F.col(c).cast("string").alias(c) if c in fit.levels else F.col(c).cast("double").alias(c) for c in used
+    places = {f: F.try_element_at(F.create_map(*[F.lit(v) for k, x in enumerate(levels) for v in (x, k)]), F.col(f).cast("string")) for f, levels in fit.levels.items()}
+    frame = df.select(F.col(key).alias("_key"), F.col(fit.response).cast("double").alias("_y"), hashed.alias("_u"), *[
+        places[c].cast("int").alias(c) if c in places else F.col(c).cast("double").alias(c) for c in used
     ]).dropna()
-    coef, columns, levels = fit.coef, fit.columns, fit.levels
+    coef, columns = fit.coef, fit.columns
+    codes = {f: np.arange(len(levels)) for f, levels in fit.levels.items()}
 
     def run(batches):
-        from statistics import NormalDist
-
-        inverse = np.vectorize(NormalDist().inv_cdf, otypes=[float])
-        for pdf in batches:
-            y, u = pdf["_y"].to_numpy(), pdf["_u"].to_numpy()
-            mu = _expit(_design(pdf, columns["mu"], levels) @ coef["mu"])
-            phi = np.exp(_design(pdf, columns["sigma"], levels) @ coef["sigma"])
-            nu = _expit(_design(pdf, columns["nu"], levels) @ coef["nu"])
-            below = betainc(mu * phi, (1 - mu) * phi, y)
+        for batch in batches:
+            data = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n != "_key"}
+            y, u, rows = data["_y"], data["_u"], np.ones(len(batch), dtype=bool)
+            eta = {part: _Design(data, rows, columns[part], codes).times(coef[part]) for part in coef}
+            mu, phi, nu = _expit(eta["mu"]), np.exp(eta["sigma"]), _expit(eta["nu"])
+            below = betainc(mu * phi, _expit(-eta["mu"]) * phi, y)
             prob = np.where(y > 0, nu + (1 - nu) * below, u * nu)
-            z = inverse(np.clip(prob, 1e-15, 1 - 1e-15))
-            yield pd.DataFrame({key: pdf[key], "probability": prob, "residual": z})
+            z = normal_quantile(np.clip(prob, 1e-15, 1 - 1e-15))
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(prob), pa.array(z)], names=[key, "probability", "residual"])
 
     key_type = df.schema[key].dataType.simpleString()
-    return frame.mapInPandas(run, f"{key} {key_type}, probability double, residual double")
+    return frame.mapInArrow(run, f"`{key}` {key_type}, probability double, residual double")
 
 
 def normal_qq(residuals: DataFrame, key: str, value: str = "residual") -> DataFrame:
@@ -335,12 +526,10 @@ def normal_qq(residuals: DataFrame, key: str, value: str = "residual") -> DataFr
     from panelweave.operators.ranks import row_positions
 
     @F.pandas_udf("double")
-    def normal_quantile(p: pd.Series) -> pd.Series:
-        from statistics import NormalDist
-
-        return p.map(NormalDist().inv_cdf)
+    def quantile(p: pd.Series) -> pd.Series:
+        return pd.Series(normal_quantile(p.to_numpy()))
 
     placed = row_positions(residuals.select(key, value), [value, key])
     a = F.when(F.col("total") <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
     point = (F.col("position") - a) / (F.col("total") + 1 - 2 * a)
-    return placed.select(key, value, "position", normal_quantile(point).alias("theoretical"))
+    return placed.select(key, value, "position", quantile(point).alias("theoretical"))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelweave.functions import special as SP
 from panelweave.operators import describe as D, models as M, zib as Z
@@ -167,3 +168,73 @@ def test_beta_fit_says_whether_it_converged(spark):
         Z.lr_test(short, whole, spark)
     apart = Z.zib_regression(spark.createDataFrame([(k, 0.0 if x < 3 else max(y, 0.1), x) for k, y, x in rows], df.schema), "y", [], nu=["x"], max_iter=12)
     assert not apart.converged
+
+
+def plain_loglik(y, x, z, w, beta, gamma, delta):
+    """Zero-inflated beta log-likelihood with full design columns."""
+    lg = np.vectorize(math.lgamma)
+    mu, phi, eta = 1 / (1 + np.exp(-(x @ beta))), np.exp(z @ gamma), w @ delta
+    pos = y > 0
+    a, b, f = (mu * phi)[pos], ((1 - mu) * phi)[pos], phi[pos]
+    dens = lg(f) - lg(a) - lg(b) + (a - 1) * np.log(y[pos]) + (b - 1) * np.log1p(-y[pos])
+    return dens.sum() + ((y == 0) * eta - np.logaddexp(0, eta)).sum()
+
+
+def test_many_models_in_one_search_are_each_a_maximum(spark, zib, monkeypatch):
+    """Full, reduced, factor only, varying parts and a second response with gaps: passes are those of the slowest, each fit is its own maximum."""
+    passes, one = [], Z._pass
+    monkeypatch.setattr(Z, "_pass", lambda *a: (passes.append(1), one(*a)))
+    rows = zib.withColumns({
+        "y2": F.when(F.col("id") % 7 != 0, F.col("y") * 0.9), "x2": F.when(F.col("id") % 11 != 0, (F.col("id") % 13).cast("double")),
+        "k": F.concat(F.lit("k"), F.col("id") % 4)})
+    models = [
+        Z.ZibModel("full", "y", ["x", "x2", "g", "k"]), Z.ZibModel("no factor", "y", ["x", "x2"]), Z.ZibModel("only k", "y", ["k"]),
+        Z.ZibModel("varying", "y", ["x", "g"], ["x", "k"], ["x", "g"]), Z.ZibModel("second", "y2", ["x", "k"]),
+    ]
+    fits = Z.zib_models(rows, models, ["g", "k"])
+    assert all(f.converged for f in fits) and len(passes) <= max(f.iterations for f in fits) + 2
+    data = rows.collect()
+    for m, f in zip(models, fits):
+        whole = [r for r in data if all(r[c] is not None for c in [m.y, *m.used])]
+        y = np.array([r[m.y] for r in whole])
+
+        def design(part):
+            cells = [[1.0] * len(whole)]
+            for t in f.terms[part][1:]:
+                name, _, level = t.partition("=")
+                cells.append([float(r[name] == level) if level else r[name] for r in whole])
+            return np.array(cells).T
+
+        x, z, w = (design(p) for p in ("mu", "sigma", "nu"))
+        at = [f.coef[p] for p in ("mu", "sigma", "nu")]
+        best = plain_loglik(y, x, z, w, *at)
+        assert (f.n, f.n_zero) == (len(y), (y == 0).sum()) and best == pytest.approx(f.loglik, rel=1e-9)
+        for k in range(3):
+            for i in range(len(at[k])):
+                for side in (-1, 1):
+                    moved = [v.copy() for v in at]
+                    moved[k][i] += side * 0.02 * math.sqrt(f.cov[("mu", "sigma", "nu")[k]][i, i])
+                    assert plain_loglik(y, x, z, w, *moved) < best
+    table = Z.lr_table(spark, [(fits[1], fits[0]), (fits[4], fits[0])]).collect()
+    assert (table[0].df, table[0].usable, table[1].usable, table[1].statistic) == (4, True, False, None)
+    assert table[0].statistic == pytest.approx(2 * (fits[0].loglik - fits[1].loglik))
+    wide = {(r.term, r.level): r for r in Z.effects_side_by_side(spark, {"a": fits[0], "b": fits[2]}).collect()}
+    assert wide["k", "k0"].effect_a == wide["k", "k0"].effect_b == 1 and wide["x", None].effect_b is None
+    assert wide["k", "k2"].effect_a == pytest.approx(math.exp(fits[0].coef["mu"][fits[0].terms["mu"].index("k=k2")]))
+
+
+def test_extreme_predictors_are_not_clipped(spark):
+    """A zero share of e^-40 has its own likelihood; a bound of 30 on the predictor would hide it."""
+    w = Z._Design({"x": np.array([0.0, 1.0])}, np.array([True, True]), ["x"], {})
+    loglik, score, info = Z._logit_sums(np.array([1.0, 0.0]), w, np.array([-40.0, -10.0]))
+    assert loglik == pytest.approx(-40.0 - math.exp(-50), rel=1e-12) and score[0] == pytest.approx(1.0) and info[0, 0] == pytest.approx(math.exp(-40), rel=1e-6)
+    assert Z._expit(np.array([-700.0, 700.0])) == pytest.approx([math.exp(-700), 1.0])
+
+
+def test_normal_quantile_and_erfc():
+    from statistics import NormalDist
+
+    p = np.concatenate([np.logspace(-15, -1, 300), np.linspace(0.1, 0.9, 101), 1 - np.logspace(-12, -1, 100)])
+    assert SP.normal_quantile(p) == pytest.approx([NormalDist().inv_cdf(v) for v in p], rel=1e-9, abs=1e-9)
+    x = np.linspace(-5, 25, 400)
+    assert SP.erfc(x) == pytest.approx([math.erfc(v) for v in x], rel=1e-9)
