@@ -1,7 +1,8 @@
 """Least squares, correlation, association and group contrasts.
 
-The data side is one grouped aggregate of means and co-moments; only matrices of the
-size of the model (terms by terms) reach the driver.
+The data side is one aggregate of means and co-moments and, with factors, one aggregate over grouping sets:
+sums per level and counts per pair of levels, which are the non-zero cells of the normal equations. Combinations of more
+levels are never formed; only matrices of the size of the model (terms by terms) reach the driver.
 """
 
 from __future__ import annotations
@@ -15,25 +16,42 @@ from panelweave.functions.special import chi2_tail, f_tail, t_tail
 from panelweave.operators.ranks import distribution
 from panelweave.operators.shape import to_long
 
-CELL_LIMIT = 20_000
+MAX_TERMS = 4_000  # the normal equations are dense on the driver, 128 MB
+ALIASED = 1e-10  # share of a term's sum of squares that earlier terms must leave
 COEF_SCHEMA = (
     "model string, term string, estimate double, se double, statistic double, p_value double, lo double, hi double"
 )
 INTERCEPT = "(intercept)"
 
 
-def _cells(df: DataFrame, columns: list[str], factors: list[str]) -> list:
-    """Means and co-moments per combination of factor levels: one partial aggregate."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]
-    aggs += [
-        F.covar_pop(a, b).alias(f"v{i}_{j}")
-        for i, a in enumerate(columns) for j, b in enumerate(columns) if j >= i
-    ]
-    rows = df.groupBy(*factors).agg(*aggs).limit(CELL_LIMIT + 1).collect()
-    if len(rows) > CELL_LIMIT:
-        raise ValueError(f"more than {CELL_LIMIT} combinations of {factors}; not usable as model factors")
-    return [r for r in rows if r["n"]]
+def _moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, sums of products around the means): one aggregate."""
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]]
+    aggs += [F.covar_pop(a, b).alias(f"v{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if j >= i]
+    one, q = df.agg(*aggs).first(), len(columns)
+    if not one["n"]:
+        raise ValueError("no complete rows to fit")
+    cross = np.array([[one[f"v{min(i, j)}_{max(i, j)}"] for j in range(q)] for i in range(q)], dtype=float)
+    return one["n"], np.array([one[f"m{i}"] for i in range(q)]), cross * one["n"]
+
+
+def _level_sums(df: DataFrame, columns: list[str], factors: list[str]) -> list:
+    """Rows of (factor levels or NULL, _sets, n, s0, s1, ...): per level the sums of the columns, per pair of levels the count."""
+    sets = [[f] for f in factors] + [[f, g] for i, f in enumerate(factors) for g in factors[i + 1:]]
+    grouped = df.groupingSets([[F.col(f"`{f}`") for f in part] for part in sets], *[F.col(f"`{f}`") for f in factors])
+    alone = F.grouping_id(*[F.col(f"`{f}`") for f in factors]).alias("_sets")
+    return grouped.agg(alone, F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]).collect()
+
+
+def _independent(gram: np.ndarray) -> np.ndarray:
+    """Which columns are not a combination of the ones before them, by Cholesky steps in order."""
+    left, size = gram.astype(float).copy(), np.diag(gram).copy()
+    keep = np.zeros(len(gram), dtype=bool)
+    for j in range(len(gram)):
+        if size[j] > 0 and left[j, j] > ALIASED * size[j]:
+            keep[j] = True
+            left[j + 1:, j + 1:] -= np.outer(left[j + 1:, j], left[j, j + 1:]) / left[j, j]
+    return keep
 
 
 @dataclass
@@ -51,16 +69,20 @@ class LinearFit:
     tss: float
     n: int
     correlation: np.ndarray = field(repr=False, default=None)
+    aliased: list[str] = field(default_factory=list)  # terms that earlier terms explain; they have no estimate
 
     @property
     def df_residual(self) -> int:
-        return self.n - len(self.terms)
+        return self.n - len(self.terms) + len(self.aliased)
 
     def table(self, spark: SparkSession, z: float = 1.96, reference_level: bool = False) -> DataFrame:
         """Coefficient table; optionally with the reference levels as zero rows."""
         se = np.sqrt(np.diag(self.cov))
         rows = []
         for name, b, s in zip(self.terms, self.beta, se):
+            if name in self.aliased:
+                rows.append((self.model, name, *[None] * 6))
+                continue
             t = float(b / s) if s > 0 else None
             p = t_tail(t, self.df_residual) if t is not None else None
             rows.append((self.model, name, float(b), float(s), t, p, float(b - z * s), float(b + z * s)))
@@ -69,7 +91,7 @@ class LinearFit:
         return spark.createDataFrame(rows, COEF_SCHEMA)
 
     def summary(self, spark: SparkSession) -> DataFrame:
-        k = len(self.terms) - 1
+        k = len(self.terms) - len(self.aliased) - 1
         r2 = 1 - self.rss / self.tss
         f = (r2 / k) / ((1 - r2) / self.df_residual) if k and r2 < 1 else None
         return spark.createDataFrame(
@@ -80,7 +102,7 @@ class LinearFit:
 
     def score(self) -> Column:
         """The fitted value as a column expression, factor effects as a literal lookup."""
-        coef = dict(zip(self.terms, self.beta))
+        coef = {t: 0.0 if t in self.aliased else b for t, b in zip(self.terms, self.beta)}
         out = F.lit(float(coef[INTERCEPT]))
         for c in self.covariates:
             out = out + F.lit(float(coef[c])) * F.col(c)
@@ -95,66 +117,78 @@ def ols(
 ) -> LinearFit:
     """Least squares of ``y`` on covariates and dummy-coded factors.
 
-    Levels are sorted and the first is the reference. Rows with a NULL are left out.
+    Levels are sorted and the first is the reference. Rows with a NULL are left out. Terms that are combinations of
+    earlier ones are named in ``aliased`` and have no estimate.
     """
     factors = factors or []
     columns = [*xs, y]
-    clean = df.select(*[F.col(c).cast("double").alias(c) for c in columns], *[F.col(f).cast("string").alias(f) for f in factors])
-    cells = _cells(clean.dropna(), columns, factors)
-    if not cells:
-        raise ValueError("no complete rows to fit")
+    clean = df.select(*[F.col(c).cast("double").alias(c) for c in columns], *[F.col(f).cast("string").alias(f) for f in factors]).dropna()
+    total, center, cross = _moments(clean, columns)
     q = len(columns)
-    n = np.array([c["n"] for c in cells], dtype=float)
-    mean = np.array([[c[f"m{i}"] for i in range(q)] for c in cells])
-    within = np.zeros((q, q))
-    for c in cells:
-        for i in range(q):
-            for j in range(i, q):
-                within[i, j] += c["n"] * c[f"v{i}_{j}"]
-                within[j, i] = within[i, j]
-    total = n.sum()
-    center = n @ mean / total
-    mean = mean - center
-    scale = np.sqrt((np.diag(within) + n @ mean**2) / total)
+    scale = np.sqrt(np.diag(cross) / total)
     scale[scale == 0] = 1.0
-    mean, within = mean / scale, within / np.outer(scale, scale)
-    levels = {f: sorted({c[f] for c in cells}) for f in factors}
+    ready = clean.select(*[((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(columns, center, scale)], *factors)
+    cells = _level_sums(ready, columns, factors) if factors else []
+    # bit i of the grouping id, from the left, is 1 where factor i is not in the set
+    having = {r["_sets"]: [f for i, f in enumerate(factors) if not r["_sets"] >> (len(factors) - 1 - i) & 1] for r in cells}
+    levels = {f: sorted({r[f] for r in cells if having[r["_sets"]] == [f]}) for f in factors}
     dummies = [(f, v) for f in factors for v in levels[f][1:]]
-    flags = np.array([[1.0 if c[f] == v else 0.0 for f, v in dummies] for c in cells]).reshape(len(cells), len(dummies))
-    # one design row per cell: intercept, centred covariates, dummies, response last
-    design = np.hstack([np.ones((len(cells), 1)), mean[:, :-1], flags, mean[:, -1:]])
-    cross = design.T @ (design * n[:, None])
-    spot = [*range(1, q), design.shape[1] - 1]
-    cross[np.ix_(spot, spot)] += within
-    xtx, xty, yty = cross[:-1, :-1], cross[:-1, -1], cross[-1, -1]
-    inverse = np.linalg.inv(xtx)
-    beta = inverse @ xty
+    # intercept, scaled covariates, dummies, response last
+    p = q + len(dummies)
+    if p > MAX_TERMS:
+        raise ValueError(f"{p} terms; the normal equations are dense and hold {MAX_TERMS} at most")
+    place = {d: q + i for i, d in enumerate(dummies)}
+    gram = np.zeros((p + 1, p + 1))
+    numbers = [*range(1, q), p]
+    gram[0, 0] = total
+    gram[np.ix_(numbers, numbers)] = cross / np.outer(scale, scale)
+    for r in cells:
+        at = [place.get((f, r[f])) for f in having[r["_sets"]]]
+        if None in at:
+            continue
+        if len(at) == 1:
+            d = at[0]
+            gram[d, d] = gram[0, d] = gram[d, 0] = r["n"]
+            gram[numbers, d] = gram[d, numbers] = [r[f"s{i}"] for i in range(q)]
+        else:
+            gram[at[0], at[1]] = gram[at[1], at[0]] = r["n"]
+    xtx, xty, yty = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
+    keep = _independent(xtx)
+    kept = np.flatnonzero(keep)
+    rank = len(kept)
+    inverse = np.full((p, p), np.nan)
+    inverse[np.ix_(kept, kept)] = np.linalg.inv(xtx[np.ix_(kept, kept)])
+    beta = np.zeros(p)
+    beta[kept] = inverse[np.ix_(kept, kept)] @ xty[kept]
     rss = max(float(yty - beta @ xty), 0.0)
-    p = len(beta)
-    cov = inverse * (rss / (total - p)) if total > p else np.full((p, p), np.nan)
+    cov = inverse * (rss / (total - rank)) if total > rank else np.full((p, p), np.nan)
     # undo scaling and centring
     back = np.eye(p)
     back[1:q, 1:q] = np.diag(1 / scale[:-1])
     back[0, 1:q] = -center[:-1] / scale[:-1]
-    beta, cov = back @ beta * scale[-1], back @ cov @ back.T * scale[-1] ** 2
+    used = np.ix_(kept, kept)
+    cov[used] = back[used] @ cov[used] @ back[used].T * scale[-1] ** 2
+    beta = back @ beta * scale[-1]
     beta[0] += center[-1]
-    spread = xtx[1:, 1:] - np.outer(xtx[0, 1:], xtx[0, 1:]) / total
+    beta[~keep] = np.nan
+    rest = kept[1:]
+    spread = xtx[np.ix_(rest, rest)] - np.outer(xtx[0, rest], xtx[0, rest]) / total
     root = np.sqrt(np.diag(spread))
+    terms = [INTERCEPT, *xs, *[f"{f}={v}" for f, v in dummies]]
     return LinearFit(
-        model, y, list(xs), levels, [INTERCEPT, *xs, *[f"{f}={v}" for f, v in dummies]],
-        beta, cov, rss * scale[-1] ** 2, float(yty - cross[0, -1] ** 2 / total) * scale[-1] ** 2,
-        int(total), spread / np.outer(root, root),
+        model, y, list(xs), levels, terms, beta, cov, rss * scale[-1] ** 2, float(yty - gram[0, -1] ** 2 / total) * scale[-1] ** 2,
+        int(total), spread / np.outer(root, root), [t for t, k in zip(terms, keep) if not k],
     )
 
 
 def vif(fit: LinearFit, spark: SparkSession) -> DataFrame:
-    """Generalised variance inflation per term, from determinants of the term correlations."""
-    names = fit.terms[1:]
+    """Generalised variance inflation per term, from determinants of the term correlations; aliased terms are left out."""
+    names = [t for t in fit.terms[1:] if t not in fit.aliased]
     blocks = [(c, [i for i, t in enumerate(names) if t == c]) for c in fit.covariates]
     blocks += [(f, [i for i, t in enumerate(names) if t.startswith(f"{f}=")]) for f in fit.levels]
     whole = np.linalg.slogdet(fit.correlation)[1]
     rows = []
-    for name, idx in blocks:
+    for name, idx in [b for b in blocks if b[1]]:
         rest = [i for i in range(len(names)) if i not in idx]
         a = np.linalg.slogdet(fit.correlation[np.ix_(idx, idx)])[1]
         b = np.linalg.slogdet(fit.correlation[np.ix_(rest, rest)])[1] if rest else 0.0

@@ -238,3 +238,36 @@ def test_normal_quantile_and_erfc():
     assert SP.normal_quantile(p) == pytest.approx([NormalDist().inv_cdf(v) for v in p], rel=1e-9, abs=1e-9)
     x = np.linspace(-5, 25, 400)
     assert SP.erfc(x) == pytest.approx([math.erfc(v) for v in x], rel=1e-9)
+
+
+def test_three_factors_without_their_combinations(spark):
+    """31,000 combinations of levels occur; only levels and pairs of levels are summed. Compared with a dense least-squares fit."""
+    n = 40_000
+    rows = spark.range(n).select(
+        (F.xxhash64("id") % 40).cast("string").alias("a"), (F.xxhash64("id", F.lit(1)) % 35).cast("string").alias("b"),
+        (F.xxhash64("id", F.lit(2)) % 23).cast("string").alias("c"), (F.xxhash64("id", F.lit(3)) % 1000 / 100).alias("x"),
+        (F.xxhash64("id", F.lit(4)) % 777 / 50).alias("e")).withColumn("y", 3 + 0.5 * F.col("x") + F.col("a").cast("int") / 10 + F.col("e"))
+    assert rows.select("a", "b", "c").distinct().count() > 31_000
+    fit = M.ols(rows, "y", ["x"], ["a", "b", "c"])
+    data = rows.toPandas()
+    cells = [np.ones(n), data.x] + [(data[f] == v).astype(float) for f in "abc" for v in sorted(data[f].unique())[1:]]
+    dense = np.column_stack(cells)
+    beta, rss, *_ = np.linalg.lstsq(dense, data.y, rcond=None)
+    assert fit.beta == pytest.approx(beta, abs=1e-8) and fit.rss == pytest.approx(rss[0]) and not fit.aliased
+    se = np.sqrt(np.diag(np.linalg.inv(dense.T @ dense)) * rss[0] / (n - dense.shape[1]))
+    assert np.sqrt(np.diag(fit.cov)) == pytest.approx(se)
+
+
+def test_collinear_terms_are_named(spark):
+    rows = [(float(i % 7), float(i % 7) * 2 + 1, "pq"[i % 2], "st"[i % 2], float(i % 5), 1.5) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, x2 double, g string, h string, y double, one double")
+    fit = M.ols(df, "y", ["x", "x2", "one"], ["g", "h"])
+    assert fit.aliased == ["x2", "one", "h=t"]
+    small = M.ols(df, "y", ["x"], ["g"])
+    same = [i for i, t in enumerate(fit.terms) if t in small.terms]
+    assert fit.beta[same] == pytest.approx(small.beta) and fit.rss == pytest.approx(small.rss) and fit.df_residual == small.df_residual
+    table = {r.term: r for r in fit.table(spark).collect()}
+    assert table["x2"].estimate is None and table["x"].se == pytest.approx(float(np.sqrt(small.cov[1, 1])))
+    assert {r.term for r in M.vif(fit, spark).collect()} == {"x", "g"}
+    fitted = df.select((fit.score() - small.score()).alias("d")).agg(F.max(F.abs("d"))).first()[0]
+    assert fitted == pytest.approx(0, abs=1e-9)
