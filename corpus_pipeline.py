@@ -8,43 +8,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelweave.llm.base import table
+from panelweave.llm.base import free_name, table
 from panelweave.llm.decontaminate import decontaminate
-from panelweave.llm.lang_id import learn_languages, predict_languages
+from panelweave.llm.lang_id import learn_languages, vote
 from panelweave.llm.mixing import mix_sources
 from panelweave.llm.secrets import redact
 from panelweave.llm.simhash import drop_near_copies
 from panelweave.session import stage
 
-LEAST_SCORE = 0.3
+LEAST_OWN = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter and those in which no learned language reaches ``LEAST_SCORE`` of the votes."""
-    filters = learn_languages(docs, "text", "lang")
-    lang, score = predict_languages(docs, "text", filters)
-    return docs.filter((lang != "und") & (score >= LEAST_SCORE))
+    """Drop texts without a letter and those of whose n-grams no learned language contains ``LEAST_OWN``, chance hits taken off.
+
+    The share is the winner's own, so it does not fall as languages are added. NULL and empty texts go; repeated rows stay or go
+    together. Columns stay as they are, whatever their names. An empty table, or one without a known language, gives no rows.
+    """
+    voted = vote(docs, "text", learn_languages(docs, "text", "lang"))
+    return docs.filter((voted["pred"] != "und") & (voted["own"] >= LEAST_OWN))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal or similar texts stays."""
+    """One document of each group of equal or similar texts stays; NULL is an empty text, ties go by id, columns of any name stay."""
     return drop_near_copies(docs, "doc_id", "text")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that contain a benchmark item."""
+    """Drop documents that contain a benchmark item; NULL texts stay, without items all do."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; the length follows."""
+    """Replace secrets in the texts; the length follows, and is NULL for a NULL text. One row per row."""
     return redact(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with their size and the words taken; documents not taken are left out."""
+    """The documents of the mix with their size and the words taken; documents not taken are left out, so are texts without a word.
+
+    Columns of these names that the documents have already keep their names; the new ones get underscores before theirs. A NULL
+    source is a source. An empty table gives no rows.
+    """
     mixed, _ = mix_sources(docs, "doc_id", "text", "source")
-    return mixed.filter("mix.taken > 0").select("row.*", "mix.size", "mix.taken")
+    new = [F.col(f"mix.{c}").alias(free_name(docs, c)) for c in ("size", "taken")]
+    return mixed.filter("mix.taken > 0").select("row.*", *new)
 
 
 STAGES = [

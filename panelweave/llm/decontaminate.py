@@ -96,16 +96,20 @@ def contained_items(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, width: int = 5, share: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose text holds no item; columns as given. A row goes by its own text, whatever its id."""
+    """The rows of ``docs`` whose text holds no item; columns as given, whatever their names. A row goes by its own text, whatever its id.
+
+    NULL and empty texts stay, repeated rows stay or go together, and without items everything stays. An empty table gives no rows.
+    """
     key = free_name(docs, "_text_key")
+    of = free_name(docs, "_leak")
     digest = F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     keyed = docs.withColumn(key, digest)
     leaks = stage(
-        contained_items(keyed, items, key, text, item_id, item_text, width, share).select(F.col(key).alias("leak")).distinct(), "leaks"
+        contained_items(keyed, items, key, text, item_id, item_text, width, share).select(F.col(key).alias(of)).distinct(), "leaks"
     )
     place = F.xxhash64(F.col(key))
-    maybe, clean = split_by_keys(keyed, key_filter(leaks, {"k": F.xxhash64("leak")}), place, "k")
-    left = maybe.join(leaks, F.col(key) == F.col("leak"), "left_anti")
+    maybe, clean = split_by_keys(keyed, key_filter(leaks, {"k": F.xxhash64(of)}), place, "k")
+    left = maybe.join(leaks, F.col(key) == F.col(of), "left_anti")
     return clean.unionByName(left).drop(key)
 
 

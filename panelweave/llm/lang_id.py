@@ -5,21 +5,22 @@ by AND, gives all languages that contain the n-gram. A text's votes are popcount
 its n-grams. Of n votes asked of a language with false-positive rate f, f*n come by chance, so the
 share (hits/n - f) / (1 - f) is compared.
 
-An n-gram enters the filter of a language if it makes up a share ``rate`` or more of that language's
-n-grams and at least ``relative`` of its largest share in any language. At most 1/rate n-grams
-of a language can do so, which bounds the filter whatever the corpus.
+An n-gram enters the filter of every language in which it makes up a share ``rate`` or more of the n-grams.
+At most 1/rate n-grams of a language can do so, which bounds the filter whatever the corpus; a rarer one is
+taken as not seen. A slot is a byte for up to eight languages, and words of 64 bits beyond.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelweave.llm.base import Tally, buffers, fold, slices, table
 from panelweave.session import stage
 
 SLOTS, PROBES = 1 << 22, 3
+SLICE = 1 << 18  # bytes of text looked at in one go; the n-gram arrays take some fifty times as much
 
 
 def _grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +63,7 @@ def _count(n: int):
 
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-            for at, part in slices(batch.column("text")):
+            for at, part in slices(batch.column("text"), SLICE):
                 own = langs[at : at + len(part)]
                 row, gram = _grams(part, n)
                 for lang in set(own):
@@ -75,89 +76,102 @@ def _count(n: int):
     return run
 
 
+def _width(masks: np.ndarray) -> int:
+    """Languages in one word of the masks."""
+    return 8 * masks.itemsize
+
+
+def _has(words: np.ndarray, bit: int) -> np.ndarray:
+    return words >> words.dtype.type(bit) & words.dtype.type(1)
+
+
 class LanguageFilters:
-    """Languages in order of code point, the mask of each slot (words of 64 languages) and each language's false-positive rate."""
+    """Languages in order of code point, the mask of each slot (words of 8 or 64 languages) and each language's false-positive rate."""
 
     def __init__(self, langs: list[str], masks: np.ndarray, n: int):
         self.langs, self.masks, self.n = langs, masks, n
-        fill = [float(np.mean(masks[:, i >> 6] >> np.uint64(i & 63) & np.uint64(1))) for i in range(len(langs))]
+        fill = [float(np.mean(_has(masks[:, i // _width(masks)], i % _width(masks)))) for i in range(len(langs))]
         self.false_rate = np.array(fill) ** PROBES
 
 
-def learn_languages(docs: DataFrame, text: str, lang: str, n: int = 4, rate: float = 1e-5, relative: float = 0.25) -> LanguageFilters:
-    """Filters from all rows with a language; NULL languages are left out, NULL or empty texts add nothing."""
+def learn_languages(docs: DataFrame, text: str, lang: str, n: int = 4, rate: float = 1e-5) -> LanguageFilters:
+    """Filters from all rows with a language; NULL languages are left out, NULL or empty texts add nothing.
+
+    Repeated rows count as often as they occur. Other columns are not read. An empty table gives filters without a language.
+    """
     rows = docs.filter(F.col(lang).isNotNull()).select(F.lower(F.col(text).cast("string")).alias("text"), F.col(lang).cast("string").alias("lang"))
     counts = stage(rows.mapInArrow(_count(n), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    masks = np.zeros((SLOTS, max(1, (len(langs) + 63) // 64)), dtype=np.uint64)
+    word = np.uint8 if len(langs) <= 8 else np.uint64
+    width = 8 * np.dtype(word).itemsize
+    masks = np.zeros((SLOTS, max(1, -(-len(langs) // width))), dtype=word)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).filter(F.col("share") >= rate)
-    kept = share.withColumn("best", F.max("share").over(W.partitionBy("gram"))).filter(F.col("share") >= relative * F.col("best"))
-    found = kept.select("lang", "gram").toArrow()
+    share = counts.join(F.broadcast(totals), "lang").filter(F.col("n") >= rate * F.col("total"))
+    found = share.select("lang", "gram").toArrow()
     names = np.array(found["lang"].to_pylist(), dtype=object)
     grams = found["gram"].to_numpy().astype(np.int64)
     for i, name in enumerate(langs):
         for slot in _slots(grams[names == name]):
-            np.bitwise_or.at(masks[:, i >> 6], slot, np.uint64(1) << np.uint64(i & 63))
+            np.bitwise_or.at(masks[:, i // width], slot, word(1 << (i % width)))
     return LanguageFilters(langs, masks, n)
 
 
-def _votes(shared):
-    def run(batches):
-        langs, masks, false_rate, n = shared.value
-        for batch in batches:
-            best_all, score_all = [], []
-            for at, part in slices(batch.column("text")):
-                row, gram = _grams(part, n)
-                rows = len(part)
-                asked = np.bincount(row, minlength=rows)
-                slots = _slots(gram)
-                share = np.zeros((rows, len(langs)))
-                for word in range(masks.shape[1]):
-                    mask = masks[slots[0], word]
-                    for s in slots[1:]:
-                        mask = mask & masks[s, word]
-                    for i in range(64 * word, min(len(langs), 64 * word + 64)):
-                        hits = np.bincount(row, mask >> np.uint64(i & 63) & np.uint64(1), rows)
-                        f = false_rate[i]
-                        share[:, i] = np.clip((hits / np.maximum(asked, 1) - f) / max(1e-9, 1 - f), 0, 1)
-                total = share.sum(axis=1)
-                best = share.argmax(axis=1)
-                best_all.append(best)
-                score_all.append(np.where(total > 0, share[np.arange(rows), best] / np.where(total > 0, total, 1), 0.0))
-            best = np.concatenate(best_all) if best_all else np.zeros(0, np.int64)
-            score = np.concatenate(score_all) if score_all else np.zeros(0)
-            fields = [batch.column(c) for c in batch.schema.names if c != "text"]
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*fields, pa.array([langs[i] for i in best], pa.string()), pa.array(score)], names=[*names, "pred", "score"]
-            )
+def _votes(texts: pa.Array, langs: list[str], masks: np.ndarray, false_rate: np.ndarray, n: int) -> pa.Array:
+    """(language, own share, lead) of each text: the corrected share of n-grams that the winner contains, and by how much it is ahead."""
+    width, best_all, own_all, lead_all = _width(masks), [], [], []
+    for _, part in slices(texts, SLICE):
+        row, gram = _grams(part, n)
+        rows = len(part)
+        asked = np.bincount(row, minlength=rows)
+        slots = _slots(gram)
+        share = np.zeros((rows, len(langs) + 1))  # the last column is no language, so one language leads by its own share
+        for word in range(masks.shape[1]):
+            mask = masks[slots[0], word]
+            for s in slots[1:]:
+                mask = mask & masks[s, word]
+            for i in range(width * word, min(len(langs), width * (word + 1))):
+                hits = np.bincount(row, _has(mask, i % width), rows)
+                f = false_rate[i]
+                share[:, i] = np.clip((hits / np.maximum(asked, 1) - f) / max(1e-9, 1 - f), 0, 1)
+        best = share[:, :-1].argmax(axis=1)
+        own = share[np.arange(rows), best]
+        share[np.arange(rows), best] = 0
+        best_all.append(best)
+        own_all.append(own)
+        lead_all.append(own - share.max(axis=1))
+    if not best_all:
+        best_all, own_all, lead_all = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+    names = pa.array(langs, pa.string()).take(pa.array(np.concatenate(best_all)))
+    return pa.StructArray.from_arrays([names, pa.array(np.concatenate(own_all)), pa.array(np.concatenate(lead_all))], names=["pred", "own", "lead"])
+
+
+def vote(docs: DataFrame, text: str, filters: LanguageFilters) -> Column:
+    """A struct column (pred, own, lead): ``und`` and zeros for a NULL text or one without a letter.
+
+    ``own`` is the corrected share of the text's n-grams that the predicted language contains, ``lead`` its distance to the next
+    language; neither falls because more languages are learned that have other n-grams. Ties go to the least language name.
+    """
+    none = F.struct(F.lit("und").alias("pred"), F.lit(0.0).alias("own"), F.lit(0.0).alias("lead"))
+    if not filters.langs:
+        return none
+    shared = docs.sparkSession.sparkContext.broadcast((filters.langs, filters.masks, filters.false_rate, filters.n))
 
-    return run
+    def run(texts: pa.Array) -> pa.Array:
+        return _votes(texts, *shared.value)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    voted = F.arrow_udf(run, "pred string, own double, lead double")(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    has_letter = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
+    return F.when(has_letter, voted).otherwise(none)
 
 
 def predict_languages(docs: DataFrame, text: str, filters: LanguageFilters) -> tuple[Column, Column]:
     """(language, score) columns over ``text``: ``und`` with score 0 for a NULL text or one without a letter.
 
-    The score is the winner's share of all languages' corrected shares. Ties go to the least language name. Without a
-    learned language every row is ``und``.
+    The score is the winner's own corrected share. Without a learned language every row is ``und``.
     """
-    has_letter = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
-    if not filters.langs:
-        return F.lit("und"), F.lit(0.0)
-    shared = docs.sparkSession.sparkContext.broadcast((filters.langs, filters.masks, filters.false_rate, filters.n))
-    run = _votes(shared)
-
-    import pandas as pd
-
-    def batch(texts: pd.Series) -> pd.DataFrame:
-        arrow = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        out = next(run(iter([arrow])))
-        return pd.DataFrame({"pred": out.column("pred").to_pandas(), "score": out.column("score").to_pandas()})
-
-    batch.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    voted = F.pandas_udf(batch, "pred string, score double")(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    return F.when(has_letter, voted["pred"]).otherwise("und"), F.when(has_letter, voted["score"]).otherwise(0.0)
+    voted = vote(docs, text, filters)
+    return voted["pred"], voted["own"]
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

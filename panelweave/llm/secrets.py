@@ -36,7 +36,8 @@ RULES = [
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # to the END line, or over the lines of base64 where there is none
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\x20\x09\x0A\x0D-]*?-----END [A-Z ]*PRIVATE KEY-----|(?:[\x20\x09]*[\x0A\x0D]+[A-Za-z0-9+/=]{16,})*)"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
@@ -179,7 +180,10 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, doc_id: str, text: str, mask: str = "[SECRET]", rules: list[Rule] = RULES) -> DataFrame:
-    """``docs`` with every span of its text replaced; overlapping spans are replaced as one. Columns as given; texts without spans stay."""
+    """``docs`` with every span of its text replaced; overlapping spans are replaced as one.
+
+    Columns as given, whatever their names; texts without spans stay, NULL too. One row per input row; an empty table gives no rows.
+    """
     found = find_secrets(docs, doc_id, text, rules)
 
     def step(acc: Column, s: Column) -> Column:

@@ -250,16 +250,17 @@ def drop_near_copies(docs: DataFrame, doc_id: str, text: str, width: int = 5, le
     linked = near_copy_groups(classes, texts.select("digest", "text"), width, least)
     grouped = classes.drop("sign", "size").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = grouped.groupBy("root").agg(F.sum("n").alias("n"), F.min("best").alias("best")).filter("n > 1")
-    copies = stage(grouped.select("root", "digest").join(groups, "root").select(F.col("digest").alias("d"), "best"), "copies")
+    of, least_row = free_name(keyed, "_of"), free_name(keyed, "_least_row")
+    copies = stage(grouped.select("root", "digest").join(groups, "root").select(F.col("digest").alias(of), F.col("best").alias(least_row)), "copies")
     place = F.xxhash64(F.col(digest))
-    maybe, alone = split_by_keys(keyed, key_filter(copies, {"d": F.xxhash64("d")}), place, "d")
-    judged = maybe.join(copies, F.col(digest) == F.col("d"), "left")
-    stays = F.col("d").isNull() | ((F.col("best.digest") == F.col(digest)) & (F.col("best.rowhash") == F.col(rowhash)))
-    many = F.coalesce(F.col("best.c") > 1, F.lit(False))
-    kept = judged.filter(stays).withColumn("d", many)
+    maybe, alone = split_by_keys(keyed, key_filter(copies, {"d": F.xxhash64(of)}), place, "d")
+    judged = maybe.join(copies, F.col(digest) == F.col(of), "left")
+    stays = F.col(of).isNull() | ((F.col(f"{least_row}.digest") == F.col(digest)) & (F.col(f"{least_row}.rowhash") == F.col(rowhash)))
+    many = F.coalesce(F.col(f"{least_row}.c") > 1, F.lit(False))
+    kept = judged.filter(stays).withColumn(of, many)
     out = [F.col(f"`{c}`") for c in docs.columns]
-    once = kept.filter("d").dropDuplicates([digest, rowhash]).select(*out)
-    return alone.select(*out).unionByName(kept.filter("NOT d").select(*out)).unionByName(once)
+    once = kept.filter(F.col(of)).dropDuplicates([digest, rowhash]).select(*out)
+    return alone.select(*out).unionByName(kept.filter(~F.col(of)).select(*out)).unionByName(once)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
