@@ -15,14 +15,32 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelweave.llm.base import UPPER, LOWER
 from panelweave.llm.keyfilter import key_filter, may_have
 from panelweave.session import stage, stage_path
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# a store holds a few MB of files set aside in advance unless told not to, which for many small partitions is more than the state
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+@contextmanager
+def _disk_state(spark: SparkSession):
+    """The session with the settings of the state store; they are as before afterwards."""
+    old = {k: spark.conf.get(k, None) for k in STORE}
+    try:
+        for k, v in STORE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def normalised(text: Column) -> Column:
@@ -55,20 +73,13 @@ def ingest(
 
     A micro-batch takes files of ``batch_bytes`` together (or ``batch_files`` files). A batch that failed is taken again from the state before it.
     """
-    old = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKSDB)
-    try:
+    with _disk_state(spark):
         reader = spark.readStream.schema(spark.read.parquet(path).schema)
         reader = reader.option("maxFilesPerTrigger", batch_files) if batch_files else reader.option("maxBytesPerTrigger", batch_bytes)
         rows = _rows(reader.parquet(_folder(path)), doc_id, text).select(digest(F.col("t")).alias("digest"), F.struct("id", "file", "row").alias("place"))
         kept = rows.groupBy("digest").agg(F.max("place").alias("keep"), F.count(F.lit(1)).alias("n"))
         query = kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        if old is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, old)
 
 
 def retained(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -88,7 +99,8 @@ def exact_groups(
     """
     checkpoint = checkpoint or stage_path(spark, "exact-state")
     ingest(spark, path, checkpoint, doc_id, text, digest, batch_bytes, batch_files)
-    repeated = stage(retained(spark, checkpoint).filter("n > 1"), "repeated")
+    with _disk_state(spark):
+        repeated = stage(retained(spark, checkpoint).filter("n > 1"), "repeated")
     rows = _rows(spark.read.parquet(path), doc_id, text).withColumn("digest", digest(F.col("t")))
     seen, has = may_have(rows, key_filter(repeated, {"k": F.xxhash64("digest")}), F.xxhash64("digest"), ["k"])
     # the one pass over the texts: texts go on only where the digest may have been seen before
