@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends at a line feed or at a full stop, exclamation or question mark before space. Every
-run of ``span`` consecutive sentences is hashed. Runs are counted over all documents with partial
+A sentence ends at a line feed or at a full stop, exclamation or question mark before space. From every sentence, and up to every
+sentence, the run of consecutive sentences is hashed that is as short as it can be with ``passage_words`` words; together these runs cover every
+passage of whole sentences with so many words, however many sentences it has. Runs of a fixed number of sentences can be hashed besides. Runs are counted over all documents with partial
 aggregation, so a passage that a third of the documents share stays a small row; the runs found more than once,
 with the place of the first, are joined back. Sentences covered by a repeated run that is not the first are removed.
 """
@@ -73,22 +74,28 @@ def _passages(parts: Column, words: int) -> Column:
     return let(F.filter(cells, lambda c: c["n"] > 0), build)
 
 
-def drop_repeated_spans(docs: DataFrame, doc_id: str, text: str, span: int = 3, least_words: int = 12, passage_words: int | None = None) -> DataFrame:
+def drop_repeated_spans(
+    docs: DataFrame, doc_id: str, text: str, span: int | None = 3, least_words: int = 12, passage_words: int | None = None
+) -> DataFrame:
     """(doc_id, n_sentences, n_removed, text without the removed sentences), one row per input row.
 
     The first of equal runs is the one with the least id (NULL last), then text key, then position. Runs in repeated rows of the same id and
     text are the same run at the same place, so repeated rows keep or lose the same sentences. A NULL or empty text has one empty sentence and
-    stays empty. Runs of fewer than ``least_words`` words are too common to count. An empty table gives no rows.
+    stays empty. Other columns are not read and may have any name. An empty table gives no rows.
 
-    Without ``passage_words`` only runs of exactly ``span`` sentences are found. With it, every repeated passage of whole sentences that has
-    so many words is found too, whatever the number of its sentences, and every text equal to another one as a whole.
+    With ``passage_words`` every repeated passage of whole sentences that has so many words is found, whatever the number of its sentences,
+    and every text equal to another one as a whole. With ``span`` runs of exactly so many sentences with ``least_words`` words or more are found too.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     keyed = rows.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    runs = keyed.select("id", "key", F.explode(_runs(sentences(F.col("text")), span, least_words)).alias("r")).select("id", "key", "r.*")
+    found = []
+    if span is not None:
+        found.append(F.transform(_runs(sentences(F.col("text")), span, least_words), lambda r: r.dropFields("n")))
     if passage_words is not None:
-        more = keyed.select("id", "key", F.explode(_passages(sentences(F.col("text")), passage_words)).alias("r")).select("id", "key", "r.*")
-        runs = runs.drop("n").unionByName(more)
+        found.append(_passages(sentences(F.col("text")), passage_words))
+    none = F.array().cast("array<struct<first:int,last:int,h:bigint,h2:bigint>>")
+    # written once: the runs are counted, and looked at again where they may be repeated
+    runs = stage(keyed.select("id", "key", F.explode(F.concat(*[F.coalesce(f, none) for f in found], none)).alias("r")).select("id", "key", "r.*"), "runs")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key", F.col("first").alias("at"))
     groups = runs.groupBy("h", "h2").agg(F.min(place).alias("least"), F.max(place).alias("greatest"))
     repeated = stage(groups.filter("least <> greatest").select("h", "h2", "least"), "repeated")
@@ -109,8 +116,8 @@ def _apply(keyed: DataFrame, cut: DataFrame, own: Column) -> DataFrame:
     none = F.col("cut").isNull()
 
     def kept(parts: Column) -> Column:
-        out = F.filter(F.transform(parts, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda c: ~F.array_contains(F.col("cut"), c["i"]))
-        return F.array_join(F.transform(out, lambda c: c["s"]), "")
+        left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("cut"))
+        return F.array_join(F.transform(left, lambda i: F.get(parts, i)), "")
 
     return both.select(
         "id",
@@ -121,7 +128,7 @@ def _apply(keyed: DataFrame, cut: DataFrame, own: Column) -> DataFrame:
 
 
 def op5_sentence_spans(spark, sf_dir: str) -> DataFrame:
-    found = drop_repeated_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = drop_repeated_spans(table(spark, sf_dir, "documents"), "doc_id", "text", span=None, passage_words=50)
     return found.select("doc_id", "n_sentences", "n_removed", F.length("text").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
@@ -130,14 +137,17 @@ WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
 p AS (SELECT doc_id, t, string_split(regexp_replace(regexp_replace(t, '([.!?])([\x20\x09-\x0D])', '\1' || chr(1) || '\2', 'g'), '\n', chr(10) || chr(1), 'g'), chr(1)) AS a FROM d),
 s AS (SELECT doc_id, t, a, generate_subscripts(a, 1) - 1 AS i, unnest(a) AS s FROM p),
 q AS (SELECT doc_id, t, i, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM s),
-w AS (SELECT *, len(string_split(s, ' ')) AS n, row_number() OVER (PARTITION BY doc_id, t ORDER BY i) AS j FROM q WHERE s <> ''),
-r AS (SELECT w.doc_id, w.t, w.i AS a, y.i AS b, w.s AS s1, x.s AS s2, y.s AS s3 FROM w
-      JOIN w x ON w.doc_id = x.doc_id AND w.t = x.t AND x.j = w.j + 1 JOIN w y ON w.doc_id = y.doc_id AND w.t = y.t AND y.j = w.j + 2
-      WHERE w.n + x.n + y.n >= 12),
-f AS (SELECT *, row_number() OVER (PARTITION BY s1, s2, s3 ORDER BY doc_id, t, a) AS k FROM r),
-c AS (SELECT DISTINCT doc_id, t, unnest(range(a, b + 1)) AS i FROM f WHERE k > 1),
-o AS (SELECT s.doc_id, s.t, count(*) AS n_sentences, count(c.i) AS n_removed, coalesce(string_agg(s.s, '' ORDER BY s.i) FILTER (c.i IS NULL), '') AS k
-      FROM s LEFT JOIN c ON s.doc_id = c.doc_id AND s.t = c.t AND s.i = c.i GROUP BY 1, 2)
+w AS (SELECT *, md5(t) AS key, len(string_split(s, ' ')) AS n, row_number() OVER (PARTITION BY doc_id, t ORDER BY i) AS j FROM q WHERE s <> ''),
+c AS (SELECT doc_id, key, j, n, sum(n) OVER (PARTITION BY doc_id, key ORDER BY j) AS m FROM w),
+l AS (SELECT doc_id, key, list(s ORDER BY j) AS ss, list(i ORDER BY j) AS ii, count(*) AS z FROM w GROUP BY 1, 2),
+g AS (SELECT x.doc_id, x.key, x.j AS a, y.j AS b FROM (SELECT *, m - n + 50 AS o FROM c) x ASOF JOIN c y ON x.doc_id = y.doc_id AND x.key = y.key AND x.o <= y.m
+      UNION SELECT x.doc_id, x.key, y.j, x.j FROM (SELECT *, m - 50 AS o FROM c) x ASOF JOIN (SELECT *, m - n AS o FROM c) y ON x.doc_id = y.doc_id AND x.key = y.key AND x.o >= y.o),
+r AS (SELECT doc_id, key, ii[a] AS a, ii[b] AS b, 'run' || array_to_string(ss[a:b], chr(1)) AS x FROM g JOIN l USING (doc_id, key)
+      UNION ALL SELECT doc_id, key, ii[1], ii[z], 'whole' || array_to_string(ss, chr(1)) FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, key, a) AS k FROM r),
+u AS (SELECT DISTINCT doc_id, key, unnest(range(a, b + 1)) AS i FROM f WHERE k > 1),
+o AS (SELECT s.doc_id, s.t, count(*) AS n_sentences, count(u.i) AS n_removed, coalesce(string_agg(s.s, '' ORDER BY s.i) FILTER (u.i IS NULL), '') AS k
+      FROM s LEFT JOIN u ON s.doc_id = u.doc_id AND md5(s.t) = u.key AND s.i = u.i GROUP BY 1, 2)
 SELECT documents.doc_id, CAST(n_sentences AS INTEGER) AS n_sentences, CAST(n_removed AS INTEGER) AS n_removed, CAST(length(k) AS INTEGER) AS kept_chars, md5(k) AS kept_md5
 FROM documents JOIN o ON documents.doc_id = o.doc_id AND coalesce(documents.text, '') = o.t
 """
