@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
+REPORT_ROWS = 100_000
+
+
 def scan(
     spark: SparkSession, folder: str, name: str, *columns: str, schema: T.StructType | str | None = None
 ) -> DataFrame:
@@ -31,19 +34,24 @@ def scan_text(spark: SparkSession, path: str, names: list[str], sep: str = ",")
 
 
 def typed(
-    raw: DataFrame, types: dict[str, str], positions: list[int] | None = None, nulls: tuple[str, ...] = ("-", "")
+    raw: DataFrame, types: dict[str, str], positions: list[int] | None = None, nulls: tuple[str, ...] = ("-", ""), failed: str | None = None
 ) -> DataFrame:
     """Typed zone: one projection of the raw text columns.
 
     ``types`` gives the new names and types in order; ``positions`` picks the raw columns
     (all of them, in order, by default). Markers in ``nulls`` and texts that do not parse
-    become NULL.
+    become NULL; ``failed`` names a column that lists, by comma, the new columns whose text did not parse, so no row
+    is lost or silently emptied.
     """
     sources = [raw.columns[i] for i in positions] if positions is not None else raw.columns
-    out = []
+    out, bad = [], []
     for src, (name, kind) in zip(sources, types.items(), strict=True):
         text = F.when(~F.trim(src).isin(*nulls), F.trim(src))
-        out.append((text if kind == "string" else text.try_cast(kind)).alias(name))
+        value = text if kind == "string" else text.try_cast(kind)
+        out.append(value.alias(name))
+        bad.append(F.when(text.isNotNull() & value.isNull(), F.lit(name)))
+    if failed:
+        out.append(F.array_join(F.array_compact(F.array(*bad)), ",").alias(failed))
     return raw.select(*out)
 
 
@@ -64,10 +72,14 @@ def write_snapshot(df: DataFrame, path: str, partition: list[str] | None = None)
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None, single_file: bool = False) -> None:
-    """Result table as CSV. ``single_file`` is meant for report tables of a few rows."""
+    """Result table as CSV, in order over its files. ``single_file`` is meant for report tables: more than ``REPORT_ROWS`` rows are refused."""
     if order:
         df = df.orderBy(*order)
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").csv(path, header=True)
+    if single_file:
+        if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+            raise ValueError(f"more than {REPORT_ROWS} rows are written to several files, not through one task")
+        df = df.coalesce(1)
+    df.write.mode("overwrite").csv(path, header=True)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -10,7 +10,7 @@ from panelweave.operators.describe import category_order as category_order_of
 from panelweave.operators.ranks import row_positions
 from panelweave.plans.coverage import eligible_cohorts
 from panelweave.session import stage_path
-from panelweave.sources import tables as IO
+from panelweave.sources import sheets as SH, snapshots as SN, tables as IO
 from workload import views as V
 from workload.registry import PERIODS, SPAN, query, rd, rounded
 
@@ -38,13 +38,51 @@ def _raw_customers(spark, sf):
     return IO.scan_text(spark, path, ["c0", "c1", "c2", "c3", "c4"])
 
 
+PER_BOOK = 20_000
+
+
+def _workbooks(spark, sf):
+    """(path, content): customers in workbooks of ``PER_BOOK`` keys at most, with a sheet of notes before the data and two header rows.
+
+    Negative balances are '-', those under -900 a text that is no number; rows without a segment end early.
+    """
+    c = V.scan(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    dealt = c.withColumn("book", F.floor(F.col("c_custkey") / PER_BOOK))
+
+    workbook = SH.workbook
+
+    def build(pdf):
+        import pandas as pd
+
+        rows = [["code", "name", "nation", "balance", "segment"], ["id", None, "key", "currency", "text"]]
+        for code, name, nation, balance, segment in zip(pdf.c_custkey, pdf.c_name, pdf.c_nationkey, pdf.c_acctbal, pdf.c_mktsegment):
+            shown = "n/a" if balance < -900 else "-" if balance < 0 else float(balance)
+            rows.append([int(code), name, int(nation), shown, segment])
+        content = workbook({"notes": [["customers", len(pdf)]], "data & keys": rows})
+        return pd.DataFrame({"path": [f"book-{pdf.book.iloc[0]}"], "content": [content]})
+
+    path = stage_path(spark, "books")
+    dealt.groupBy("book").applyInPandas(build, "path string, content binary").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("scan_excel", """
-SELECT c_custkey AS code, c_name AS name, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance, c_mktsegment AS segment
+SELECT c_custkey AS code, c_name AS name, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance, c_mktsegment AS segment,
+       CASE WHEN c_acctbal < -900 THEN 'balance' ELSE '' END AS failed
 FROM customer""")
 def scan_excel(spark, sf):
+    """Second sheet of each workbook by name, headers left out by row number, cells by position; a cell that does not parse is named."""
+    raw = SH.named_cells(SH.sheet_rows(_workbooks(spark, sf), ["data & keys"]), ["c0", "c1", "c2", "c3", "c4"], header_rows=2)
     kinds = {"code": "bigint", "name": "string", "balance": "double", "segment": "string"}
-    out = IO.typed(_raw_customers(spark, sf), kinds, positions=[0, 1, 3, 4])
-    return out.filter("code IS NOT NULL")
+    return IO.typed(raw, kinds, positions=[0, 1, 3, 4], failed="failed")
+
+
+@query("scan_excel_sheets", f"""
+SELECT 'data & keys' AS sheet, count(*) + 2 * count(DISTINCT c_custkey // {PER_BOOK}) AS n_rows, count(DISTINCT c_custkey // {PER_BOOK}) AS books FROM customer
+UNION ALL SELECT 'notes', count(DISTINCT c_custkey // {PER_BOOK}), count(DISTINCT c_custkey // {PER_BOOK}) FROM customer""")
+def scan_excel_sheets(spark, sf):
+    rows = SH.sheet_rows(_workbooks(spark, sf))
+    return rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("path").alias("books"))
 
 
 @query("drop_first_row", "SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name FROM customer")
@@ -53,11 +91,11 @@ def drop_first_row(spark, sf):
     return raw.filter(F.col("c0") != "c_custkey").select(F.col("c0").alias("code"), F.col("c1").alias("name"))
 
 
-@query("scan_snapshot", "SELECT unit, age, period, pop FROM v_pop WHERE period = 1998")
+@query("scan_snapshot", "SELECT unit, age, period, pop FROM v_pop")
 def scan_snapshot(spark, sf):
     path = stage_path(spark, "pop")
     IO.write_snapshot(V.pop(spark, sf), path)
-    return IO.read_snapshot(spark, path).filter("period = 1998")
+    return IO.read_snapshot(spark, path)
 
 
 @query("sink_snapshot", "SELECT period, count(*) AS n, sum(pop) AS pop FROM v_pop GROUP BY period")
@@ -67,6 +105,18 @@ def sink_snapshot(spark, sf):
     return IO.read_snapshot(spark, path).groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.sum("pop").alias("pop"))
 
 
+@query("sink_snapshot_refresh", """
+SELECT period, count(*) AS n, sum(CASE WHEN period = 1998 THEN 2 * pop ELSE pop END) AS pop FROM v_pop WHERE period <> 1999 OR age > 2 GROUP BY period""")
+def sink_snapshot_refresh(spark, sf):
+    """One period is replaced by other values and one by fewer rows; the others keep their files. The second run of a refresh changes nothing."""
+    path = stage_path(spark, "refreshed")
+    SN.refresh_snapshot(V.pop(spark, sf), path, ["period"], "first")
+    changed = V.pop(spark, sf).filter("period = 1998 OR period = 1999 AND age > 2").withColumn("pop", F.when(F.col("period") == 1998, 2 * F.col("pop")).otherwise(F.col("pop")))
+    for _ in range(2):
+        SN.refresh_snapshot(changed, path, ["period"], "second")
+    return SN.read_refreshed(spark, path).groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.sum("pop").alias("pop"))
+
+
 @query("sink_csv", "SELECT substr(unit, 1, 3) AS province, period, sum(pop) AS pop FROM v_pop GROUP BY 1, 2")
 def sink_csv(spark, sf):
     path = stage_path(spark, "report")
