@@ -9,9 +9,11 @@ with the place of the first, are joined back. Sentences covered by a repeated ru
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelweave.llm.base import SPACE, ascii_lower, let, table
+from panelweave.llm.base import SPACE, ascii_lower, buffers, let, mixed, slices, table, word_codes, word_hashes
 from panelweave.llm.keyfilter import key_filter, rows_with_keys, split_by_keys
 from panelweave.session import stage
 
@@ -43,35 +45,82 @@ def _runs(parts: Column, span: int, least_words: int) -> Column:
     return let(F.filter(cells, lambda c: c["n"] > 0), build)
 
 
-def _passages(parts: Column, words: int) -> Column:
-    """(sentence number, hash) of the shortest run from each sentence on, and up to each sentence, that has ``words`` words, and of the whole text.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that they have inverses modulo 2^64
 
-    Together the runs cover every passage of whole sentences with ``words`` or more words. The whole text is equal to other whole texts only.
-    """
-    def plain(s: Column) -> Column:
-        return F.trim(F.regexp_replace(ascii_lower(s), SPACE, " "))
 
-    def run(w: Column, at: Column, size: Column, *kind: Column) -> Column:
-        part = F.slice(w, at + 1, size)
-        hashes = [F.xxhash64(*kind, F.transform(part, lambda c: c["h"])), F.xxhash64(F.lit(1), *kind, F.transform(part, lambda c: c["h2"]))]
-        return F.struct(F.get(w, at)["at"].alias("first"), F.get(w, at + size - 1)["at"].alias("last"), hashes[0].alias("h"), hashes[1].alias("h2"))
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
-    def reach(part: Column) -> Column:
-        """(sentences, words) up to where ``words`` words are reached; every sentence has a word, so ``words`` sentences are enough to look at."""
-        none = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"))
-        return F.aggregate(part, none, lambda a, c: F.when(a["n"] >= words, a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["n"] + c["n"]).alias("n"))))
 
-    def build(w: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.size(w) - 1)
-        onward = F.transform(numbers, lambda i: let(reach(F.slice(w, i + 1, words)), lambda r: F.when(r["n"] >= words, run(w, i, r["k"]))))
-        before = F.transform(numbers, lambda i: let(F.greatest(i - words + 1, F.lit(0)), lambda a: let(
-            reach(F.reverse(F.slice(w, a + 1, i - a + 1))), lambda r: F.when(r["n"] >= words, run(w, i - r["k"] + 1, r["k"])))))
-        return F.when(F.size(w) > 0, F.array_distinct(F.array_compact(F.concat(onward, before, F.array(run(w, F.lit(0), F.size(w), F.lit("whole")))))))
+def _passages(texts: pa.Array, words: int) -> tuple[np.ndarray, ...]:
+    """(row, first, last, h, h2): the shortest run from each sentence on, and up to each sentence, that has ``words`` words, and the whole text.
 
-    cells = F.transform(parts, lambda s, i: let(plain(s), lambda p: F.struct(
-        i.alias("at"), F.xxhash64(p).alias("h"), F.xxhash64(F.lit(7), p).alias("h2"),
-        F.when(p == "", F.lit(0)).otherwise(F.length(p) - F.length(F.replace(p, F.lit(" "))) + 1).alias("n"))))
-    return let(F.filter(cells, lambda c: c["n"] > 0), build)
+    first and last are sentence numbers. A run's hash comes from prefix sums over its words, in which the first word of a sentence has
+    another value than elsewhere, so runs are equal if their words and sentence ends are. The whole text is equal to other whole texts only.
+    """
+    raw, at = buffers(texts)
+    row, code, distinct = word_codes(texts)
+    if not len(row):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none
+    blank = (raw == 0x20) | ((raw >= 0x09) & (raw <= 0x0D))
+    before = np.concatenate([[True], blank[:-1]])
+    before[at[:-1][at[:-1] < len(raw)]] = True
+    start = np.flatnonzero(~blank & before)
+    # a sentence begins after a line feed, and at a blank after a full stop, exclamation or question mark
+    stop = np.isin(raw, np.frombuffer(b".!?", np.uint8))
+    breaks = np.zeros(len(raw) + 1, dtype=np.int64)
+    breaks[1:] = (raw == 0x0A) | (stop & np.concatenate([blank[1:], [False]]))
+    breaks[at] = 0  # a break at the end of a text belongs to no word, and the next text starts anew
+    number = np.cumsum(breaks)
+    number = number[start] - number[at[:-1]][row]
+    opens = np.concatenate([[True], (row[1:] != row[:-1]) | (number[1:] != number[:-1])])
+    first = np.flatnonzero(opens)  # first word of each sentence that has one
+    end = np.append(first[1:], len(row))
+    of, place = row[first], number[first]
+    value = mixed(word_hashes(distinct))[code]
+    value = np.where(opens, mixed(value + np.uint64(0x2545F4914F6CDD1D)), value)
+    sums = []
+    with np.errstate(over="ignore"):
+        for base in BASES:
+            power = _powers(base, len(row))
+            back = _powers(pow(base, -1, 1 << 64), len(row))
+            total = np.zeros(len(row) + 1, dtype=np.uint64)
+            np.cumsum(value * power[:-1], out=total[1:])
+            sums.append((total, back))
+
+        def hashes(a: np.ndarray, b: np.ndarray, kind: int) -> list[np.ndarray]:
+            size = (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(kind)
+            return [mixed((total[b] - total[a]) * back[a] + size).astype(np.int64) for total, back in sums]
+
+        many = np.arange(len(first))
+        to = np.searchsorted(end, first + words, "left")
+        fits = (to < len(first)) & (of[np.minimum(to, len(first) - 1)] == of)
+        on = many[fits], to[fits]
+        since = np.searchsorted(first, end - words, "right") - 1
+        fits = (since >= 0) & (of[np.maximum(since, 0)] == of)
+        up = since[fits], many[fits]
+        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        whole = heads, np.append(heads[1:], len(first)) - 1
+        parts = []
+        for (i, j), kind in ((on, 1), (up, 1), (whole, 2)):
+            parts.append((of[i], place[i], place[j], *hashes(first[i], end[j], kind)))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def _passage_rows(words: int):
+    def run(batches):
+        for batch in batches:
+            for at, part in slices(batch.column("text"), 1 << 19):
+                row, first, last, h, h2 = _passages(part, words)
+                own = pa.array(row + at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(own), batch.column("key").take(own), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(h), pa.array(h2)],
+                    names=["id", "key", "first", "last", "h", "h2"])
+
+    return run
 
 
 def drop_repeated_spans(
@@ -88,14 +137,15 @@ def drop_repeated_spans(
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     keyed = rows.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    found = []
+    kind = keyed.schema["id"].dataType.simpleString()
+    runs = keyed.select("id", "key", F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("h2")).limit(0)
     if span is not None:
-        found.append(F.transform(_runs(sentences(F.col("text")), span, least_words), lambda r: r.dropFields("n")))
+        found = _runs(sentences(F.col("text")), span, least_words)
+        runs = runs.unionByName(keyed.select("id", "key", F.explode(found).alias("r")).select("id", "key", "r.*").drop("n"))
     if passage_words is not None:
-        found.append(_passages(sentences(F.col("text")), passage_words))
-    none = F.array().cast("array<struct<first:int,last:int,h:bigint,h2:bigint>>")
+        runs = runs.unionByName(keyed.mapInArrow(_passage_rows(passage_words), f"id {kind}, key long, first int, last int, h long, h2 long"))
     # written once: the runs are counted, and looked at again where they may be repeated
-    runs = stage(keyed.select("id", "key", F.explode(F.concat(*[F.coalesce(f, none) for f in found], none)).alias("r")).select("id", "key", "r.*"), "runs")
+    runs = stage(runs, "runs")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key", F.col("first").alias("at"))
     groups = runs.groupBy("h", "h2").agg(F.min(place).alias("least"), F.max(place).alias("greatest"))
     repeated = stage(groups.filter("least <> greatest").select("h", "h2", "least"), "repeated")
