@@ -5,7 +5,8 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -54,50 +55,100 @@ def fill_linear(
     return rows.withColumn("filled", F.coalesce(value, between, "_a.x", "_b.x")).drop("_a", "_b", "_t")
 
 
-def spline_values(t: np.ndarray, x: np.ndarray, at: np.ndarray, ends: str) -> np.ndarray:
-    """Cubic spline through (t, x) at ``at``.
+def _tridiagonal(low: np.ndarray, mid: np.ndarray, up: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """Solutions of one tridiagonal system per row, by a forward and a backward sweep over the columns."""
+    n = mid.shape[1]
+    c, d = np.zeros_like(mid), np.zeros_like(mid)
+    c[:, 0], d[:, 0] = up[:, 0] / mid[:, 0], rhs[:, 0] / mid[:, 0]
+    for j in range(1, n):
+        pivot = mid[:, j] - low[:, j] * c[:, j - 1]
+        c[:, j] = up[:, j] / pivot
+        d[:, j] = (rhs[:, j] - low[:, j] * d[:, j - 1]) / pivot
+    for j in range(n - 2, -1, -1):
+        d[:, j] -= c[:, j] * d[:, j + 1]
+    return d
 
-    ``ends="cubic"`` gives the outer intervals the third derivative of the cubic through
-    the four outer points; ``ends="natural"`` sets the second derivative at the ends to 0.
-    Beyond the ends the outer cubic is continued.
+
+def spline_batch(row: np.ndarray, t: np.ndarray, x: np.ndarray, at_row: np.ndarray, at: np.ndarray, rows: int, ends: str = "cubic") -> np.ndarray:
+    """Cubic splines through the points (t, x) of each of ``rows`` curves, at the places ``at`` of their curves.
+
+    Points are sorted by curve and t, every curve has one at least. ``ends="cubic"`` gives the outer intervals the third derivative of the
+    cubic through the four outer points; ``ends="natural"`` sets the second derivative at the ends to 0. Beyond the ends the outer cubic is
+    continued; a curve of one point is constant. All curves are solved together, in sweeps of the length of the longest.
     """
-    n = len(t)
-    if n == 1:
-        return np.full(len(at), x[0])
-    h, d = np.diff(t), np.diff(x) / np.diff(t)
-    system, rhs = np.zeros((n, n)), np.zeros(n)
-    inner = np.arange(1, n - 1)
-    system[inner, inner - 1], system[inner, inner], system[inner, inner + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-    rhs[inner] = 6 * np.diff(d)
-    if ends == "natural" or n == 2:
-        system[0, 0] = system[-1, -1] = 1.0
-    else:
-        second = np.diff(d) / (t[2:] - t[:-2])
-        third = np.diff(second) / (t[3:] - t[:-3])
-        system[0, :2], system[-1, -2:] = (-1.0, 1.0), (-1.0, 1.0)
-        rhs[0], rhs[-1] = (6 * h[0] * third[0], 6 * h[-1] * third[-1]) if n > 3 else (0.0, 0.0)
-    m = np.linalg.solve(system, rhs)
-    k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
-    u, v = at - t[k], t[k + 1] - at
-    return (
-        (m[k] * v**3 + m[k + 1] * u**3) / (6 * h[k])
-        + (x[k] / h[k] - m[k] * h[k] / 6) * v
-        + (x[k + 1] / h[k] - m[k + 1] * h[k] / 6) * u
+    count = np.bincount(row, minlength=rows)
+    n, first = int(count.max(initial=1)), np.cumsum(count) - count
+    place = np.arange(len(row)) - first[row]
+    times, values = np.zeros((rows, n)), np.zeros((rows, n))
+    times[row, place], values[row, place] = t, x
+    real = np.arange(n - 1) < (count - 1)[:, None]  # intervals that exist
+    h = np.where(real, np.diff(times, axis=1), 1.0)
+    d = np.where(real, np.diff(values, axis=1) / h, 0.0)
+    low, up, rhs = np.zeros((rows, n)), np.zeros((rows, n)), np.zeros((rows, n))
+    mid = np.ones((rows, n))
+    if n > 2:
+        inner = real[:, 1:]  # points 1, 2, ... with an interval on both sides
+        low[:, 1:-1], up[:, 1:-1] = np.where(inner, h[:, :-1], 0.0), np.where(inner, h[:, 1:], 0.0)
+        mid[:, 1:-1] = np.where(inner, 2 * (h[:, :-1] + h[:, 1:]), 1.0)
+        rhs[:, 1:-1] = np.where(inner, 6 * (d[:, 1:] - d[:, :-1]), 0.0)
+    if ends == "cubic":
+        some = np.flatnonzero(count > 2)
+        last = count[some] - 1
+        mid[some, 0], up[some, 0], low[some, last] = -1.0, 1.0, -1.0
+        full = np.flatnonzero(count > 3)
+        if len(full):
+            end = count[full] - 1
+
+            def third(k):
+                """Third divided difference of the four points from k on."""
+                span = lambda i, j: times[full, k + j] - times[full, k + i]
+                one, two = (d[full, k + 1] - d[full, k]) / span(0, 2), (d[full, k + 2] - d[full, k + 1]) / span(1, 3)
+                return (two - one) / span(0, 3)
+
+            rhs[full, 0] = 6 * h[full, 0] * third(np.zeros(len(full), np.int64))
+            rhs[full, end] = 6 * h[full, end - 1] * third(end - 3)
+    m = _tridiagonal(low, mid, up, rhs)
+    # the interval of a place, by one search over all curves laid end to end
+    low_t, reach = min(t.min(initial=0), at.min(initial=0)), 1.0 + max(t.max(initial=0), at.max(initial=0))
+    width = reach - low_t
+    found = np.searchsorted(row * width + (t - low_t), at_row * width + (at - low_t), side="right") - 1 - first[at_row]
+    k = np.clip(found, 0, np.maximum(count[at_row] - 2, 0))
+    r, nxt = at_row, np.minimum(k + 1, n - 1)
+    step = h[r, np.minimum(k, n - 2)] if n > 1 else np.ones(len(at))
+    u, v = at - times[r, k], times[r, nxt] - at
+    curve = (
+        (m[r, k] * v**3 + m[r, nxt] * u**3) / (6 * step)
+        + (values[r, k] / step - m[r, k] * step / 6) * v
+        + (values[r, nxt] / step - m[r, nxt] * step / 6) * u
     )
+    return np.where(count[at_row] > 1, curve, values[r, 0])
+
+
+def spline_values(t: np.ndarray, x: np.ndarray, at: np.ndarray, ends: str = "cubic") -> np.ndarray:
+    """One cubic spline through the points (t, x), at the places ``at``."""
+    none = np.zeros(len(t), np.int64)
+    return spline_batch(none, np.asarray(t, float), np.asarray(x, float), np.zeros(len(at), np.int64), np.asarray(at, float), 1, ends)
 
 
 def _spline_filler(ends: str, stretch: bool):
-    @F.pandas_udf("array<double>")
-    def fill(times: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for t, x in zip(times, values):
-            t, x = np.asarray(t, dtype=float), np.asarray(x, dtype=float)
-            seen = ~np.isnan(x)
-            at = np.linspace(t[seen][0], t[seen][-1], len(t)) if stretch else t
-            out.append(np.where(seen, x, spline_values(t[seen], x[seen], at, ends)))
-        return pd.Series(out)
-
-    return fill
+    def fill(times: pa.Array, values: pa.Array) -> pa.Array:
+        rows = len(times)
+        size = np.asarray(pc.list_value_length(times).to_numpy(zero_copy_only=False), dtype=np.int64)
+        t, x = (np.asarray(a.flatten().to_numpy(zero_copy_only=False), dtype=float) for a in (times, values))
+        row, seen = np.repeat(np.arange(rows), size), ~np.isnan(x)
+        at = t
+        if stretch:
+            whole = np.flatnonzero(seen)
+            lo, hi = np.full(rows, np.inf), np.full(rows, -np.inf)
+            np.minimum.at(lo, row[whole], t[whole])
+            np.maximum.at(hi, row[whole], t[whole])
+            place = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
+            at = lo[row] + (hi - lo)[row] * place / np.maximum(size - 1, 1)[row]
+        filled = np.where(seen, x, spline_batch(row[seen], t[seen], x[seen], row, at, rows, ends)) if len(t) else t
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(filled))
+
+    fill.__annotations__ = {"times": pa.Array, "values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(fill, "array<double>")
 
 
 def fill_spline(

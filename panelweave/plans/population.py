@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelweave.functions.nulls import strict_sum
 from panelweave.functions.text import unit_levels
@@ -161,6 +163,53 @@ def cohort_growth(
     )
 
 
+def cohort_growth_windows(
+    pop: DataFrame, periods: list[int], width: int, max_age: int, level: str, unit: str = "unit", age: str = "age",
+    period: str = "period", value: str = "pop",
+) -> DataFrame:
+    """``cohort_growth`` in every window of ``width`` consecutive entries of ``periods``, with the window's first period as ``window``.
+
+    Which periods a cohort of a unit has is a bit mask. A window is complete for it if all bits of the window are set; where only some
+    are, the sums of its level are not complete in that window, and one bitwise OR over the units says so for all windows at once. Sums and
+    changes are made once for all windows. At most 62 periods.
+    """
+    if not 1 < width <= len(periods) <= 62:
+        raise ValueError("a window has two periods at least and the list 62 at most")
+    at = range(len(periods))
+    cohorts = (
+        pop.filter((F.col(age) <= max_age) & F.col(period).isin(periods))
+        .withColumn("cohort", F.col(period) - F.col(age))
+        .groupBy(unit, level, "cohort")
+        .agg(*[F.sum(F.when(F.col(period) == p, F.col(value))).alias(f"p_{i}") for i, p in enumerate(periods)])
+    )
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"p_{i}").isNotNull(), F.lit(1 << i)).otherwise(0).cast("long") for i in at])
+    starts = range(len(periods) - width + 1)
+
+    def windows(test) -> Column:
+        """Bit s is set where the test holds for the present bits of the window that starts at s."""
+        full = (1 << width) - 1
+        found = [F.when(test(F.col("_has").bitwiseAND(F.lit(full << s)), full << s), F.lit(1 << s)).otherwise(0).cast("long") for s in starts]
+        return reduce(lambda a, b: a.bitwiseOR(b), found)
+
+    cohorts = cohorts.withColumn("_has", bits)
+    cohorts = cohorts.withColumns({"_whole": windows(lambda has, full: has == full), "_part": windows(lambda has, full: (has != 0) & (has != full))})
+    sums = cohorts.groupBy(level, "cohort").agg(*[F.sum(f"p_{i}").alias(f"s_{i}") for i in at], F.bit_or("_part").alias("_gaps"))
+    joined = cohorts.filter("_whole <> 0").join(sums, [level, "cohort"])
+    steps = F.array(*[
+        F.struct(
+            F.lit(periods[i + 1]).alias(period), (F.try_divide(f"p_{i + 1}", f"p_{i}") - 1).alias("rel_change"),
+            F.try_divide(f"s_{i + 1}", f"s_{i}").alias("level_ratio"))
+        for i in at[:-1]
+    ])
+    open_at = F.col("_whole").bitwiseAND(F.bitwise_not("_gaps"))
+    chosen = F.filter(
+        F.array(*[F.struct(F.lit(periods[s]).alias("window"), F.slice("_steps", s + 1, width - 1).alias("r"), F.lit(1 << s).cast("long").alias("bit")) for s in starts]),
+        lambda w: (open_at.bitwiseAND(w["bit"]) != 0) & F.forall(w["r"], lambda r: r["rel_change"].isNotNull() & r["level_ratio"].isNotNull()))
+    rows = joined.withColumn("_steps", steps).select(unit, level, "cohort", F.explode(chosen).alias("_w"))
+    return rows.select(unit, level, "cohort", "_w.window", F.explode("_w.r").alias("_r")).select(unit, level, "cohort", "window", "_r.*")
+
+
 def cohort_growth_summary(growth: DataFrame, level: str, period: str = "period") -> DataFrame:
-    """Quartiles of the relative change per level, cohort and period."""
-    return quantiles(growth, "rel_change", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, [level, "cohort", period])
+    """Quartiles of the relative change per level, cohort and period, and per window where there are several."""
+    window = ["window"] if "window" in growth.columns else []
+    return quantiles(growth, "rel_change", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, [level, "cohort", *window, period])

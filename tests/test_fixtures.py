@@ -279,3 +279,71 @@ def test_union_and_grid(spark):
     b = spark.createDataFrame([(3,)], "x int")
     assert rows(S.union_named(a, b, source="src", labels=["A", "B"]), "x") == [(1, 2, "A"), (3, None, "B")]
     assert S.grid(b, p=[1, 2], q=["u", "v"]).count() == 4
+
+
+def test_splines_of_many_units_together(spark):
+    """The batched sweep against one dense solve per unit, for 1 to 40 points, both kinds of ends, inside and outside."""
+    import numpy as np
+
+    from panelweave.operators.impute import spline_batch
+
+    rng = np.random.default_rng(5)
+    curves = [(np.sort(rng.choice(200, n, replace=False)).astype(float), rng.normal(size=n)) for n in (1, 2, 3, 4, 5, 17, 40, 2, 1, 6)]
+    places = [np.concatenate([t, rng.uniform(t[0] - 5, t[-1] + 5, 9)]) for t, _ in curves]
+    pick = lambda k: np.concatenate([c[k] for c in curves])
+    row = np.repeat(np.arange(len(curves)), [len(t) for t, _ in curves])
+    at_row = np.repeat(np.arange(len(curves)), [len(p) for p in places])
+    for ends in ("cubic", "natural"):
+        got = spline_batch(row, pick(0), pick(1), at_row, np.concatenate(places), len(curves), ends)
+        for i, ((t, x), at) in enumerate(zip(curves, places)):
+            n = len(t)
+            if n == 1:
+                assert got[at_row == i] == pytest.approx(np.full(len(at), x[0]))
+                continue
+            h, d = np.diff(t), np.diff(x) / np.diff(t)
+            a, b = np.eye(n), np.zeros(n)
+            for j in range(1, n - 1):
+                a[j, j - 1 : j + 2], b[j] = (h[j - 1], 2 * (h[j - 1] + h[j]), h[j]), 6 * (d[j] - d[j - 1])
+            if ends == "cubic" and n > 2:
+                a[0, :2], a[-1, -2:] = (-1, 1), (-1, 1)
+                if n > 3:
+                    fit = [np.polyfit(t[k] - t[k][0], x[k], 3)[0] * 6 for k in (slice(0, 4), slice(n - 4, n))]
+                    b[0], b[-1] = h[0] * fit[0], h[-1] * fit[1]
+            m = np.linalg.solve(a, b)
+            k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
+            u, v = at - t[k], t[k + 1] - at
+            want = (m[k] * v**3 + m[k + 1] * u**3) / (6 * h[k]) + (x[k] / h[k] - m[k] * h[k] / 6) * v + (x[k + 1] / h[k] - m[k + 1] * h[k] / 6) * u
+            assert got[at_row == i] == pytest.approx(want, rel=1e-6, abs=1e-6), (ends, n)
+
+
+def test_growth_in_moving_windows(spark):
+    """Every window agrees with the growth of that window alone; gaps in one unit close the window for its level and cohort."""
+    import random
+
+    from panelweave.plans.population import cohort_growth, cohort_growth_windows
+
+    rng = random.Random(2)
+    rows = [
+        (u, u[0], a, p, float(rng.randint(0, 9)) if rng.random() < 0.03 else float(rng.randint(10, 99)))
+        for u in ("a1", "a2", "b1", "b2", "b3") for p in range(2000, 2008) for a in range(7) if rng.random() > 0.04
+    ]
+    df = spark.createDataFrame(rows, "unit string, level string, age int, period int, pop double")
+    periods = list(range(2000, 2008))
+    for width in (2, 3, 5):
+        got = cohort_growth_windows(df, periods, width, 5, "level").collect()
+        want = [(s, r) for s in periods[: len(periods) - width + 1] for r in cohort_growth(df, list(range(s, s + width)), 5, "level").collect()]
+        key = lambda w, r: (w, r.unit, r.level, r.cohort, r.period, r.rel_change, r.level_ratio)
+        assert len(got) > 20 or width == 5
+        exact = lambda rows: sorted((*k[:5], round(k[5], 9), round(k[6], 9)) for k in rows)
+        assert exact(key(r.window, r) for r in got) == exact(key(w, r) for w, r in want)
+
+
+@pytest.mark.parametrize("name", ["regression_frame", "corr_matrix", "extreme_units", "burden_rate", "corr_matrix_raw"])
+def test_the_lines_are_read_once(spark, sf, monkeypatch, name):
+    from workload import load, views as V
+
+    scans, real = [], V.scan
+    monkeypatch.setattr(V, "scan", lambda s, f, table, *c: (scans.append(table), real(s, f, table, *c))[1])
+    out = load()[0][name](spark, sf)
+    assert scans.count("lineitem") == 1
+    assert "lineitem" not in out._jdf.queryExecution().executedPlan().toString()

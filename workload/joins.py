@@ -41,11 +41,16 @@ def join_dim_lookup(spark, sf):
     return unit_levels(V.event(spark, sf), "unit", {"region": 1}).join(names, "region", "left").drop("region")
 
 
-@query("join_right_spine", """
-SELECT u.unit, CAST(p.period AS INTEGER) AS period, e.events FROM v_unit u CROSS JOIN (VALUES (1994), (1995), (1996)) p(period)
+# the supplied years and one without facts
+SPINE = [PERIODS[0] - 1, *PERIODS]
+_SPINE_SQL = ", ".join(f"({p})" for p in SPINE)
+
+
+@query("join_right_spine", f"""
+SELECT u.unit, CAST(p.period AS INTEGER) AS period, e.events FROM v_unit u CROSS JOIN (VALUES {_SPINE_SQL}) p(period)
 LEFT JOIN v_event e ON e.unit = u.unit AND e.period = p.period""")
 def join_right_spine(spark, sf):
-    spine = S.grid(V.units(spark, sf).select("unit"), period=[1994, 1995, 1996])
+    spine = S.grid(V.units(spark, sf).select("unit"), period=SPINE)
     return S.complete(spine, V.event(spark, sf), ["unit", "period"])
 
 

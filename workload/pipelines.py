@@ -91,41 +91,45 @@ def growth_qa_flagged(spark, sf):
     return rounded(P.growth_qa(panel)[1])
 
 
-# a cohort is complete over at most max_age + 1 periods, so its growth is followed over a window
-WINDOW = [1996, 1997, 1998, 1999]
-
-
-@query("cohort_growth", f"""
-WITH c AS (
-  SELECT unit, substr(unit, 1, 3) AS province, period - age AS cohort,
-         sum(CASE WHEN period = 1996 THEN pop END) AS p6, sum(CASE WHEN period = 1997 THEN pop END) AS p7,
-         sum(CASE WHEN period = 1998 THEN pop END) AS p8, sum(CASE WHEN period = 1999 THEN pop END) AS p9
-  FROM v_pop WHERE age <= 5 AND period BETWEEN 1996 AND 1999 GROUP BY 1, 2, 3),
+# a cohort is complete over at most max_age + 1 periods, so its growth is followed over moving windows
+WIDTH = 4
+STARTS = PERIODS[: len(PERIODS) - WIDTH + 1]
+GROWTH_SQL = f"""
+w AS (SELECT CAST(unnest({STARTS}) AS INTEGER) AS "window"),
+c AS (
+  SELECT "window", unit, substr(unit, 1, 3) AS province, period - age AS cohort,
+         sum(CASE WHEN period = "window" THEN pop END) AS p6, sum(CASE WHEN period = "window" + 1 THEN pop END) AS p7,
+         sum(CASE WHEN period = "window" + 2 THEN pop END) AS p8, sum(CASE WHEN period = "window" + 3 THEN pop END) AS p9
+  FROM v_pop JOIN w ON period BETWEEN "window" AND "window" + 3 WHERE age <= 5 GROUP BY 1, 2, 3, 4),
 s AS (
-  SELECT province, cohort,
+  SELECT "window", province, cohort,
          CASE WHEN count(p6) = count(*) THEN sum(p6) END AS s6, CASE WHEN count(p7) = count(*) THEN sum(p7) END AS s7,
          CASE WHEN count(p8) = count(*) THEN sum(p8) END AS s8, CASE WHEN count(p9) = count(*) THEN sum(p9) END AS s9
-  FROM c GROUP BY 1, 2),
-j AS (SELECT * FROM c JOIN s USING (province, cohort) WHERE p6 * p7 * p8 * p9 IS NOT NULL AND s6 * s7 * s8 * s9 IS NOT NULL)
-SELECT unit, province, cohort, 1997 AS period, {rd('p7 / p6 - 1')} AS rel_change, {rd('s7 / s6')} AS level_ratio FROM j
-UNION ALL SELECT unit, province, cohort, 1998, {rd('p8 / p7 - 1')}, {rd('s8 / s7')} FROM j
-UNION ALL SELECT unit, province, cohort, 1999, {rd('p9 / p8 - 1')}, {rd('s9 / s8')} FROM j""")
-def cohort_growth(spark, sf):
+  FROM c GROUP BY 1, 2, 3),
+j AS (SELECT * FROM c JOIN s USING ("window", province, cohort) WHERE p6 * p7 * p8 * p9 IS NOT NULL AND s6 * s7 * s8 * s9 IS NOT NULL),
+g AS (SELECT unit, province, cohort, "window", "window" + 1 AS period, p7 / p6 - 1 AS rel_change, s7 / s6 AS level_ratio FROM j
+UNION ALL SELECT unit, province, cohort, "window", "window" + 2, p8 / p7 - 1, s8 / s7 FROM j
+UNION ALL SELECT unit, province, cohort, "window", "window" + 3, p9 / p8 - 1, s9 / s8 FROM j)"""
+
+
+def _growth(spark, sf):
     panel = unit_levels(V.pop(spark, sf), "unit", {"province": 3})
-    return rounded(P.cohort_growth(panel, WINDOW, 5, "province"))
+    return P.cohort_growth_windows(panel, PERIODS, WIDTH, 5, "province")
+
+
+@query("cohort_growth", f"""
+WITH {GROWTH_SQL}
+SELECT unit, province, cohort, "window", period, {rd('rel_change')} AS rel_change, {rd('level_ratio')} AS level_ratio FROM g""")
+def cohort_growth(spark, sf):
+    return rounded(_growth(spark, sf))
 
 
 @query("cohort_growth_summary", f"""
-WITH c AS (
-  SELECT unit, substr(unit, 1, 3) AS province, period - age AS cohort, period, pop, count(*) OVER w AS n, lag(pop) OVER w2 AS before
-  FROM v_pop WHERE age <= 5 AND period BETWEEN 1996 AND 1999
-  WINDOW w AS (PARTITION BY unit, period - age), w2 AS (PARTITION BY unit, period - age ORDER BY period)),
-k AS (SELECT province, cohort FROM c GROUP BY 1, 2 HAVING min(n) = 4)
-SELECT province, cohort, period, {rd('quantile_cont(pop / before - 1, 0.25)')} AS q1, {rd('median(pop / before - 1)')} AS q2,
-       {rd('quantile_cont(pop / before - 1, 0.75)')} AS q3 FROM c JOIN k USING (province, cohort) WHERE period > 1996 GROUP BY 1, 2, 3""")
+WITH {GROWTH_SQL}
+SELECT province, cohort, "window", period, {rd('quantile_cont(rel_change, 0.25)')} AS q1, {rd('median(rel_change)')} AS q2,
+       {rd('quantile_cont(rel_change, 0.75)')} AS q3 FROM g GROUP BY 1, 2, 3, 4""")
 def cohort_growth_summary(spark, sf):
-    panel = unit_levels(V.pop(spark, sf), "unit", {"province": 3})
-    return rounded(P.cohort_growth_summary(P.cohort_growth(panel, WINDOW, 5, "province"), "province"))
+    return rounded(P.cohort_growth_summary(_growth(spark, sf), "province"))
 
 
 @query("availability_coverage", f"""
@@ -230,9 +234,10 @@ burden AS (SELECT *, (burden - avg(burden) OVER ()) / stddev_samp(burden) OVER (
 """
 
 
-def burden(spark, sf):
-    base = V.pop(spark, sf).filter(f"period = {PERIODS[0]} AND age <= 5").groupBy("unit").agg(F.sum("pop").alias("pop"))
-    return R.burden_rate(V.cases(spark, sf), base, PERIODS)
+def burden(spark, sf, cube=None):
+    cube = V.line_cube(spark, sf) if cube is None else cube
+    base = V.pop(spark, sf, cube).filter(f"period = {PERIODS[0]} AND age <= 5").groupBy("unit").agg(F.sum("pop").alias("pop"))
+    return R.burden_rate(V.cases(spark, sf, cube), base, PERIODS)
 
 
 @query("burden_rate", f"""

@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from panelweave.operators import models as M, zib as Z
-from panelweave.plans import population as P, reports as R
+from panelweave.plans import reports as R
 from panelweave.session import stage
-from workload import views as V
 from workload.registry import query, rd, rounded
-from workload.scenarios import FRAME_SQL, burden
+from workload.scenarios import FRAME_SQL, regression_inputs
 
 RAW = ["p_risk", "tot", "discount", "tax", "burden", "lines", "wealth"]
 SCALED = [f"{c}_s" for c in RAW]
@@ -22,9 +21,7 @@ SCENARIOS = {"pop": "coverage_pop", "a": "coverage_a", "b": "coverage_b"}
 
 def wide_frame(spark, sf):
     """The regression frame with all covariates; a stage table, since every pass of the models reads it."""
-    covariates = V.covariates(spark, sf).select("unit", "wealth", "discount", "tax", "lines")
-    risk = P.risk_population(V.pop(spark, sf), 5).select("unit", "period", "tot", "p_risk")
-    out = R.regression_frame(V.coverage_wide(spark, sf), covariates, burden(spark, sf), risk, 1998, ("province", 3), ["003"])
+    out = R.regression_frame(*regression_inputs(spark, sf, ["wealth", "discount", "tax", "lines"]), 1998, ("province", 3), ["003"])
     return stage(out.select("unit", "province", *SCENARIOS.values(), *RAW, *SCALED), "frame")
 
 

@@ -10,7 +10,7 @@ from panelweave.plans import events as E, population as P, reports as R, scenari
 from panelweave.session import stage
 from workload import views as V
 from workload.pipelines import BURDEN_SQL, burden
-from workload.registry import FACTOR, query, rd, rounded
+from workload.registry import FACTOR, PERIODS, SPAN, query, rd, rounded
 
 IMPUTE_SQL = """
 k AS (SELECT DISTINCT unit, period FROM v_event_month),
@@ -84,7 +84,7 @@ def impute_monthly_spline(spark, sf):
 WITH {IMPUTE_SQL},
 a AS (SELECT unit, period, sum(events) * 12 / count(*) AS events FROM v_event_month WHERE mon <= 9 GROUP BY 1, 2),
 i AS (SELECT unit, period, sum(filled) AS events FROM filled GROUP BY 1, 2),
-w AS (SELECT unit, period, events FROM v_event WHERE period IN (1996, 1997)),
+w AS (SELECT unit, period, events FROM v_event WHERE period {SPAN}),
 u AS (SELECT * FROM v_event UNION ALL SELECT * FROM a UNION ALL SELECT * FROM i UNION ALL SELECT * FROM w),
 d AS (SELECT DISTINCT unit, period, round(events, 6) AS events FROM u WHERE events IS NOT NULL)
 SELECT unit, period, {rd('avg(events)', 5)} AS events, count(*) AS n_values FROM d GROUP BY 1, 2""")
@@ -92,8 +92,8 @@ def event_reconcile(spark, sf):
     """Annual table, wide annual table, annualised part year and imputed year, reconciled."""
     months = stage(V.event_month(spark, sf), "months")
     annual = months.groupBy("unit", "period").agg(F.sum("events").alias("events"))
-    wide = S.to_wide(annual, ["unit"], "period", "events", [1996, 1997], "events_")
-    long = S.to_long(wide, ["unit"], ["events_1996", "events_1997"], "period", "events", prefix="events_").withColumn(
+    wide = S.to_wide(annual, ["unit"], "period", "events", PERIODS, "events_")
+    long = S.to_long(wide, ["unit"], [f"events_{p}" for p in PERIODS], "period", "events", prefix="events_").withColumn(
         "period", F.col("period").cast("int")
     )
     part = annualise(months.filter("mon <= 9"), ["unit", "period"], "mon", "events").drop("n_month")
@@ -242,13 +242,16 @@ FRAME_COLUMNS = ["coverage_pop", "coverage_a", "coverage_b", "wealth", "tax", "w
                  "p_risk", "p_risk_s", "tot_s"]
 
 
+def regression_inputs(spark, sf, covariates: list[str]):
+    """(coverage by scenario, covariates, burden, risk), all from one reading of the lines."""
+    cube = V.line_cube(spark, sf)
+    risk = P.risk_population(V.pop(spark, sf, cube), 5).select("unit", "period", "tot", "p_risk")
+    return V.coverage_wide(spark, sf, cube), V.covariates(spark, sf, cube).select("unit", *covariates), burden(spark, sf, cube), risk
+
+
 def frame(spark, sf):
     """Regression frame of 1998 without one province; a stage table, since several models read it."""
-    covariates = V.covariates(spark, sf).select("unit", "wealth", "tax")
-    risk = P.risk_population(V.pop(spark, sf), 5).select("unit", "period", "tot", "p_risk")
-    out = R.regression_frame(
-        V.coverage_wide(spark, sf), covariates, burden(spark, sf), risk, 1998, ("province", 3), ["003"]
-    )
+    out = R.regression_frame(*regression_inputs(spark, sf, ["wealth", "tax"]), 1998, ("province", 3), ["003"])
     return stage(out.select("unit", "period", "province", "tot", *FRAME_COLUMNS), "frame")
 
 

@@ -64,8 +64,28 @@ def _year() -> F.Column:
     return F.year("l_shipdate").alias("period")
 
 
-def pop(spark: SparkSession, sf: str) -> DataFrame:
+def line_cube(spark: SparkSession, sf: str) -> DataFrame:
+    """(unit, wealth, age, period, pop, events, cases, discount, tax, lines): every measure of the lines per unit, age and year.
+
+    A stage table: what needs several measures reads the lines once. ``events`` and ``cases`` are NULL where no line counts;
+    ``discount`` and ``tax`` are sums.
+    """
+    lines = scan(
+        spark, sf, "lineitem", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"
+    )
+    quantity = F.col("l_quantity")
+    per = lines.groupBy("l_suppkey", (F.col("l_linenumber") - 1).cast("int").alias("age"), _year()).agg(
+        F.sum(quantity).alias("pop"), F.sum(F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.08), quantity)).alias("events"),
+        F.sum(F.when(F.col("l_linestatus") == "F", quantity)).alias("cases"), F.sum("l_discount").alias("discount"), F.sum("l_tax").alias("tax"),
+        F.count(F.lit(1)).alias("lines"))
+    u = units(spark, sf).select("unit", "s_suppkey", F.col("s_acctbal").alias("wealth"))
+    return stage(per.join(u, F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey", "s_suppkey"), "cube")
+
+
+def pop(spark: SparkSession, sf: str, cube: DataFrame | None = None) -> DataFrame:
     """(unit, age, period, pop)."""
+    if cube is not None:
+        return cube.select("unit", "age", "period", "pop")
     lines = scan(spark, sf, "lineitem", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
     out = _per_unit(
         spark, sf, lines, [(F.col("l_linenumber") - 1).cast("int").alias("age"), _year()], F.sum("l_quantity").alias("pop")
@@ -92,22 +112,31 @@ def event_month(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("unit", "period", "mon", "events")
 
 
-def event(spark: SparkSession, sf: str) -> DataFrame:
+def event(spark: SparkSession, sf: str, cube: DataFrame | None = None) -> DataFrame:
     """(unit, period, events)."""
+    if cube is not None:
+        return cube.filter("events IS NOT NULL").groupBy("unit", "period").agg(F.sum("events").alias("events"))
     return _per_unit(spark, sf, event_lines(spark, sf), [_year()], F.sum("l_quantity").alias("events")).select(
         "unit", "period", "events"
     )
 
 
-def cases(spark: SparkSession, sf: str) -> DataFrame:
+def cases(spark: SparkSession, sf: str, cube: DataFrame | None = None) -> DataFrame:
+    """(unit, year, cases)."""
+    if cube is not None:
+        return cube.filter("cases IS NOT NULL").groupBy("unit", F.col("period").alias("year")).agg(F.sum("cases").alias("cases"))
     lines = scan(spark, sf, "lineitem", "l_suppkey", "l_quantity", "l_shipdate", "l_linestatus").filter("l_linestatus = 'F'")
     return _per_unit(
         spark, sf, lines, [F.year("l_shipdate").alias("year")], F.sum("l_quantity").alias("cases")
     ).select("unit", "year", "cases")
 
 
-def covariates(spark: SparkSession, sf: str) -> DataFrame:
+def covariates(spark: SparkSession, sf: str, cube: DataFrame | None = None) -> DataFrame:
     """(unit, wealth, discount, tax, lines)."""
+    if cube is not None:
+        n = F.sum("lines")
+        return cube.groupBy("unit", "wealth").agg(
+            (F.sum("discount") / n).alias("discount"), (F.sum("tax") / n).alias("tax"), n.cast("double").alias("lines"))
     per = scan(spark, sf, "lineitem", "l_suppkey", "l_discount", "l_tax").groupBy("l_suppkey").agg(
         F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"), F.count(F.lit(1)).cast("double").alias("lines")
     )
@@ -132,20 +161,20 @@ def weights(spark: SparkSession, sf: str, panel: DataFrame | None = None) -> Dat
     return alloc_weights_survey(pop(spark, sf) if panel is None else panel, survey_with_reference(spark, sf))
 
 
-def coverage(spark: SparkSession, sf: str) -> DataFrame:
-    panel = pop_table(spark, sf)
-    return cohort_coverage(event(spark, sf), panel, FACTOR, PERIODS, weights(spark, sf, panel))
+def coverage(spark: SparkSession, sf: str, cube: DataFrame | None = None) -> DataFrame:
+    panel = pop_table(spark, sf) if cube is None else pop(spark, sf, cube)
+    return cohort_coverage(event(spark, sf, cube), panel, FACTOR, PERIODS, weights(spark, sf, panel))
 
 
-def coverage_by_unit(spark: SparkSession, sf: str) -> DataFrame:
+def coverage_by_unit(spark: SparkSession, sf: str, cube: DataFrame | None = None) -> DataFrame:
     """Stage boundary between estimating and describing: written once per query."""
-    return stage(unit_coverage(coverage(spark, sf)), "unit-coverage")
+    return stage(unit_coverage(coverage(spark, sf, cube)), "unit-coverage")
 
 
 def coverage_valid(spark: SparkSession, sf: str) -> DataFrame:
     return valid_units(coverage_by_unit(spark, sf))
 
 
-def coverage_wide(spark: SparkSession, sf: str) -> DataFrame:
+def coverage_wide(spark: SparkSession, sf: str, cube: DataFrame | None = None) -> DataFrame:
     """(unit, period, coverage_pop, coverage_a, coverage_b)."""
-    return to_wide(coverage_by_unit(spark, sf), ["unit", "period"], "scenario", "coverage", ["pop", "a", "b"], "coverage_")
+    return to_wide(coverage_by_unit(spark, sf, cube), ["unit", "period"], "scenario", "coverage", ["pop", "a", "b"], "coverage_")
