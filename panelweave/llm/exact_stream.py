@@ -114,6 +114,8 @@ def exact_groups(
         "same", F.when(F.col("of").isNull(), F.col("size") == 1).otherwise(F.col("own") == F.col("keep"))).select("digest", "t", "own", "size", "same"), "contents")
     plain = texts.groupBy(F.col("digest").alias("of")).agg(
         F.max("own").alias("keep"), F.sum("size").alias("size"), ((F.count(F.lit(1)) == 1) & F.bool_and("same")).alias("one"))
+    # written, so that the join below has exchanges of its own and a digest that many rows share can be split
+    plain = stage(plain, "verified")
     one = plain.filter("one").select("of", "keep", "size")
     placed = hits.drop("t").join(one, F.col("digest") == F.col("of")).select("id", "file", "row", "digest", "keep", "size")
     if not plain.filter("NOT one").isEmpty():
