@@ -94,22 +94,15 @@ def name_backfill(codes: DataFrame, code: str, sources: list[DataFrame], order:
     return out.drop(*[f"_s{i}" for i in range(len(sources))])
 
 
-def unique_fuzzy_match(
-    unmatched: DataFrame,
-    dim: DataFrame,
-    code: str = "code",
-    name: str = "name",
-    block: list[str] | str = "block",
-    prefix_len: int = 2,
-    blacklist: DataFrame | None = None,
+def count_candidates(
+    rows: DataFrame, dim: DataFrame, code: str = "code", name: str = "name", block: list[str] | str = "block", prefix_len: int = 2
 ) -> DataFrame:
-    """Map a code to the one candidate of its block whose name contains the first
-    ``prefix_len`` characters of its own name; zero or several candidates give no map.
+    """``rows`` with ``n_candidates`` and ``to``: how many codes of the row's block have a name that contains the first
+    ``prefix_len`` characters of its own name, and the least of them. Rows without a block or name have none.
 
     Candidates are indexed by the pieces of their names (every substring up to
     ``prefix_len`` characters) and counted per (block, piece) before the join, so a
     source row meets at most one index row and no pairs of a block are formed.
-    ``blacklist`` names candidates that may count but not be chosen.
     """
     block = [block] if isinstance(block, str) else block
     at = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
@@ -123,16 +116,29 @@ def unique_fuzzy_match(
         dim.filter(F.col(name).isNotNull())
         .select(*block, F.col(code).alias("_to"), F.explode(pieces).alias("_piece"))
         .groupBy(*block, "_piece")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_to").alias("to"))
-        .filter("_n = 1")
-        .drop("_n")
-    )
-    found = (
-        unmatched.filter(F.col(name).isNotNull())
-        .select(F.col(code).alias("from"), *block, F.substring(name, 1, prefix_len).alias("_piece"))
-        .join(index, [*block, "_piece"])
-        .select("from", "to")
+        .agg(F.count(F.lit(1)).alias("n_candidates"), F.min("_to").alias("to"))
     )
+    keyed = rows.withColumn("_piece", F.substring(name, 1, prefix_len))
+    return keyed.join(index, [*block, "_piece"], "left").drop("_piece").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+
+
+def unique_fuzzy_match(
+    unmatched: DataFrame,
+    dim: DataFrame,
+    code: str = "code",
+    name: str = "name",
+    block: list[str] | str = "block",
+    prefix_len: int = 2,
+    blacklist: DataFrame | None = None,
+) -> DataFrame:
+    """Map a code to the one candidate of its block whose name contains the first
+    ``prefix_len`` characters of its own name; zero or several candidates give no map.
+
+    ``blacklist`` names candidates that may count but not be chosen.
+    """
+    block = [block] if isinstance(block, str) else block
+    rows = unmatched.filter(F.col(name).isNotNull()).select(F.col(code).alias("from"), *block, name)
+    found = count_candidates(rows, dim, code, name, block, prefix_len).filter("n_candidates = 1")
     if blacklist is not None:
         found = non_members(found, blacklist.select(F.col(code).alias("to")), ["to"])
     return found.select("from", "to")

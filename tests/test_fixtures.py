@@ -347,3 +347,25 @@ def test_the_lines_are_read_once(spark, sf, monkeypatch, name):
     out = load()[0][name](spark, sf)
     assert scans.count("lineitem") == 1
     assert "lineitem" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repair_evidence_is_ranked_and_conflicts_stay(spark):
+    """Each outcome once; an override outranks the place, a first source the second, and what loses against it is listed."""
+    dim = spark.createDataFrame(
+        [("k1", "Alpha", "1"), ("k2", "Alto", "2"), ("k3", "Beta", "1"), ("k4", "Bell", "1"), ("k5", "Gam", "3"), ("k6", "Alm", "4")], "code string, name string, block string")
+    lost = spark.createDataFrame([(c,) for c in "abcdefg"], "code string")
+    one = spark.createDataFrame(
+        [("a", 2, "Alx", "moved"), ("a", 1, "Alz", "moved"), ("b", 1, "Bee", "p1"), ("c", 1, "Gax", "p3"), ("d", 1, None, "p1"), ("e", 1, "Zed", "p1"), ("f", 1, "Alf", "nowhere")],
+        "code string, row int, name string, place string")
+    two = spark.createDataFrame([("f", 1, "Al2", "p1", "far"), ("a", 1, "Al3", "p1", None)], "code string, row int, name string, place string, area string")
+    places = spark.createDataFrame([("moved", "1"), ("p1", "1"), ("p1", "9"), ("p3", "3")], "place string, block string")
+    over = spark.createDataFrame([("place", "moved", "2"), ("area", "far", "4"), ("area", "far", None)], "field string, match string, block string")
+    black = spark.createDataFrame([("k5",)], "code string")
+    audit, conflicts = E.judge_evidence(E.repair_evidence(lost, dim, [one, two], places, over, black))
+    got = {r["from"]: (r.to, r.rule, r.source, r.block_by, r.outcome) for r in audit.collect()}
+    assert got == {
+        "a": ("k2", "name", 1, "place override", "match"), "b": (None, "unresolved", 1, "place", "several candidates"),
+        "c": (None, "unresolved", 1, "place", "blacklisted"), "d": (None, "unresolved", 1, "place", "no name"),
+        "e": (None, "unresolved", 1, "place", "no candidate"), "f": (None, "unresolved", 1, None, "no block"), "g": (None, "unresolved", None, None, "no name")}
+    assert sorted(rows(conflicts), key=str) == sorted(
+        [("a", "k2", "k1", 1, "place", "1"), ("a", "k2", "k1", 2, "place", "1"), ("f", None, "k6", 2, "area override", "4"), ("f", None, "k1", 2, "place", "1")], key=str)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.text import unit_levels
 from panelweave.operators import keys as K, shape as S
-from panelweave.plans.events import code_repair as repair
+from panelweave.plans.events import code_repair as repair, judge_evidence, repair_evidence
 from panelweave.plans.population import pop_harmonise as harmonise
+from panelweave.session import stage
 from panelweave.sources.tables import literal_table
 from workload import views as V
 from workload.registry import AGES, PERIODS, SPAN, query, rd, rounded
@@ -193,7 +194,7 @@ def located_share(spark, sf):
 
 
 # Parts stand for places: one type of part is missing from the dimension, and its lines must be relocated.
-def _repair(spark, sf):
+def _repair_inputs(spark, sf):
     part = V.scan(spark, sf, "part")
     code = F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("code")
     block = F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string"))
@@ -211,7 +212,11 @@ def _repair(spark, sf):
         spark, [("place", "Brand#3/30", "Brand#4/30"), ("area", "Brand#7/10", "Brand#7/11")], "field string, match string, block string"
     )
     black = part.filter("p_type = 'ECONOMY'").select(code)
-    return repair(facts, dim, [one, two], places, overrides, black)
+    return facts, dim, [one, two], places, overrides, black
+
+
+def _repair(spark, sf):
+    return repair(*_repair_inputs(spark, sf))
 
 
 REPAIR_SQL = """
@@ -233,12 +238,45 @@ def code_repair(spark, sf):
     return _repair(spark, sf)[0]
 
 
+EVIDENCE_SQL = REPAIR_SQL + """,
+e AS (SELECT b.code, p_size >= 25 AS one, b.block, p_brand || '/' || p_size AS own, count(d.code) AS n, min(d.code) AS t, min(d.p_type) AS p_type
+      FROM blocked b JOIN part ON 'P' || p_partkey = b.code LEFT JOIN dim d ON d.block = b.block AND contains(d.name, substr(b.name, 1, 2)) GROUP BY 1, 2, 3, 4)"""
+
+
 @query("code_repair_audit", f"""
-WITH {REPAIR_SQL}
-SELECT lost.code AS "from", mapping."to", CASE WHEN mapping."to" IS NULL THEN 'unresolved' ELSE 'name' END AS rule
-FROM lost LEFT JOIN mapping ON mapping."from" = lost.code""")
+WITH {EVIDENCE_SQL}
+SELECT code AS "from", CASE WHEN n = 1 AND p_type <> 'ECONOMY' THEN t END AS "to", CASE WHEN n = 1 AND p_type <> 'ECONOMY' THEN 'name' ELSE 'unresolved' END AS rule,
+       CASE WHEN one THEN 1 ELSE 2 END AS source, CASE WHEN block IS NULL THEN NULL WHEN NOT one THEN 'area override' WHEN own = 'Brand#3/30' THEN 'place override' ELSE 'place' END AS block_by,
+       n AS n_candidates, CASE WHEN block IS NULL THEN 'no block' WHEN n = 0 THEN 'no candidate' WHEN n > 1 THEN 'several candidates'
+                               WHEN p_type = 'ECONOMY' THEN 'blacklisted' ELSE 'match' END AS outcome FROM e""")
 def code_repair_audit(spark, sf):
-    return _repair(spark, sf)[1]
+    """How each lost code was placed, or what was missing."""
+    facts, dim, names, places, overrides, black = _repair_inputs(spark, sf)
+    lost = K.unmatched_keys(facts, dim, "code")
+    return judge_evidence(stage(repair_evidence(lost, dim, names, places, overrides, black), "evidence"))[0]
+
+
+MOVED = [("place", f"Brand#{b}/{size}", f"Brand#{b + 1}/{size}") for b in (1, 2, 3, 4) for size in range(25, 51)]
+
+
+@query("code_repair_conflicts", """
+WITH dim AS (SELECT 'P' || p_partkey AS code, p_name AS name, p_brand || '/' || p_size AS block, p_type FROM part WHERE p_type <> 'SMALL'),
+lost AS (SELECT DISTINCT 'P' || l_partkey AS code FROM lineitem WHERE 'P' || l_partkey NOT IN (SELECT code FROM dim)),
+w AS (SELECT lost.code, p_name AS name, p_brand || '/' || p_size AS own,
+             'Brand#' || (CAST(p_brand[7:] AS INTEGER) + 1) || '/' || p_size AS moved FROM lost JOIN part ON 'P' || p_partkey = lost.code
+      WHERE p_size BETWEEN 25 AND 50 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4')),
+c AS (SELECT w.code, k.kind, k.block, count(d.code) AS n, min(d.code) AS t, min(d.p_type) AS p_type
+      FROM w, (VALUES ('own'), ('moved')) v(kind0), LATERAL (SELECT kind0 AS kind, CASE WHEN kind0 = 'own' THEN own ELSE moved END AS block) k
+      LEFT JOIN dim d ON d.block = k.block AND contains(d.name, substr(w.name, 1, 2)) GROUP BY 1, 2, 3),
+m AS (SELECT *, CASE WHEN n = 1 AND p_type <> 'ECONOMY' THEN t END AS target FROM c)
+SELECT o.code AS "from", m.target AS chosen, o.target AS "to", 1 AS source, 'place' AS block_by, o.block
+FROM m o JOIN m ON m.code = o.code AND m.kind = 'moved' WHERE o.kind = 'own' AND o.target IS NOT NULL AND m.target IS DISTINCT FROM o.target""")
+def code_repair_conflicts(spark, sf):
+    """Codes that a wide set of overrides moves away from where their own place leads."""
+    facts, dim, names, places, _, black = _repair_inputs(spark, sf)
+    lost = K.unmatched_keys(facts, dim, "code")
+    overrides = literal_table(spark, MOVED, "field string, match string, block string")
+    return judge_evidence(stage(repair_evidence(lost, dim, names, places, overrides, black), "evidence"))[1]
 
 
 @query("code_repair_located", f"""
