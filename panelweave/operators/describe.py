@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelweave.operators.ranks import distribution, row_positions, value_ranks
 from panelweave.operators.shape import grid
@@ -166,6 +166,55 @@ def kde_2d(df: DataFrame, x: str, y: str, points: int = 100, adjust: float = 1.0
     )
 
 
+def mass_levels(density: DataFrame, masses: list[float]) -> DataFrame:
+    """(mass, level): the density above which the densest grid cells hold that share of the whole; between two densities that occur.
+
+    ``density`` is a grid as ``kde_2d`` gives it, so its size is that of the grid whatever the data.
+    """
+    cells = density.groupBy("density").agg((F.col("density") * F.count(F.lit(1))).alias("part"))
+    down = W.orderBy(F.desc("density"))
+    ranked = cells.select(
+        "density", F.sum("part").over(down.rowsBetween(W.unboundedPreceding, 0)).alias("held"), F.lead("density").over(down).alias("next"),
+        F.sum("part").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("whole"))
+    asked = ranked.withColumn("mass", F.explode(F.array(*[F.lit(float(m)) for m in masses]))).filter(F.col("held") >= F.col("mass") * F.col("whole"))
+    return asked.groupBy("mass").agg(F.max_by(F.struct("density", "next"), "density").alias("c")).select(
+        "mass", ((F.col("c.density") + F.coalesce("c.next", F.lit(0.0))) / 2).alias("level"))
+
+
+def iso_lines(density: DataFrame, levels: DataFrame) -> DataFrame:
+    """(mass, level, px, py, part, x0, y0, x1, y1): the pieces of the level lines, by marching squares over the grid's cells.
+
+    A cell is named by its lower corner. Places on its sides are interpolated between the corners; where all four sides are crossed, the
+    mean of the corners says which corners hang together. Levels are a few rows, each cell meets all of them.
+    """
+    corner = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, (i, j) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))]))
+    spots = density.select("px", "py", "x", "y", "density", corner.alias("at"))
+    cells = spots.groupBy((F.col("px") - F.col("at.i")).alias("px"), (F.col("py") - F.col("at.j")).alias("py")).agg(
+        F.array(*[F.max(F.when(F.col("at.k") == k, F.struct("x", "y", "density"))) for k in range(4)]).alias("c"))
+    whole = cells.filter(F.forall("c", lambda p: p.isNotNull()))
+    listed = levels.agg(F.collect_list(F.struct("mass", "level")).alias("l")).scalar()
+    rows = whole.withColumn("l", F.explode(listed)).select("px", "py", "c", "l.mass", "l.level")
+
+    def side(a: int, b: int) -> Column:
+        p, q = F.col("c")[a], F.col("c")[b]
+        share = (F.col("level") - p["density"]) / (q["density"] - p["density"])
+        place = F.struct((p["x"] + share * (q["x"] - p["x"])).alias("x"), (p["y"] + share * (q["y"] - p["y"])).alias("y"))
+        return F.when((p["density"] >= F.col("level")) != (q["density"] >= F.col("level")), place)
+
+    sides = [side(0, 1), side(1, 2), side(3, 2), side(0, 3)]  # lower, right, upper, left
+    rows = rows.withColumn("s", F.array(*sides)).withColumn("on", F.array_compact("s"))
+    mean = (F.col("c")[0]["density"] + F.col("c")[1]["density"] + F.col("c")[2]["density"] + F.col("c")[3]["density"]) / 4
+    around_odd = (F.col("c")[0]["density"] >= F.col("level")) == (mean >= F.col("level"))
+
+    def pair(part: int, p: Column, q: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1"))
+
+    s = [F.col("s")[k] for k in range(4)]
+    pieces = F.when(F.size("on") == 2, F.array(pair(0, F.col("on")[0], F.col("on")[1]))).when(
+        F.size("on") == 4, F.when(around_odd, F.array(pair(0, s[0], s[1]), pair(1, s[2], s[3]))).otherwise(F.array(pair(0, s[3], s[0]), pair(1, s[1], s[2]))))
+    return rows.select("mass", "level", "px", "py", F.explode(pieces).alias("p")).select("mass", "level", "px", "py", "p.*")
+
+
 def category_frequency(df: DataFrame, category: str, stack: str) -> DataFrame:
     """Counts per category and class, with the category total that orders the bars."""
     cells = df.groupBy(category, stack).agg(F.count(F.lit(1)).alias("n"))

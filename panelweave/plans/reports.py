@@ -53,7 +53,9 @@ def dispersion_levels(
     units: DataFrame, unit_levels_: dict[str, int], small: str, large: str, region: str, period: str = "period",
     value: str = "coverage",
 ) -> DataFrame:
-    """Spread and variance inside the small and large level, and medians of them over unit rows.
+    """Spread and variance inside the small and large level, and medians of them over unit rows of the region.
+
+    The spread of the large level also has its median over the unit rows of that level.
 
     ``units`` carries ``<level>_max`` and ``<level>_min`` from before the validity filter.
     """
@@ -62,12 +64,14 @@ def dispersion_levels(
     for name in (small, large):
         rows = rows.join(units.groupBy(period, name).agg(F.var_samp(value).alias(f"var_{name}")), [period, name])
     rows = stage(rows, "dispersion")
+    own = quantiles(rows, f"spread_{large}", {f"spread_{large}_median": 0.5}, [large, period])
     long = to_long(rows, [region, period], [f"spread_{small}", f"var_{small}"])
     medians = quantiles(long, "value", {"median": 0.5}, [region, period, "name"]).withColumn(
         "name", F.concat("name", F.lit("_median"))
     )
     names = [f"spread_{small}_median", f"var_{small}_median"]
-    return rows.join(to_wide(medians, [region, period], "name", "median", names), [region, period], "left")
+    wide = to_wide(medians, [region, period], "name", "median", names)
+    return rows.join(wide, [region, period], "left").join(own, [large, period], "left")
 
 
 def region_table(

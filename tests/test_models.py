@@ -271,3 +271,24 @@ def test_collinear_terms_are_named(spark):
     assert {r.term for r in M.vif(fit, spark).collect()} == {"x", "g"}
     fitted = df.select((fit.score() - small.score()).alias("d")).agg(F.max(F.abs("d"))).first()[0]
     assert fitted == pytest.approx(0, abs=1e-9)
+
+
+def test_level_lines_follow_the_density(spark):
+    """Round hill off the grid: every end of a line lies at the level's radius and is shared by two pieces; a saddle has two pieces."""
+    n = 41
+    rows = [(i, j, i / 20 - 1.0, j / 20 - 1.0, math.exp(-2 * ((i / 20 - 1.0131) ** 2 + (j / 20 - 0.9917) ** 2))) for i in range(n) for j in range(n)]
+    grid = spark.createDataFrame(rows, "px int, py int, x double, y double, density double")
+    levels = {r.mass: r.level for r in D.mass_levels(grid, [0.2, 0.5]).collect()}
+    z = np.sort([r[4] for r in rows])[::-1]
+    for mass, level in levels.items():
+        k = int(np.searchsorted(np.cumsum(z), mass * z.sum()))
+        assert z[k] > level > z[k + 1]
+    lines = D.iso_lines(grid, D.mass_levels(grid, [0.2, 0.5])).collect()
+    for mass, level in levels.items():
+        ends = [p for r in lines if r.mass == mass for p in ((round(r.x0, 9), round(r.y0, 9)), (round(r.x1, 9), round(r.y1, 9)))]
+        assert all(math.hypot(p[0] - 0.0131, p[1] + 0.0083) == pytest.approx(math.sqrt(-math.log(level) / 2), abs=2e-3) for p in ends)
+        assert {ends.count(p) for p in ends} == {2}
+    saddle = spark.createDataFrame([(0, 0, 0.0, 0.0, 1.0), (1, 0, 1.0, 0.0, 0.0), (1, 1, 1.0, 1.0, 1.0), (0, 1, 0.0, 1.0, 0.0)], grid.schema)
+    for level, want in ((0.4, {((0.6, 0.0), (1.0, 0.4)), ((0.4, 1.0), (0.0, 0.6))}), (0.6, {((0.0, 0.4), (0.4, 0.0)), ((1.0, 0.6), (0.6, 1.0))})):
+        got = D.iso_lines(saddle, spark.createDataFrame([(0.5, level)], "mass double, level double")).collect()
+        assert {((round(r.x0, 9), round(r.y0, 9)), (round(r.x1, 9), round(r.y1, 9))) for r in got} == want

@@ -9,6 +9,7 @@ from panelweave.functions.text import unit_levels
 from panelweave.operators import cohorts as H, describe as D, keys as K, ranks as Q, shape as S
 from panelweave.operators.impute import annualise, min_observations
 from panelweave.plans import coverage as C, population as P, scenarios as SC
+from panelweave.session import stage
 from workload import views as V
 from workload.pipelines import DISPERSION_SQL
 from workload.registry import FACTOR, LEVELS, PERIODS, SPAN, query, rd, rounded
@@ -159,7 +160,7 @@ def agg_kde_1d(spark, sf):
     )
 
 
-@query("agg_kde_2d", f"""
+KDE_2D_SQL = """
 WITH v AS (SELECT discount AS x, tax AS y FROM v_cov_x),
 s AS (SELECT count(*) AS n, min(x) AS lx, (max(x) - min(x)) / 99 AS dx, min(y) AS ly, (max(y) - min(y)) / 99 AS dy,
   1.06 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34) * pow(count(*), -0.2) AS hx,
@@ -168,7 +169,10 @@ p AS (SELECT (x - lx) / dx AS px, (y - ly) / dy AS py FROM v, s),
 w AS (SELECT floor(px) + i AS i, floor(py) + j AS j, abs(1 - i - (px - floor(px))) * abs(1 - j - (py - floor(py))) AS c
       FROM p, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)),
 c AS (SELECT i, j, sum(c) AS c FROM w GROUP BY 1, 2),
-ax AS (SELECT j, k.k AS px, sum(c * exp(-pow((k.k - i) * dx / hx, 2) / 2)) AS c FROM c, s, range(0, 100) k(k) GROUP BY 1, 2)
+ax AS (SELECT j, k.k AS px, sum(c * exp(-pow((k.k - i) * dx / hx, 2) / 2)) AS c FROM c, s, range(0, 100) k(k) GROUP BY 1, 2)"""
+
+
+@query("agg_kde_2d", KDE_2D_SQL + f"""
 SELECT CAST(px AS INTEGER) AS px, CAST(k.k AS INTEGER) AS py, {rd('any_value(lx) + px * any_value(dx)', 8)} AS x,
        {rd('any_value(ly) + k.k * any_value(dy)', 8)} AS y,
        {rd('sum(c * exp(-pow((k.k - j) * dy / hy, 2) / 2)) / (any_value(n) * any_value(hx) * any_value(hy) * 2 * pi())', 4)} AS density
@@ -180,6 +184,45 @@ def agg_kde_2d(spark, sf):
     )
 
 
+MASSES = [0.1, 0.25, 0.5, 0.75, 0.9]
+LEVELS_SQL = KDE_2D_SQL + f""",
+z AS (SELECT CAST(px AS INTEGER) AS px, CAST(k.k AS INTEGER) AS py, any_value(lx) + px * any_value(dx) AS x, any_value(ly) + k.k * any_value(dy) AS y,
+             sum(c * exp(-pow((k.k - j) * dy / hy, 2) / 2)) / (any_value(n) * any_value(hx) * any_value(hy) * 2 * pi()) AS z
+      FROM ax, s, range(0, 100) k(k) GROUP BY px, k.k),
+o AS (SELECT z, sum(w) OVER (ORDER BY z DESC) AS held, lead(z) OVER (ORDER BY z DESC) AS below, sum(w) OVER () AS whole FROM (SELECT z, z * count(*) AS w FROM z GROUP BY z)),
+lv AS (SELECT mass, max((z + coalesce(below, 0)) / 2) AS level FROM o, (VALUES {", ".join(f"(CAST({m} AS DOUBLE))" for m in MASSES)}) m(mass) WHERE held >= mass * whole GROUP BY 1)"""
+
+
+@query("agg_density_levels", LEVELS_SQL + f"""
+SELECT mass, {rd('level', 4)} AS level, count(*) FILTER (z >= level) AS cells, {rd('sum(z) FILTER (z >= level) / sum(z)')} AS held FROM z, lv GROUP BY mass, level""")
+def agg_density_levels(spark, sf):
+    """Level per enclosed mass, the grid cells above it and the share they hold."""
+    grid = stage(D.kde_2d(V.covariates(spark, sf), "discount", "tax"), "grid")
+    levels = D.mass_levels(grid, MASSES)
+    packed = levels.agg(F.collect_list(F.struct("mass", "level")).alias("l")).scalar()
+    above = F.col("density") >= F.col("level")
+    out = grid.withColumn("l", F.explode(packed)).select("density", "l.*").groupBy("mass", "level").agg(
+        F.count_if(above).alias("cells"), (F.sum(F.when(above, F.col("density"))) / F.sum("density")).alias("held"))
+    return out.select("mass", (F.round("level", 4) + 0.0).alias("level"), "cells", (F.round("held", 6) + 0.0).alias("held"))
+
+
+@query("agg_density_lines", LEVELS_SQL + f""",
+q AS (SELECT mass, level, a.px, a.py, a.x AS xa, b.x AS xb, a.y AS ya, d.y AS yd, a.z AS a, b.z AS b, c.z AS c, d.z AS d
+      FROM z a JOIN z b ON b.px = a.px + 1 AND b.py = a.py JOIN z c ON c.px = a.px + 1 AND c.py = a.py + 1 JOIN z d ON d.px = a.px AND d.py = a.py + 1, lv),
+e AS (SELECT *, CASE WHEN (a >= level) <> (b >= level) THEN [xa + (level - a) / (b - a) * (xb - xa), ya] END AS lo,
+             CASE WHEN (b >= level) <> (c >= level) THEN [xb, ya + (level - b) / (c - b) * (yd - ya)] END AS ri,
+             CASE WHEN (d >= level) <> (c >= level) THEN [xa + (level - d) / (c - d) * (xb - xa), yd] END AS hi,
+             CASE WHEN (a >= level) <> (d >= level) THEN [xa, ya + (level - a) / (d - a) * (yd - ya)] END AS le FROM q),
+f AS (SELECT *, list_filter([lo, ri, hi, le], lambda p: p IS NOT NULL) AS s, (a >= level) = ((a + b + c + d) / 4 >= level) AS odd FROM e),
+g AS (SELECT mass, px, py, 0 AS part, CASE WHEN len(s) = 2 THEN s[1] WHEN odd THEN lo ELSE le END AS p, CASE WHEN len(s) = 2 THEN s[2] WHEN odd THEN ri ELSE lo END AS q FROM f WHERE len(s) > 1
+      UNION ALL SELECT mass, px, py, 1, CASE WHEN odd THEN hi ELSE ri END, CASE WHEN odd THEN le ELSE hi END FROM f WHERE len(s) = 4)
+SELECT mass, px, py, part, {rd('p[1]', 7)} AS x0, {rd('p[2]', 7)} AS y0, {rd('q[1]', 7)} AS x1, {rd('q[2]', 7)} AS y1 FROM g""")
+def agg_density_lines(spark, sf):
+    grid = stage(D.kde_2d(V.covariates(spark, sf), "discount", "tax"), "grid")
+    lines = D.iso_lines(grid, D.mass_levels(grid, MASSES))
+    return lines.select("mass", "px", "py", "part", *[(F.round(c, 7) + 0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 @query("agg_category_frequency", """
 SELECT o_orderpriority, o_orderstatus, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS category_n
 FROM orders GROUP BY 1, 2""")

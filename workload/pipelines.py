@@ -192,11 +192,12 @@ d AS (SELECT *, var_samp(coverage) OVER (PARTITION BY period, prefecture) AS var
 SELECT unit, period, {rd('spread_prefecture')} AS spread_prefecture, {rd('spread_province')} AS spread_province,
        {rd('var_prefecture', 9)} AS var_prefecture, {rd('var_province', 9)} AS var_province,
        {rd('median(spread_prefecture) OVER (PARTITION BY region, period)')} AS spread_prefecture_median,
+       {rd('median(spread_province) OVER (PARTITION BY province, period)')} AS spread_province_median,
        {rd('median(var_prefecture) OVER (PARTITION BY region, period)', 9)} AS var_prefecture_median
 FROM d""")
 def dispersion_levels(spark, sf):
     rows = _dispersion(spark, sf)
-    spread = ["spread_prefecture", "spread_province", "spread_prefecture_median"]
+    spread = ["spread_prefecture", "spread_province", "spread_prefecture_median", "spread_province_median"]
     var = ["var_prefecture", "var_province", "var_prefecture_median"]
     return rows.select(
         "unit", "period", *[(F.round(c, 6) + 0.0).alias(c) for c in spread], *[(F.round(c, 9) + 0.0).alias(c) for c in var]
