@@ -13,7 +13,7 @@ from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.lang_id import learn_languages, vote
 from panelweave.llm.mixing import mix_sources
 from panelweave.llm.secrets import redact
-from panelweave.llm.simhash import drop_near_copies
+from panelweave.llm.simhash import drop_simhash_copies
 from panelweave.session import stage
 
 LEAST_OWN = 0.25
@@ -30,8 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal or similar texts stays; NULL is an empty text, ties go by id, columns of any name stay."""
-    return drop_near_copies(docs, "doc_id", "text")
+    """One document of each group that SimHash near-dedup links (three-word shingles, 2 bits): the one with the least id, NULL last.
+
+    NULL is an empty text; empty texts are copies of each other. Columns of any name stay, an empty table gives no rows.
+    """
+    return drop_simhash_copies(docs, "doc_id", "text")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Hand free memory back: workers stay alive between stages, and what Arrow and malloc keep in reserve would add to the next stage's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def slices(texts: pa.Array, size: int = SLICE, rows: int = 2048):
     """(first row, string array without NULLs) parts of about ``size`` bytes and ``rows`` rows at most; a longer text is a part of its own."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -65,8 +76,7 @@ def slices(texts: pa.Array, size: int = SLICE, rows: int = 2048):
         to = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + size, "right"))))
         yield at, texts.slice(at, to - at)
         at = to
-    # workers stay alive between stages; what Arrow keeps in reserve would add to the next stage's memory
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

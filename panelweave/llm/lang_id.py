@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelweave.llm.base import Tally, buffers, fold, slices, table
+from panelweave.llm.base import Tally, buffers, fold, give_back, slices, table
 from panelweave.session import stage
 
 SLOTS, PROBES = 1 << 22, 3
@@ -68,10 +68,12 @@ def _count(n: int):
                 row, gram = _grams(part, n)
                 for lang in set(own):
                     keys, count = np.unique(gram[(own == lang)[row]], return_counts=True)
-                    tally = tallies.setdefault(lang, Tally("gram", 300_000))
+                    tally = tallies.setdefault(lang, Tally("gram", 100_000))
                     yield from named(lang, tally.add(pa.table({"gram": keys, "n": count})))
         for lang, tally in tallies.items():
             yield from named(lang, tally.take())
+        tallies.clear()
+        give_back()
 
     return run
 

@@ -88,6 +88,33 @@ def simhash_groups(docs: DataFrame, doc_id: str, text: str, width: int = 3) -> D
     )
 
 
+def drop_simhash_copies(docs: DataFrame, doc_id: str, text: str, width: int = 3) -> DataFrame:
+    """``docs`` with one row of each component of ``simhash_groups``; columns as given, whatever their names.
+
+    The row with the least id stays (NULL last), of equal ids any fixed one, and of rows equal in all columns one. NULL and empty texts have
+    fingerprint zero and are copies of each other and of what links to it. An empty table gives no rows. Rows must come the same on a second reading.
+    """
+    digest, rowhash = free_name(docs, "_digest"), free_name(docs, "_rowhash")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    keyed = docs.withColumns({digest: F.unhex(F.md5(body)), rowhash: F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
+    rows = stage(keyed.select(F.col(f"`{doc_id}`").alias("id"), F.col(digest).alias("digest"), F.col(rowhash).alias("rowhash"), simhash(body, width).alias("fp")), "prints")
+    equal = stage(rows.groupBy("fp", "digest", "id", "rowhash").agg(F.count(F.lit(1)).alias("c")), "equal")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "rowhash", "digest")
+    prints = stage(equal.groupBy("fp").agg(F.sum("c").alias("n"), F.min(place).alias("best")), "prints")
+    linked = components(hamming_links(prints.select("fp")))
+    rooted = prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "n", "best", F.coalesce("root", "fp").alias("root"))
+    groups = rooted.groupBy("root").agg(F.sum("n").alias("n"), F.min("best").alias("best")).filter("n > 1")
+    copies = stage(rooted.select(F.col("fp").alias("of"), "root").join(groups, "root").select("of", "best"), "copies")
+    marked = equal.join(copies, F.col("fp") == F.col("of")).withColumn("stays", place == F.col("best"))
+    of, least, stays = (free_name(keyed, c) for c in ("_of", "_least", "_stays"))
+    marks = stage(marked.filter("NOT stays OR c > 1").select(F.col("digest").alias(of), F.col("rowhash").alias(least), F.col("stays").alias(stays)), "marks")
+    maybe, alone = split_by_keys(keyed, key_filter(marks, {"k": F.xxhash64(of, least)}), F.xxhash64(digest, rowhash), "k")
+    judged = maybe.join(marks, (F.col(digest) == F.col(of)) & (F.col(rowhash) == F.col(least)), "left")
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    once = judged.filter(F.col(stays)).dropDuplicates([digest, rowhash]).select(*out)
+    return alone.select(*out).unionByName(judged.filter(F.col(stays).isNull()).select(*out)).unionByName(once)
+
+
 # Near copies of text at a similarity of word sets, for filtering. Texts of Jaccard similarity 0.8 differ in about 10 of
 # 64 SimHash bits, too many for a ball of radius 2, so near copies are found by a prefix join of their shingles: of two sets with
 # similarity t or more, each in one common order, the first n - ceil(t n) + 1 of the n shingles of either have one in common. This

@@ -88,3 +88,15 @@ def test_a_private_key_goes_to_its_end(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r.doc_id: r.text for r in S.redact(df, "doc_id", "text").collect()}
     assert out == {0: "a\n[SECRET]\nb", 1: "[SECRET]\nand then text.", 2: "[SECRET] x [SECRET]", 3: "[SECRET] alone"}
+
+
+def test_the_copies_that_go_are_those_of_the_operator(spark, sf, odd):
+    from panelweave.llm import simhash as H
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    groups = H.simhash_groups(docs, "doc_id", "text").collect()
+    assert {r.doc_id for r in H.drop_simhash_copies(docs, "doc_id", "text").collect()} == {r.component_id for r in groups} != {r.doc_id for r in groups}
+    # ids 2 (NULL), 3 and 4 have no word; the two rows of id 1 are equal
+    kept = H.drop_simhash_copies(odd, "doc_id", "text").collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id in (1, 3, 4)) == [(1, ROWS[0][1])]
+    assert [r.doc_id for r in kept if not (r.text or "").split()] == [2]
