@@ -68,11 +68,21 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stages(spark: SparkSession) -> int:
-    """Delete the stage tables this session wrote; call it when their results are no longer read."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+def stage_mark(spark: SparkSession) -> int:
+    """How many stage tables this session has written; what comes later can be dropped on its own."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def drop_stages(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
+    """Delete the stage tables this session wrote after the mark ``since``; call it when their results are no longer read.
+
+    ``keep_last`` leaves the last one, say a result that was made from the others.
+    """
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    paths = written[since : len(written) - 1 if keep_last else None]
     jvm = spark._jvm
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        written.remove(path)
     return len(paths)

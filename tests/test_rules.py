@@ -32,3 +32,15 @@ def test_long_names_keep_their_tail(spark):
     name = "p_" + "x" * 1500
     df = spark.createDataFrame([(1, 2)], f"id int, {name} int")
     assert to_long(df, ["id"], [name], prefix="p_").first()["name"] == "x" * 1500
+
+
+def test_stages_after_a_mark_are_dropped(spark):
+    from panelweave.session import drop_stages, stage, stage_mark
+
+    kept = stage(spark.range(3), "kept")
+    mark = stage_mark(spark)
+    inner = stage(spark.range(4), "inner")
+    last = stage(inner.filter("id > 1"), "last")
+    assert drop_stages(spark, mark, keep_last=True) == 1
+    assert (kept.count(), last.count()) == (3, 2)
+    assert drop_stages(spark, mark) == 1 and stage_mark(spark) == mark

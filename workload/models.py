@@ -216,7 +216,8 @@ def zib_regression(spark, sf):
 
 @query("lr_test")
 def lr_test(spark, sf):
-    return rounded(Z.lr_test(_full(spark, sf, "no segment", ["balance"]), _full(spark, sf), spark), 4)
+    models = [Z.ZibModel("no segment", "share", ["balance"]), Z.ZibModel("full", "share", ["balance", "segment"])]
+    return rounded(Z.lr_test(*Z.zib_models(_shares(spark, sf), models, ["segment"]), spark), 4)
 
 
 @query("lr_test_zero_part", f"""
@@ -227,8 +228,8 @@ l AS (SELECT sum(z * ln(z / (z + p)) + p * ln(p / (z + p))) - sum(z) * ln(sum(z)
 SELECT 'same zeros' AS reduced, 'zeros by segment' AS "full", {rd('2 * gain', 4)} AS statistic, df, {rd('exp(-gain) * (1 + gain)', 4)} AS p_value FROM l""")
 def lr_test_zero_part(spark, sf):
     """Nested models that differ in the zero part only: closed form, four degrees of freedom."""
-    reduced = _full(spark, sf, "same zeros", ["balance"])
-    full = _full(spark, sf, "zeros by segment", ["balance"], nu=["segment"])
+    models = [Z.ZibModel("same zeros", "share", ["balance"]), Z.ZibModel("zeros by segment", "share", ["balance"], nu=["segment"])]
+    reduced, full = Z.zib_models(_shares(spark, sf), models, ["segment"])
     return rounded(Z.lr_test(reduced, full, spark), 4)
 
 
@@ -252,7 +253,7 @@ def effect_table(spark, sf):
 
 @query("model_summary")
 def model_summary(spark, sf):
-    univariate = [_full(spark, sf, name, [name]) for name in ("balance", "segment")]
+    univariate = Z.zib_models(_shares(spark, sf), [Z.ZibModel(name, "share", [name]) for name in ("balance", "segment")], ["segment"])
     return rounded(Z.model_summary(spark, *univariate), 4)
 
 
