@@ -82,6 +82,27 @@ def region_table(
     return distribution(units, value, by, scale).join(names, region)
 
 
+def scenario_table(
+    grid_: DataFrame, availability: DataFrame, names: DataFrame, chosen: dict[str, str], when: int, level: tuple[str, int] = ("region", 1),
+    unit: str = "unit", period: str = "period", value: str = "cov", scale: float = 100.0,
+) -> DataFrame:
+    """Distribution per level of one scenario and bound in one period, with the level's units that have data then as sample size.
+
+    ``chosen`` fixes every axis of the grid, the bound included, so bounds are never pooled. Levels without a valid unit have no
+    row; levels without available units have sample size 0.
+    """
+    missing = {"pop_source", "process", "source", "bound"} - set(chosen)
+    if missing:
+        raise ValueError(f"choose {', '.join(sorted(missing))} as well")
+    match = F.col(period) == when
+    for axis, name in chosen.items():
+        match = match & (F.col(axis) == name)
+    rows = unit_levels(grid_.filter(match), unit, dict([level]))
+    sizes = availability.filter(~F.col("absent") & (F.col(period) == when)).select(level[0], F.col("units").alias("sample_size"))
+    table = region_table(rows, names, [level[0]], level[0], value, scale)
+    return table.join(sizes, level[0], "left").fillna({"sample_size": 0})
+
+
 def burden_rate(
     cases: DataFrame, pop: DataFrame, years: list[int], unit: str = "unit", year: str = "year", value: str = "cases"
 ) -> DataFrame:

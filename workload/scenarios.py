@@ -180,6 +180,32 @@ def scenario_grid(spark, sf):
     return rounded(_grid(spark, sf))
 
 
+CHOSEN = [("YB", "lm", "YB", "LL"), ("YB", "con", "ST", "UL")]
+
+
+@query("scenario_table1", f"""
+WITH {GRID_SQL},
+size AS (SELECT substr(unit, 1, 1) AS region, count(*) AS sample_size FROM v_event WHERE period = 1998 AND NOT (substr(unit, 4, 1) = '1' AND period = 1997) GROUP BY 1)
+SELECT r_name AS region_name, pop_source, process, source, bound, coalesce(max(sample_size), 0) AS sample_size, count(*) AS n, {rd('min(cov) * 100', 4)} AS min,
+       {rd('quantile_cont(cov, 0.25) * 100', 4)} AS q1, {rd('avg(cov) * 100', 4)} AS mean, {rd('median(cov) * 100', 4)} AS median,
+       {rd('quantile_cont(cov, 0.75) * 100', 4)} AS q3, {rd('max(cov) * 100', 4)} AS max, {rd('stddev_samp(cov) * 100', 4)} AS sd
+FROM grid JOIN region ON CAST(r_regionkey AS VARCHAR) = substr(unit, 1, 1) LEFT JOIN size s ON s.region = substr(unit, 1, 1)
+WHERE period = 1998 AND cov IS NOT NULL AND (pop_source, process, source, bound) IN ({", ".join(map(str, CHOSEN))}) GROUP BY ALL""")
+def scenario_table1(spark, sf):
+    """Table 1 of two scenarios: population source, process, age structure and bound are arguments."""
+    from workload.pipelines import _availability
+
+    cells = stage(_grid(spark, sf).filter("cov IS NOT NULL"), "grid")
+    names = V.scan(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("region"), F.col("r_name").alias("region_name"))
+    present = stage(_availability(spark, sf), "availability")
+    out = None
+    for chosen in CHOSEN:
+        axes = dict(zip(("pop_source", "process", "source", "bound"), chosen))
+        one = R.scenario_table(cells, present, names, axes, 1998).drop("region").withColumns({c: F.lit(v) for c, v in axes.items()})
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 4)
+
+
 @query("scenario_compare", f"""
 WITH {GRID_SQL}
 SELECT pop_source, source, bound, unit, period, {rd("max(cov) FILTER (process = 'lm')")} AS lm, {rd("max(cov) FILTER (process = 'con')")} AS con
