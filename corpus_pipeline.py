@@ -14,7 +14,7 @@ from panelweave.llm.lang_id import learn_languages, vote
 from panelweave.llm.mixing import mix_sources
 from panelweave.llm.secrets import redact
 from panelweave.llm.simhash import drop_simhash_copies
-from panelweave.session import stage
+from panelweave.session import drop_stages, stage, stage_mark
 
 LEAST_OWN = 0.25
 
@@ -69,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents after all stages. What a stage wrote on its way goes once its result, which the next one reads, is written."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
+        mark = stage_mark(spark)
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_stages(spark, mark, keep_last=True)
     return docs

@@ -100,3 +100,42 @@ def test_the_copies_that_go_are_those_of_the_operator(spark, sf, odd):
     kept = H.drop_simhash_copies(odd, "doc_id", "text").collect()
     assert sorted((r.doc_id, r.text) for r in kept if r.doc_id in (1, 3, 4)) == [(1, ROWS[0][1])]
     assert [r.doc_id for r in kept if not (r.text or "").split()] == [2]
+
+
+def targets_by_hand(sizes):
+    """150 % of all words shared by weights 5, 2, 1 over the sources by code point (NULL last); nothing above twice a source's size."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, free, out = 1.5 * sum(sizes.values()), set(names), {}
+    while free:
+        whole = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / whole > 2 * sizes[s]}
+        if not over:
+            return out | {s: left * weight[s] / whole for s in free}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+        left -= sum(2 * sizes[s] for s in over)
+        free -= over
+    return out
+
+
+def test_sizes_targets_and_words_of_the_mix(spark, sf, tmp_path):
+    from panelweave.llm.mixing import op2_mix_sources
+
+    odd_path = str(tmp_path)
+    spark.createDataFrame([(i, "w " * n, s) for i, (n, s) in enumerate([(900, "a"), (3, "b"), (1, "é"), (40, None), (0, "c"), (7, "A")])], "doc_id long, text string, source string").write.parquet(odd_path + "/documents.parquet")
+    for folder in (sf, odd_path):
+        docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+        words = {i: len([w for w in re.split(r"[\x20\x09-\x0d]+", r.text or "") if w]) for i, r in docs.items()}
+        sizes = defaultdict(int)
+        for i, r in docs.items():
+            sizes[r.source] += words[i]
+        want, taken = targets_by_hand(dict(sizes)), defaultdict(int)
+        rows = op2_mix_sources(spark, folder).collect()
+        assert len(rows) == len(docs)
+        for r in rows:
+            source = docs[r.doc_id].source
+            assert (r["size"], r.source_size) == (words[r.doc_id], sizes[source]) and r.target == pytest.approx(want[source])
+            assert 0 <= r.taken <= 2 * r["size"]
+            taken[source] += r.taken
+        assert all(abs(taken[s] - want[s]) <= 1 for s in want)
