@@ -11,12 +11,13 @@ threshold; one without labels is allowed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelweave.llm.base import UPPER, LOWER, table
 from panelweave.session import stage
 
-DEPTH = 6
 MANY_CHILDREN, COMMON = 12, 0.05
 PRIOR, THRESHOLD, CHANCE = 2.0, 0.5, 2.0
 # fixed values: the asked rules as (host, path, verdict)
@@ -56,30 +57,31 @@ def _purity(blocked: Column, allowed: Column, prior: Column) -> Column:
 def template_tree(paths: DataFrame) -> DataFrame:
     """(host, path, template: array): ``paths`` has host, path, n, distinct by (host, path).
 
-    Templates have ``DEPTH`` segments at most; what is deeper is one ``**`` segment.
+    Level by level from the host on, whatever the depth. Below a place with fewer than ``MANY_CHILDREN`` forms no segment can be variable by
+    statistics, so its rows keep the rest of their segments and leave; one very deep path takes no rounds of its own.
     """
     segments = F.transform(F.slice(F.split(F.col("path"), "/", -1), 2, 1 << 30), _by_form)
-    cut = F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.lit("**")))).otherwise(segments)
-    rows = paths.select("host", "path", "n", cut.alias("seg"))
+    rows = paths.select("host", "path", "n", segments.alias("seg"))
     # one row per (host, form) from here on
-    forms = stage(rows.groupBy("host", "seg").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("paths")), "forms")
-    tree = forms.select("host", "seg", "n", F.array().cast("array<string>").alias("template"))
-    deepest = forms.agg(F.coalesce(F.max(F.size("seg")), F.lit(0)).alias("d")).first()["d"]
-    for level in range(min(DEPTH, deepest)):
+    forms = stage(rows.groupBy("host", "seg").agg(F.sum("n").alias("n")), "forms")
+    open_ = forms.withColumn("template", F.array().cast("array<string>"))
+    done, level = [open_.filter(F.size("seg") == 0)], 0
+    open_ = open_.filter(F.size("seg") > 0)
+    while not open_.isEmpty():
         here = F.get(F.col("seg"), F.lit(level))
-        children = tree.filter(F.size("seg") > level).groupBy("host", F.col("template").alias("parent"), here.alias("child")).agg(F.sum("n").alias("n"))
-        places = children.groupBy("host", "parent").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
-        variable = (
-            children.join(places, ["host", "parent"])
-            .filter((F.col("kinds") >= MANY_CHILDREN) & (F.col("n") <= COMMON * F.col("all")) & (F.col("child") != "**"))
-            .select(F.col("host").alias("vh"), "parent", "child")
-        )
-        joined = tree.join(variable, (F.col("host") == F.col("vh")) & (F.col("template") == F.col("parent")) & (here == F.col("child")), "left")
-        new = F.when(F.size("seg") <= level, F.col("template")).otherwise(
-            F.concat("template", F.array(F.when(F.col("vh").isNotNull(), F.lit("*")).otherwise(here)))
-        )
-        tree = stage(joined.select("host", "seg", "n", new.alias("template")), "level")
-    named = tree.select(F.col("host").alias("th"), F.col("seg").alias("ts"), F.when(F.size("seg") > DEPTH, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template")).alias("template"))
+        children = open_.groupBy(F.col("host").alias("ph"), F.col("template").alias("parent"), here.alias("child")).agg(F.sum("n").alias("pn"), F.count(F.lit(1)).alias("forms"))
+        marks = children.groupBy("ph", "parent").agg(F.sum("pn").alias("all"), F.count(F.lit(1)).alias("kinds"), F.sum("forms").alias("forms"))
+        known = children.drop("forms").join(marks, ["ph", "parent"]).select(
+            "ph", "parent", "child", (F.col("forms") < MANY_CHILDREN).alias("few"),
+            ((F.col("kinds") >= MANY_CHILDREN) & (F.col("pn") <= COMMON * F.col("all"))).alias("variable"))
+        joined = open_.join(known, (F.col("host") == F.col("ph")) & (F.col("template") == F.col("parent")) & (here == F.col("child")))
+        one = F.concat("template", F.array(F.when(F.col("variable"), F.lit("*")).otherwise(here)))
+        rest = F.concat("template", F.slice("seg", level + 1, 1 << 30))
+        over = F.col("few") | (F.size("seg") <= level + 1)
+        moved = stage(joined.select("host", "seg", "n", F.when(F.col("few"), rest).otherwise(one).alias("template"), over.alias("over")), "level")
+        done.append(moved.filter("over").drop("over"))
+        open_, level = moved.filter("NOT over").drop("over"), level + 1
+    named = reduce(lambda a, b: a.unionByName(b), done).select(F.col("host").alias("th"), F.col("seg").alias("ts"), "template")
     return rows.join(named, (F.col("host") == F.col("th")) & (F.col("seg") == F.col("ts"))).select("host", "path", "n", "template")
 
 

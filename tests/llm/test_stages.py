@@ -139,3 +139,15 @@ def test_sizes_targets_and_words_of_the_mix(spark, sf, tmp_path):
             assert 0 <= r.taken <= 2 * r["size"]
             taken[source] += r.taken
         assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+
+
+def test_deep_paths_have_templates_of_their_own(spark):
+    from panelweave.llm import url_templates as U
+
+    deep = "/a/b/c/d/e/f/"
+    urls = [f"http://h{deep}bad/{i}" for i in range(3)] + [f"http://h{deep}other/x", "http://h/" + "s/" * 900 + "t"] + [f"http://h{deep}g/h/item{c}x/z" for c in "abcdefghijklmnopqrstuvwxyz"]
+    rules = [("h", f"{deep}bad/", "block")]
+    rows = {r.page_id: r for r in U.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), "page_id", "url", rules).collect()}
+    assert [rows[i].verdict for i in range(5)] == ["block"] * 3 + ["allow"] * 2
+    assert rows[3].template == f"{deep}other/x" and rows[4].template == "/" + "s/" * 900 + "t"
+    assert {rows[i].template for i in range(5, len(urls))} == {f"{deep}g/h/*/z"} and rows[0].template == f"{deep}bad/{{n}}"
