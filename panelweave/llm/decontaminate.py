@@ -7,7 +7,8 @@ at least one hash of that sketch, so no containing document is missed: the sketc
 the size class needs and no longer. Documents are long and items short, so a document is not
 sketched itself; every shingle hash of it is held against the sketches, first by a bitmap of
 fixed size, then by a join. Candidates are verified by counting the item's shingles, as texts,
-that the document has.
+that the document has. An item with fewer words than a shingle is one short shingle; where there are such items, the documents
+also give their shingles of those lengths.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from panelweave.llm.keyfilter import as_array, key_filter, np_has, rows_with_key
 from panelweave.session import stage
 
 
-def _hashes(width: int, bits=None):
-    """Map (key, text) to (key, h): the distinct shingle hashes of each row, those in the bitmap only if there is one."""
+def _hashes(width: int, bits=None, short: tuple[int, ...] = ()):
+    """Map (key, text) to (key, h): the distinct shingle hashes of each row, also of the ``short`` lengths, those in the bitmap only if there is one."""
     def run(batches):
         kept = bits.value if bits is not None else None
         for batch in batches:
             for at, part in slices(batch.column("text")):
-                row, h = shingle_hashes(part, width)
+                found = [shingle_hashes(part, n) for n in (width, *short)]
+                row, h = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 if kept is not None:
                     hit = np_has(kept, h)
                     row, h = row[hit], h[hit]
@@ -39,13 +41,15 @@ def _hashes(width: int, bits=None):
     return run
 
 
-def shingle_texts(text: Column, width: int) -> Column:
-    """The distinct word shingles of a text, lower-cased; the whole sequence if it is shorter, none if it has no word."""
+def shingle_texts(text: Column, width: int, short: tuple[int, ...] = ()) -> Column:
+    """The distinct word shingles of a text, lower-cased, and those of the ``short`` lengths; the whole sequence if it is shorter than ``width``, none without a word."""
+    def windows(words: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (n - 1)))
+        return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, n)))
+
     def runs(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (width - 1)))
-        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(
-            F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, width))))
-        )
+        every = F.array_distinct(F.concat(*[windows(words, n) for n in (width, *short)]))
+        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(every)
 
     return let(words_of(ascii_lower(text.cast("string"))), runs)
 
@@ -66,17 +70,19 @@ def contained_items(
     """(doc_id, item_id, n_shingles of the item, n_shared, containment) where containment is ``share`` or more.
 
     Shingles are sets of ``width`` lower-cased words; an item or text with fewer words has one, all its words, and an
-    empty or NULL one has none and matches nothing. Repeated rows of a document or item count once; rows of one id with other
+    empty or NULL one has none and matches nothing. An item with fewer words is found inside longer texts as well. Repeated rows of a document or item count once; rows of one id with other
     texts are judged each and listed once per id at their largest containment. NULL ids are kept as ids. Empty tables give no rows.
     """
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     wanted = stage(items.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text")).distinct()
                    .withColumn("item", F.monotonically_increasing_id()), "items")
+    lengths = wanted.select(F.size(words_of(F.col("text"))).alias("n")).filter((F.col("n") > 0) & (F.col("n") < width)).distinct()
+    short = tuple(sorted(r["n"] for r in lengths.collect()))  # width - 1 lengths at most
     sketches = stage(item_sketches(wanted, width, share), "sketches")
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(as_array(key_filter(sketches, {"h": F.col("h")}), "h"))
     digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    hits = texts.select(digest.alias("key"), "text").mapInArrow(_hashes(width, bits), "key binary, h long")
+    hits = texts.select(digest.alias("key"), "text").mapInArrow(_hashes(width, bits, short), "key binary, h long")
     candidates = stage(hits.join(sketches, "h").select("key", "item").distinct(), "candidates")
 
     # verification: candidate documents only, once per distinct text
@@ -85,7 +91,7 @@ def contained_items(
     pairs = candidates.join(wanted.select("item", "item_id", F.explode(shingle_texts(F.col("text"), width)).alias("s")), "item")
     sizes = wanted.select("item", F.size(shingle_texts(F.col("text"), width)).alias("n_shingles"))
     own = found.select("key", "text").join(candidates.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    shingles = own.select("key", F.explode(shingle_texts(F.col("text"), width)).alias("s"))
+    shingles = own.select("key", F.explode(shingle_texts(F.col("text"), width, short)).alias("s"))
     shared = pairs.join(shingles, ["key", "s"]).groupBy("key", "item", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
     judged = shared.join(sizes, "item").withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(
         F.col("n_shared") >= F.ceil(F.col("n_shingles") * F.lit(share) - 1e-9)
@@ -123,7 +129,8 @@ WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(translate(text
     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT DISTINCT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, w, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda k: array_to_string(w[k:k+4], ' '))) AS s FROM d WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, w, unnest(list_transform(range(1, greatest(2, len(w) - n + 2)), lambda k: array_to_string(w[k:k+n-1], ' '))) AS s
+       FROM d, (VALUES (1), (2), (3), (4), (5)) v(n) WHERE len(w) > 0 AND (n = 5 OR n IN (SELECT len(w) FROM i))),
 iss AS (SELECT DISTINCT item_id, w, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda k: array_to_string(w[k:k+4], ' '))) AS s FROM i WHERE len(w) > 0),
 n AS (SELECT item_id, w, count(*) AS n_shingles FROM iss GROUP BY 1, 2),
 m AS (SELECT doc_id, ds.w AS dw, iss.item_id, iss.w AS iw, count(*) AS n_shared FROM ds JOIN iss USING (s) GROUP BY 1, 2, 3, 4),

@@ -151,3 +151,22 @@ def test_deep_paths_have_templates_of_their_own(spark):
     assert [rows[i].verdict for i in range(5)] == ["block"] * 3 + ["allow"] * 2
     assert rows[3].template == f"{deep}other/x" and rows[4].template == "/" + "s/" * 900 + "t"
     assert {rows[i].template for i in range(5, len(urls))} == {f"{deep}g/h/*/z"} and rows[0].template == f"{deep}bad/{{n}}"
+
+
+def test_items_shorter_than_a_shingle_are_found_inside_texts(spark, tmp_path):
+    from panelweave.llm import decontaminate as D
+    from tests.oracle import compare, connect
+
+    docs = [(1, "so alpha Beta gamma delta is here and more text follows"), (2, "alpha beta gamma"), (3, "x alpha beta y gamma delta z z z"), (4, "Alpha beta gamma delta"), (5, None),
+            (6, "one two three four five six seven"), (7, "six"), (8, "gamma gamma")]
+    items = [(10, "alpha beta gamma delta"), (11, "six"), (12, "three four five six seven"), (13, ""), (14, "gamma delta")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = D.op3_decontaminate(spark, str(tmp_path))
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == {(1, 10), (1, 14), (3, 14), (4, 10), (4, 14), (6, 11), (6, 12), (7, 11)}
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert compare(out, con, D.OP3_SQL) == []
