@@ -170,3 +170,47 @@ def test_items_shorter_than_a_shingle_are_found_inside_texts(spark, tmp_path):
     for t in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     assert compare(out, con, D.OP3_SQL) == []
+
+
+def test_importance_weights_and_draw_by_hand(spark, sf):
+    """Both models, the weights and the k largest keys in plain Python; only the noise is taken from Spark."""
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    from panelweave.llm import quality_class as Q
+
+    full = (1 << 64) - 1
+
+    def spread(h):
+        h ^= h >> 31
+        h = h * 0x9E3779B97F4A7C15 & full
+        return h ^ h >> 29
+
+    def buckets(text):
+        words = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        value = [spread(xxhash.xxh64_intdigest(w.encode())) for w in words]
+        pairs = [spread((a * 0xD6E8FEB86659FD93 + b) & full) for a, b in zip(value, value[1:])]
+        return [v % Q.BUCKETS for v in value + pairs]
+
+    noise = (F.pmod(F.xxhash64(F.lit(7), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", noise.alias("u")).collect()
+    judged = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        judged[r.doc_id].append((r.quality, r.toxic))
+    good = {i for i, m in judged.items() if all(q == 1 for q, _ in m) and not any(t for _, t in m)}
+    found = {r.doc_id: buckets(r.text) for r in docs}
+    raw, target = Counter(b for f in found.values() for b in f), Counter(b for i, f in found.items() if i in good for b in f)
+    whole = sum(raw.values()) + 0.5 * Q.BUCKETS
+    base = [(raw[b] + 0.5) / whole for b in range(Q.BUCKETS)]
+    ratio = [math.log((target[b] + Q.SMOOTH * base[b]) / (sum(target.values()) + Q.SMOOTH)) - math.log(base[b]) for b in range(Q.BUCKETS)]
+    weight = {i: sum(ratio[b] for b in f) for i, f in found.items()}
+    key = {r.doc_id: round((weight[r.doc_id] - math.log(-math.log(r.u))) * 1e6) for r in docs}
+    k = math.ceil(len(good) / len(judged) * len(docs) - 1e-9)
+    least = sorted(key.values(), reverse=True)[k - 1]
+    rows = Q.op7_importance(spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.n_features == len(found[r.doc_id]) and r.log_weight == pytest.approx(weight[r.doc_id], abs=1e-6)
+        assert r.selected == (key[r.doc_id] >= least) or abs(key[r.doc_id] - least) <= 2
