@@ -104,8 +104,10 @@ def _passages(texts: pa.Array, words: int) -> tuple[np.ndarray, ...]:
         up = since[fits], many[fits]
         heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         whole = heads, np.append(heads[1:], len(first)) - 1
+        # a run is often the shortest from its first sentence on and up to its last one too
+        runs = np.unique(np.concatenate([on[0] * len(first) + on[1], up[0] * len(first) + up[1]]))
         parts = []
-        for (i, j), kind in ((on, 1), (up, 1), (whole, 2)):
+        for (i, j), kind in ((np.divmod(runs, max(1, len(first))), 1), (whole, 2)):
             parts.append((of[i], place[i], place[j], *hashes(first[i], end[j], kind)))
     return tuple(np.concatenate(c) for c in zip(*parts))
 
@@ -144,13 +146,12 @@ def drop_repeated_spans(
         runs = runs.unionByName(keyed.select("id", "key", F.explode(found).alias("r")).select("id", "key", "r.*").drop("n"))
     if passage_words is not None:
         runs = runs.unionByName(keyed.mapInArrow(_passage_rows(passage_words), f"id {kind}, key long, first int, last int, h long, h2 long"))
-    # written once: the runs are counted, and looked at again where they may be repeated
-    runs = stage(runs, "runs")
+    # hashes are counted first, as most runs occur once; the others are made again and come with their places
+    counts = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    near = stage(rows_with_keys(runs, key_filter(stage(counts, "counts"), {"h": F.col("h")}), F.col("h"), "h"), "near")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key", F.col("first").alias("at"))
-    groups = runs.groupBy("h", "h2").agg(F.min(place).alias("least"), F.max(place).alias("greatest"))
+    groups = near.groupBy("h", "h2").agg(F.min(place).alias("least"), F.max(place).alias("greatest"))
     repeated = stage(groups.filter("least <> greatest").select("h", "h2", "least"), "repeated")
-    # only runs that may be repeated go through the join
-    near = rows_with_keys(runs, key_filter(repeated, {"h": F.col("h")}), F.col("h"), "h")
     again = near.join(repeated, ["h", "h2"]).filter(place != F.col("least"))
     covered = again.select("id", "key", F.explode(F.sequence("first", "last")).alias("at")).distinct()
     cut = stage(covered.groupBy("id", "key").agg(F.sort_array(F.collect_list("at")).alias("cut")), "cut")
