@@ -153,8 +153,10 @@ def drop_repeated_spans(
     groups = near.groupBy("h", "h2").agg(F.min(place).alias("least"), F.max(place).alias("greatest"))
     repeated = stage(groups.filter("least <> greatest").select("h", "h2", "least"), "repeated")
     again = near.join(repeated, ["h", "h2"]).filter(place != F.col("least"))
-    covered = again.select("id", "key", F.explode(F.sequence("first", "last")).alias("at")).distinct()
-    cut = stage(covered.groupBy("id", "key").agg(F.sort_array(F.collect_list("at")).alias("cut")), "cut")
+    # the runs of a text, not their sentences, are brought together: two for each of its sentences at most
+    ranges = again.groupBy("id", "key").agg(F.collect_set(F.struct("first", "last")).alias("r"))
+    listed = F.flatten(F.transform("r", lambda x: F.sequence(x["first"], x["last"])))
+    cut = stage(ranges.select("id", "key", F.sort_array(F.array_distinct(listed)).alias("cut")), "cut")
     own = F.xxhash64("id", "key")
     return _apply(keyed, cut, own).select(F.col("id").alias(doc_id), "n_sentences", "n_removed", F.col("kept").alias(text))
 
