@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelweave.session import stage
+
 
 def members(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key is listed. A NULL key is never listed."""
@@ -103,6 +105,10 @@ def count_candidates(
     Candidates are indexed by the pieces of their names (every substring up to
     ``prefix_len`` characters) and counted per (block, piece) before the join, so a
     source row meets at most one index row and no pairs of a block are formed.
+
+    The candidates are dealt in ranges of their code, sorted and written once with a number that follows the code. The least
+    code of a piece is the one of least number, so the many pieces are counted in hash tables of fixed-width sums, one entry per
+    (block, piece), and never sorted.
     """
     block = [block] if isinstance(block, str) else block
     at = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
@@ -112,11 +118,16 @@ def count_candidates(
 
     windows = [cut(n) for n in range(1, prefix_len + 1)]
     pieces = F.array_distinct(F.concat(F.array(F.lit("")), *windows))
+    listed = dim.filter(F.col(name).isNotNull()).select(*block, F.col(name), F.col(code).alias("to"))
+    by_code = F.asc_nulls_last("to")  # a code is less than none
+    ranged = listed.repartitionByRange(by_code).sortWithinPartitions(by_code)
+    numbered = stage(ranged.withColumn("_at", F.monotonically_increasing_id()), "candidates")
     index = (
-        dim.filter(F.col(name).isNotNull())
-        .select(*block, F.col(code).alias("_to"), F.explode(pieces).alias("_piece"))
+        numbered.select(*block, "_at", F.explode(pieces).alias("_piece"))
         .groupBy(*block, "_piece")
-        .agg(F.count(F.lit(1)).alias("n_candidates"), F.min("_to").alias("to"))
+        .agg(F.count(F.lit(1)).alias("n_candidates"), F.min("_at").alias("_at"))
+        .join(numbered.select("_at", "to"), "_at")
+        .drop("_at")
     )
     keyed = rows.withColumn("_piece", F.substring(name, 1, prefix_len))
     return keyed.join(index, [*block, "_piece"], "left").drop("_piece").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))

@@ -173,6 +173,23 @@ def test_unique_fuzzy_match(spark):
     assert rows(K.unique_fuzzy_match(lost, dim, blacklist=black), "from") == [("s1", "t1"), ("s6", "t7"), ("s7", "t8"), ("s8", "t4")]
 
 
+def test_candidate_pieces_are_counted_without_a_sort(spark):
+    """A name has dozens of pieces, so what is kept per piece must be a hash table entry, not a row to sort."""
+    dim = spark.createDataFrame(
+        [("t10", "Mono", "1"), ("t9", "Molo", "1"), (None, "Moro", "1"), (None, "Qa", "1"), ("t2", "Mo", "2"), ("t3", None, "2"), ("t4", "Mo", None)],
+        "code string, name string, block string",
+    )
+    lost = spark.createDataFrame(
+        [("s1", "Mole", "1"), ("s2", "Qat", "1"), ("s3", "Mo", "2"), ("s4", "lot", "1"), ("s5", "Mo", None), ("s6", None, "1"), ("s7", "x", "1")],
+        "code string, name string, block string",
+    )
+    found = K.count_candidates(lost, dim)
+    assert rows(found.select("code", "n_candidates", "to"), "code") == [
+        ("s1", 3, "t10"), ("s2", 1, None), ("s3", 1, "t2"), ("s4", 1, "t9"), ("s5", 0, None), ("s6", 0, None), ("s7", 0, None)]
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in text and "SortAggregate" not in text
+
+
 def test_code_repair_null_safe_override(spark):
     """An absent place must not wipe the block found otherwise."""
     dim = spark.createDataFrame([("k1", "Alpha", "45"), ("k2", "Beta", "62")], "code string, name string, block string")
