@@ -1,5 +1,7 @@
 """Every registered query against its oracle on the smallest tables, and plan rules."""
 
+import re
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -41,6 +43,27 @@ def test_no_cartesian_join(spark, sf, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["code_repair_conflicts"])
+def test_evidence_sorts_no_pieces(spark, sf, monkeypatch, name):
+    """What a repair writes counts the pieces of names in hash tables."""
+    from panelweave.plans import events
+    from panelweave.session import stage
+    from workload import joins
+
+    plans = []
+
+    def record(df, label="stage"):
+        plans.append(plan(df))
+        return stage(df, label)
+
+    monkeypatch.setattr(events, "stage", record)
+    monkeypatch.setattr(joins, "stage", record)
+    QUERIES[name](spark, sf)
+    counted = [p for p in plans if "_piece" in p]
+    assert counted
+    assert not [p for p in counted if re.search(r"SortAggregate\(key=\[[^\]]*_piece", p)]
+
+
 def test_coverage_shuffles_cells_once(spark, sf):
     """One exchange combines the inputs, one places the cells; windows and coverage sums add none."""
     from panelweave.plans.coverage import cohort_coverage
