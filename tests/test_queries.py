@@ -43,7 +43,7 @@ def test_no_cartesian_join(spark, sf, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["code_repair_conflicts", "code_repair", "code_repair_located"])
+@pytest.mark.parametrize("name", ["code_repair_conflicts", "code_repair", "code_repair_located", "code_repair_audit"])
 def test_evidence_sorts_no_pieces(spark, sf, monkeypatch, name):
     """What a repair writes counts the pieces of names in hash tables."""
     from panelweave.plans import events
