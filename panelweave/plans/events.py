@@ -29,16 +29,19 @@ def repair_evidence(
 
     A row per name source that has the code (its first row) and per way to find the block: by an override on the area, by one on the place, by the
     place. The outcome is ``match``, or what is missing: ``no name``, ``no block``, ``no candidate``, ``several candidates``, ``blacklisted``. ``to`` is set
-    for a match only. A code that no source names has one row of rank 0.
+    for a match only. A code that no source names has one row of rank 0. The lost codes
+    and their names are written once, since the matching and the search for codes without a name both read them.
     """
     one_block = block_of.filter("place IS NOT NULL").groupBy("place").agg(F.min("block").alias("_place_block"))
     rules = {c: overrides.filter(F.col("field") == c).groupBy(F.col("match").alias(c)).agg(F.max("block").alias(f"_{c}_rule")) for c in ("place", "area")}
+    lost = stage(lost.select(code), "lost")
     rows = []
     for i, src in enumerate(names, 1):
         have = [c if c in src.columns else F.lit(None).cast("string").alias(c) for c in ("name", "place", "area")]
         first = first_by(src.filter(F.col(code).isNotNull()), [code], ["row"], [c for c in ("name", "place", "area") if c in src.columns])
-        rows.append(lost.select(code).join(first, code).select(F.col(code).alias("from"), F.lit(i).alias("source"), *have))
-    rows = union_named(*rows).join(one_block, "place", "left").join(rules["place"], "place", "left").join(rules["area"], "area", "left")
+        rows.append(lost.join(first, code).select(F.col(code).alias("from"), F.lit(i).alias("source"), *have))
+    named = stage(union_named(*rows), "named")
+    rows = named.join(one_block, "place", "left").join(rules["place"], "place", "left").join(rules["area"], "area", "left")
     ways = [("area override", "_area_rule"), ("place override", "_place_rule"), ("place", "_place_block")]
     way = F.filter(
         F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("block_by"), F.col(c).alias("block")) for k, (n, c) in enumerate(ways)]),
@@ -55,7 +58,7 @@ def repair_evidence(
     judged = counted.join(black, "to", "left").withColumn("outcome", outcome)
     listed = judged.select(
         "from", "rank", "source", "block_by", "block", "n_candidates", F.when(F.col("outcome") == "match", F.col("to")).alias("to"), "outcome")
-    unnamed = non_members(lost.select(F.col(code).alias("from")), listed, ["from"])
+    unnamed = non_members(lost.select(F.col(code).alias("from")), named, ["from"])
     return union_named(listed, unnamed.select("from", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("n_candidates"), F.lit("no name").alias("outcome")))
 
 

@@ -43,6 +43,24 @@ def test_no_cartesian_join(spark, sf, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def _staged(spark, sf, monkeypatch, name):
+    """(label, plan) of what a repair writes, in order, and last of its result."""
+    from panelweave.plans import events
+    from panelweave.session import stage
+    from workload import joins
+
+    plans = []
+
+    def record(df, label="stage"):
+        plans.append((label, plan(df)))
+        return stage(df, label)
+
+    monkeypatch.setattr(events, "stage", record)
+    monkeypatch.setattr(joins, "stage", record)
+    plans.append(("result", plan(QUERIES[name](spark, sf))))
+    return plans
+
+
 @pytest.mark.parametrize("name", ["code_repair_conflicts", "code_repair", "code_repair_located", "code_repair_audit"])
 def test_evidence_sorts_no_pieces(spark, sf, monkeypatch, name):
     """What a repair writes counts the pieces of names in hash tables."""
@@ -64,6 +82,14 @@ def test_evidence_sorts_no_pieces(spark, sf, monkeypatch, name):
     assert not [p for p in counted if re.search(r"SortAggregate\(key=\[[^\]]*_piece", p)]
 
 
+@pytest.mark.parametrize("name", ["code_repair_conflicts"])
+def test_evidence_matches_once(spark, sf, monkeypatch, name):
+    """The search for codes without a name doesn't match all names again, and what finds the lost codes doesn't match."""
+    plans = _staged(spark, sf, monkeypatch, name)
+    assert [len(re.findall(r"Generate explode\(.*\[_piece", p)) for _, p in plans if "_piece" in p] == [1]
+    assert not [p for _, p in plans if "_piece" in p and "lineitem" in p]
+
+
 def test_coverage_shuffles_cells_once(spark, sf):
     """One exchange combines the inputs, one places the cells; windows and coverage sums add none."""
     from panelweave.plans.coverage import cohort_coverage

@@ -200,9 +200,9 @@ def _repair_inputs(spark, sf):
     block = F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string"))
     dim = part.filter("p_type <> 'SMALL'").select(code, F.col("p_name").alias("name"), block.alias("block"))
     lines = V.scan(spark, sf, "lineitem", "l_partkey", "l_quantity", "l_shipdate")
-    facts = lines.groupBy(
-        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("code"), F.year("l_shipdate").alias("period")
-    ).agg(F.sum("l_quantity").alias("events"))
+    facts = lines.select(
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("code"), F.year("l_shipdate").alias("period"), F.col("l_quantity").alias("events")
+    )
     one = part.filter("p_size >= 25").select(
         code, F.col("p_partkey").alias("row"), F.col("p_name").alias("name"), block.alias("place"), F.col("p_type").alias("area")
     )
