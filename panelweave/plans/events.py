@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelweave.operators.keys import count_candidates, first_by, located_share, non_members, recode_apply, unmatched_keys
+from panelweave.operators.keys import count_candidates, first_by, located_share, non_members, recode_column, unmatched_keys
 from panelweave.operators.shape import union_named
 from panelweave.session import stage
 
@@ -93,5 +93,5 @@ def code_repair(
     lost = unmatched_keys(facts, dim, code)
     audit = judge_evidence(stage(repair_evidence(lost, dim, names, block_of, overrides, blacklist, code, prefix_len), "evidence"))[0]
     mapping = audit.filter("`to` IS NOT NULL").select("from", "to")
-    repaired = recode_apply(facts, code, mapping, [code, period], value)
+    repaired = recode_column(facts, code, mapping).groupBy(code, period).agg(F.sum(value).alias(value))
     return repaired, audit.select("from", "to", "rule"), located_share(repaired, dim, code, value)

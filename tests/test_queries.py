@@ -90,6 +90,16 @@ def test_evidence_matches_once(spark, sf, monkeypatch, name):
     assert not [p for _, p in plans if "_piece" in p and "lineitem" in p]
 
 
+@pytest.mark.parametrize("name", ["code_repair"])
+def test_repair_sums_facts_once(spark, sf, monkeypatch, name):
+    """Lines are summed once per code and period, and once more after recoding: one hash table of them in a task."""
+    plans = _staged(spark, sf, monkeypatch, name)
+    summed = [p for label, p in plans if label == "facts"]
+    assert [p.count("partial_sum(") for p in summed] == [1]
+    # the result's own scan of the facts goes into one sum, the located share adds one per code and one in all
+    assert plans[-1][1].count("partial_sum(events") == {"code_repair": 1, "code_repair_located": 2}[name]
+
+
 def test_coverage_shuffles_cells_once(spark, sf):
     """One exchange combines the inputs, one places the cells; windows and coverage sums add none."""
     from panelweave.plans.coverage import cohort_coverage
