@@ -82,7 +82,7 @@ def test_evidence_sorts_no_pieces(spark, sf, monkeypatch, name):
     assert not [p for p in counted if re.search(r"SortAggregate\(key=\[[^\]]*_piece", p)]
 
 
-@pytest.mark.parametrize("name", ["code_repair_conflicts"])
+@pytest.mark.parametrize("name", ["code_repair_conflicts", "code_repair_audit"])
 def test_evidence_matches_once(spark, sf, monkeypatch, name):
     """The search for codes without a name doesn't match all names again, and what finds the lost codes doesn't match."""
     plans = _staged(spark, sf, monkeypatch, name)
