@@ -90,7 +90,7 @@ def test_evidence_matches_once(spark, sf, monkeypatch, name):
     assert not [p for _, p in plans if "_piece" in p and "lineitem" in p]
 
 
-@pytest.mark.parametrize("name", ["code_repair"])
+@pytest.mark.parametrize("name", ["code_repair", "code_repair_located"])
 def test_repair_sums_facts_once(spark, sf, monkeypatch, name):
     """Lines are summed once per code and period, and once more after recoding: one hash table of them in a task."""
     plans = _staged(spark, sf, monkeypatch, name)
