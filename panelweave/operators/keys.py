@@ -156,7 +156,14 @@ def unique_fuzzy_match(
 
 
 def unmatched_keys(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    return non_members(df.select(key).filter(F.col(key).isNotNull()).distinct(), dim, [key])
+    """Distinct keys of ``df`` that ``dim`` lacks, without NULL.
+
+    Both sides go through one aggregate. A join would broadcast ``dim`` by its size on disk, and keys packed in Parquet
+    take a hundred times that in memory.
+    """
+    flagged = df.select(key, F.lit(False).alias("_known")).unionByName(dim.select(key, F.lit(True).alias("_known")))
+    known = flagged.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("_known").alias("_known"))
+    return known.filter(~F.col("_known")).select(key)
 
 
 def located_share(df: DataFrame, dim: DataFrame, key: str, value: str) -> DataFrame:

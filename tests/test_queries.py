@@ -90,6 +90,14 @@ def test_evidence_matches_once(spark, sf, monkeypatch, name):
     assert not [p for _, p in plans if "_piece" in p and "lineitem" in p]
 
 
+@pytest.mark.parametrize("name", ["code_repair_conflicts", "code_repair", "code_repair_located", "code_repair_audit"])
+def test_lost_codes_broadcast_nothing(spark, sf, monkeypatch, name):
+    """The known codes are not held whole by every task that looks for the lost ones."""
+    lost = [p for label, p in _staged(spark, sf, monkeypatch, name) if label == "lost"]
+    assert len(lost) == 1
+    assert "Broadcast" not in lost[0]
+
+
 @pytest.mark.parametrize("name", ["code_repair", "code_repair_located"])
 def test_repair_sums_facts_once(spark, sf, monkeypatch, name):
     """Lines are summed once per code and period, and once more after recoding: one hash table of them in a task."""

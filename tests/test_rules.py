@@ -26,6 +26,16 @@ def test_recoding_keeps_the_total(spark):
     assert sorted((r.code, r.v) for r in recode_column(facts, "code", twice).collect()) == [("b", 2), ("y", 1)]
 
 
+def test_unmatched_keys_with_repeats_and_nulls(spark):
+    from panelweave.operators.keys import unmatched_keys
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1), ("c", 1), ("c", 1)], "code string, n int")
+    dim = spark.createDataFrame([("b",), ("b",), (None,), ("z",)], "code string")
+    assert sorted(r.code for r in unmatched_keys(df, dim, "code").collect()) == ["a", "c"]
+    assert sorted(r.code for r in unmatched_keys(df, dim.limit(0), "code").collect()) == ["a", "b", "c"]
+    assert unmatched_keys(df.limit(0), dim, "code").collect() == []
+
+
 def test_long_names_keep_their_tail(spark):
     from panelweave.operators.shape import to_long
 
