@@ -76,6 +76,17 @@ def recode_apply(df: DataFrame, code: str, mapping: DataFrame, keys: list[str],
     return recode_column(partial, code, mapping).groupBy(*keys).agg(sum_fn(value).alias(value))
 
 
+def recode_sums(sums: DataFrame, code: str, mapping: DataFrame, keys: list[str], value: str, sum_fn=F.sum) -> DataFrame:
+    """Recode rows that are one per key already, and add up those that fell onto the same key.
+
+    Only rows whose code is an end of the mapping can meet others. The rest, nearly all of them as a rule, go past the
+    hash tables, which so hold what the mapping touches and not all keys. The mapping is read several times.
+    """
+    ends = mapping.select(F.col("from").alias(code)).unionByName(mapping.select(F.col("to").alias(code))).distinct()
+    met = recode_column(members(sums, ends, [code]), code, mapping).groupBy(*keys).agg(sum_fn(value).alias(value))
+    return non_members(sums, ends, [code]).select(*keys, value).unionByName(met)
+
+
 def name_backfill(codes: DataFrame, code: str, sources: list[DataFrame], order: str, columns: list[str]) -> DataFrame:
     """First name row found for each code in source 1, then in source 2, and so on.
 
@@ -167,14 +178,13 @@ def unmatched_keys(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 
 
 def located_share(df: DataFrame, dim: DataFrame, key: str, value: str) -> DataFrame:
-    """Share of ``value`` on known keys and on unknown ones, one row."""
-    listed = dim.select(key).distinct().withColumn("_known", F.lit(True))
-    per_key = df.groupBy(key).agg(F.sum(value).alias("_v"))
-    return (
-        per_key.join(listed, key, "left")
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("_known"), F.col("_v"))), F.lit(0.0)).alias("located"),
-            F.sum("_v").alias("total"),
-        )
-        .withColumn("unlocated_share", 1 - F.try_divide("located", "total"))
-    )
+    """Share of ``value`` on known keys and on unknown ones, one row. A NULL key is unknown.
+
+    The keys of both sides go through one aggregate, as in ``unmatched_keys``, so none are sorted or broadcast for a join.
+    """
+    listed = dim.filter(F.col(key).isNotNull()).select(key, F.lit(None).cast(df.schema[value].dataType).alias(value), F.lit(True).alias("_known"))
+    per_key = df.select(key, value, F.lit(False).alias("_known")).unionByName(listed).groupBy(key).agg(F.sum(value).alias("_v"), F.max("_known").alias("_known"))
+    return per_key.agg(
+        F.coalesce(F.sum(F.when(F.col("_known"), F.col("_v"))), F.lit(0.0)).alias("located"),
+        F.sum("_v").alias("total"),
+    ).withColumn("unlocated_share", 1 - F.try_divide("located", "total"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelweave.operators.keys import count_candidates, first_by, located_share, non_members, recode_column, unmatched_keys
+from panelweave.operators.keys import count_candidates, first_by, located_share, non_members, recode_sums, unmatched_keys
 from panelweave.operators.shape import union_named
 from panelweave.session import stage
 
@@ -86,12 +86,12 @@ def code_repair(
     ``dim``: code, name, block. ``names``: sources with code, row, name and optionally
     place and area. ``block_of``: (place, block), of which the least block of a place counts. ``overrides``: (field, match, block),
     tried on area, then place; a NULL or absent override leaves the block as found.
-    Facts (summed per code and period) and the evidence are written once, since the repaired
+    Facts (summed per code and period), the evidence and the mapping are written once, since the repaired
     facts, the audit and the share all read them.
     """
     facts = stage(facts.groupBy(code, period).agg(F.sum(value).alias(value)), "facts")
     lost = unmatched_keys(facts, dim, code)
     audit = judge_evidence(stage(repair_evidence(lost, dim, names, block_of, overrides, blacklist, code, prefix_len), "evidence"))[0]
-    mapping = audit.filter("`to` IS NOT NULL").select("from", "to")
-    repaired = recode_column(facts, code, mapping).groupBy(code, period).agg(F.sum(value).alias(value))
+    mapping = stage(audit.filter("`to` IS NOT NULL").select("from", "to"), "mapping")
+    repaired = recode_sums(facts, code, mapping, [code, period], value)
     return repaired, audit.select("from", "to", "rule"), located_share(repaired, dim, code, value)

@@ -108,6 +108,15 @@ def test_repair_sums_facts_once(spark, sf, monkeypatch, name):
     assert plans[-1][1].count("partial_sum(events") == {"code_repair": 1, "code_repair_located": 2}[name]
 
 
+@pytest.mark.parametrize("name", ["code_repair", "code_repair_located"])
+def test_repair_adds_up_only_what_meets(spark, sf, monkeypatch, name):
+    """After recoding, sums per code and period hold the mapping's codes only, and the share joins no list of all codes."""
+    text = _staged(spark, sf, monkeypatch, name)[-1][1]
+    sums = re.findall(r"partial_sum\(events[^\n]*output=\[code#\d+, period(?s:.*?)FileScan", text)
+    assert len(sums) == 1 and "LeftSemi" in sums[0]
+    assert "LeftOuter" not in text.replace(sums[0], "")
+
+
 def test_coverage_shuffles_cells_once(spark, sf):
     """One exchange combines the inputs, one places the cells; windows and coverage sums add none."""
     from panelweave.plans.coverage import cohort_coverage

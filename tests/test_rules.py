@@ -36,6 +36,31 @@ def test_unmatched_keys_with_repeats_and_nulls(spark):
     assert unmatched_keys(df.limit(0), dim, "code").collect() == []
 
 
+def test_recoded_sums_meet_whatever_the_mapping(spark):
+    """Chains, several targets, targets without rows and NULLs give the rows that summing everything gives."""
+    from panelweave.operators.keys import recode_column, recode_sums
+
+    facts = spark.createDataFrame(
+        [("a", 1, 1.0), ("b", 1, 2.0), ("b", 2, None), ("c", 1, 4.0), ("d", None, 8.0), ("e", 1, 16.0), (None, 1, 32.0), ("f", 2, None)],
+        "code string, period int, v double")
+    mapping = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "z"), ("d", "y"), ("f", "b"), ("q", "e"), (None, "e")], "from string, to string")
+    for m in (mapping, mapping.limit(0)):
+        whole = recode_column(facts, "code", m).groupBy("code", "period").agg(F.sum("v").alias("v"))
+        got = recode_sums(facts, "code", m, ["code", "period"], "v")
+        assert got.columns == whole.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_located_share_with_repeats_and_nulls(spark):
+    from panelweave.operators.keys import located_share
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None), (None, 4.0), ("x", 9.0)], "code string, v double")
+    dim = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("unused",)], "code string")
+    assert located_share(df, dim, "code", "v").collect() == [(3.0, 16.0, 1 - 3 / 16)]
+    assert located_share(df, dim.limit(0), "code", "v").collect() == [(0.0, 16.0, 1.0)]
+    assert located_share(df.limit(0), dim, "code", "v").collect() == [(0.0, None, None)]
+
+
 def test_long_names_keep_their_tail(spark):
     from panelweave.operators.shape import to_long
 
